@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import ipaddress
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweir.functions.text import with_captures
+
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 _HEXTET = r"[0-9a-f]{1,4}"
@@ -37,51 +39,51 @@ PUBLIC_V6 = [
 ]
 
 
-def ipv4_hex(ip: Column) -> Column:
-    """Eight hex digits of a dotted IPv4 address, NULL for any other text."""
-    octets = F.split(F.regexp_extract(ip, rf"\A{_IPV4}\z", 0), r"\.", -1)
-    digits = [F.lpad(F.hex(F.get(octets, F.lit(i)).try_cast("bigint")), 2, "0") for i in range(4)]
-    return F.lower(F.concat(*digits))
-
-
-def ipv6_hex(ip: Column) -> Column:
-    """32 hex digits of an IPv6 address, NULL for any other text.
+def with_ip_key(df: DataFrame, column: str, key: str = "key") -> DataFrame:
+    """Add the hex key of the address in ``column``, NULL for a text that is none.
 
-    Reads ``::`` and a dotted tail; a zone such as ``%eth0`` is cut off.
+    Reads IPv6 with ``::`` and with a dotted tail; a zone such as ``%eth0`` is
+    cut off. Each step is computed once per row, as the next uses it many times.
     """
-    text = F.regexp_replace(F.lower(ip), r"%.+\z", "")
-    dotted = F.regexp_extract(text, rf":({_IPV4})\z", 1)
-    tail = ipv4_hex(dotted)
-    with_tail = F.concat(
-        F.substring(text, F.lit(1), F.length(text) - F.length(dotted)),
-        F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4),
+    keep = df.columns
+    text = F.regexp_replace(F.lower(F.col(column)), r"(:.*)%.+\z", "$1")
+    steps = with_captures(df, "_text", F.coalesce(text, F.lit("")))
+    # The dotted part: a whole IPv4 address, or the tail of an IPv6 one.
+    dotted = F.regexp_extract("_text", rf"(?:\A|:)({_IPV4})\z", 1)
+    steps = with_captures(
+        steps, "_quad", F.struct(F.length(dotted).alias("n"), F.split(dotted, r"\.", -1).alias("o"))
     )
-    text = F.coalesce(with_tail, text)
-    gap = F.instr(text, "::") > 0
+    octet = F.col("_quad")["o"]
+    digits = [F.lpad(F.hex(F.get(octet, F.lit(i)).try_cast("bigint")), 2, "0") for i in range(4)]
+    steps = with_captures(steps, "_hex", F.lower(F.concat(*digits)))
+    head = F.substring(F.col("_text"), F.lit(1), F.length("_text") - F.col("_quad")["n"])
+    full = F.when(
+        F.col("_hex").isNotNull(),
+        F.concat(head, F.substring("_hex", 1, 4), F.lit(":"), F.substring("_hex", 5, 4)),
+    ).otherwise(F.col("_text"))
+    steps = with_captures(steps, "_full", full)
     # `a::b` is two lists with zeros between; without `::` there is one list of eight.
-    ends = F.split(text, "::", 2)
-
-    def hextets(part: Column) -> Column:
-        return F.filter(F.split(part, ":", -1), lambda h: h != "")
-
-    left = hextets(F.get(ends, F.lit(0)))
-    right = F.coalesce(hextets(F.get(ends, F.lit(1))), F.array().cast("array<string>"))
-    missing = 8 - F.size(left) - F.size(right)
-    zeros = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
-    digits = F.array_join(
-        F.transform(F.concat(left, zeros, right), lambda h: F.lpad(h, 4, "0")), ""
-    )
     group = rf"{_HEXTET}(?::{_HEXTET})*"
-    shape = F.when(gap, text.rlike(rf"\A(?:{group})?::(?:{group})?\z")).otherwise(
-        text.rlike(rf"\A{group}\z")
+    shape = rf"\A(?:{group}|(?:{group})?::(?:{group})?)\z"
+    ends = F.when(
+        F.col("_text").contains(":") & F.col("_full").rlike(shape), F.split("_full", "::", 2)
     )
-    fits = F.when(gap, missing >= 1).otherwise(missing == 0)
-    return F.when(shape & fits, digits)
+    steps = with_captures(steps, "_ends", ends)
 
+    def hextets(i: int) -> Column:
+        part = F.nullif(F.get("_ends", F.lit(i)), F.lit(""))
+        return F.coalesce(F.split(part, ":", -1), F.array().cast("array<string>"))
 
-def ip_hex(ip: Column) -> Column:
-    """Sortable key of an address of either family, NULL if the text is none."""
-    return F.when(ip.contains(":"), ipv6_hex(ip)).otherwise(ipv4_hex(ip))
+    steps = with_captures(steps, "_lists", F.struct(hextets(0).alias("l"), hextets(1).alias("r")))
+    left, right = F.col("_lists")["l"], F.col("_lists")["r"]
+    missing = 8 - F.size(left) - F.size(right)
+    fits = F.when(F.size("_ends") == 2, missing >= 1).otherwise(missing == 0)
+    hextet_list = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+    v6 = F.array_join(F.transform(hextet_list, lambda h: F.lpad(h, 4, "0")), "")
+    value = F.when(F.col("_ends").isNotNull(), F.when(fits, v6)).otherwise(
+        F.when(~F.col("_text").contains(":"), F.col("_hex"))
+    )
+    return with_captures(steps, "_key", value).select(*keep, F.col("_key").alias(key))
 
 
 def network_range(cidr: str) -> tuple[str, str]:
@@ -106,6 +108,7 @@ def is_public_key(key: Column) -> Column:
     return F.coalesce(F.when(F.length(key) == 8, v4).otherwise(v6), F.lit(False))
 
 
-def is_public_ip(ip: Column) -> Column:
-    """A valid address that is neither private, loopback nor reserved."""
-    return is_public_key(ip_hex(ip))
+def with_public(df: DataFrame, column: str, name: str = "public") -> DataFrame:
+    """Add whether ``column`` is a valid address, neither private, loopback nor reserved."""
+    keyed = with_ip_key(df, column, "_address")
+    return keyed.withColumn(name, is_public_key(F.col("_address"))).drop("_address")

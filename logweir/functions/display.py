@@ -36,4 +36,4 @@ def one_decimal(value: Column) -> Column:
 
 
 def time_label(timestamp: Column) -> Column:
-    return F.coalesce(F.date_format(timestamp, "HH:mm:ss"), F.lit("--:--:--"))
+    return F.coalesce(F.substring(timestamp.cast("string"), 12, 8), F.lit("--:--:--"))

@@ -168,23 +168,31 @@ def hour(timestamp: Column) -> Column:
 
 def weekday(timestamp: Column) -> Column:
     """English name of the day."""
-    return F.date_format(timestamp, "EEEE")
+    return F.get(F.array(*map(F.lit, WEEKDAYS)), F.weekday(timestamp.cast("date")))
 
 
 def hour_bucket(timestamp: Column) -> Column:
-    return F.date_trunc("hour", timestamp).cast("timestamp_ntz")
+    """Start of the calendar hour.
+
+    date_trunc and date_format work on zoned times only, which would move a
+    wall-clock time that the session's zone skips; so neither is used here.
+    """
+    zero = F.lit(0)
+    within = F.make_dt_interval(
+        zero, zero, F.minute(timestamp), F.extract(F.lit("SECOND"), timestamp)
+    )
+    return timestamp - within
 
 
 def hour_label(bucket: Column) -> Column:
     """Bucket as ``yyyy-MM-dd HH:00``. Format after grouping, not before."""
-    return F.date_format(bucket, "yyyy-MM-dd HH:00")
+    return F.concat(F.substring(bucket.cast("string"), 1, 13), F.lit(":00"))
 
 
 def iso_text(timestamp: Column) -> Column:
     """ISO text; the fraction is written, with six digits, only if there is one."""
-    seconds = F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(timestamp, "SSSSSS")
-    return F.when(micros == "000000", seconds).otherwise(F.concat_ws(".", seconds, micros))
+    text = F.translate(timestamp.cast("string"), " ", "T")
+    return F.when(F.length(text) > 19, F.rpad(text, 26, "0")).otherwise(text)
 
 
 def wall_micros(timestamp: Column) -> Column:

@@ -71,7 +71,8 @@ def _reduce(pieces: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def closest_gaps(entries: DataFrame) -> DataFrame:
     """Per IP active on both sides: events per side and the smallest gap in microseconds."""
-    instants = _instants(entries).withColumn("minute", F.floor(F.col("at") / _MINUTE))
+    minute = F.col("at") - F.pmod(F.col("at"), F.lit(_MINUTE))
+    instants = _instants(entries).withColumn("minute", minute)
     minutes = _reduce(instants, ["ip", "minute"], "at")
     return (
         _reduce(minutes, ["ip"], "minute")
@@ -92,23 +93,24 @@ def correlations(
     """
     if several_sources is None:
         several_sources = entries.agg(F.min("source") < F.max("source")).scalar()
+    found = correlations_of(closest_gaps(entries).where(several_sources), window_minutes)
+    return found.orderBy("closest_gap_minutes", "ip")
+
+
+def correlations_of(gaps: DataFrame, window_minutes: float = WINDOW_MINUTES) -> DataFrame:
+    """From the closest gaps per IP, in no order."""
     minutes = F.round(F.col("gap") / 1_000_000 / 60, 1)
-    return (
-        closest_gaps(entries)
-        .where(several_sources & (F.col("gap") <= int(window_minutes * _MINUTE)))
-        .select(
-            "ip",
-            F.array(F.lit("ssh"), F.lit("nginx/apache")).alias("sources"),
-            F.col("ssh_count").alias("ssh_event_count"),
-            F.col("http_count").alias("http_event_count"),
-            minutes.alias("closest_gap_minutes"),
-            F.concat(
-                "ip", F.lit(": "), F.col("ssh_count").cast("string"),
-                F.lit(" SSH auth failure(s) and "), F.col("http_count").cast("string"),
-                F.lit(" HTTP 4xx/error request(s), closest pair "), minutes.cast("string"),
-                F.lit(" min apart"),
-            ).alias("description"),
-            severity(F.col("ssh_count"), BRUTE_FORCE_THRESHOLD - 1).alias("severity"),
-        )
-        .orderBy("closest_gap_minutes", "ip")
+    return gaps.where(F.col("gap") <= int(window_minutes * _MINUTE)).select(
+        "ip",
+        F.array(F.lit("ssh"), F.lit("nginx/apache")).alias("sources"),
+        F.col("ssh_count").alias("ssh_event_count"),
+        F.col("http_count").alias("http_event_count"),
+        minutes.alias("closest_gap_minutes"),
+        F.concat(
+            "ip", F.lit(": "), F.col("ssh_count").cast("string"),
+            F.lit(" SSH auth failure(s) and "), F.col("http_count").cast("string"),
+            F.lit(" HTTP 4xx/error request(s), closest pair "), minutes.cast("string"),
+            F.lit(" min apart"),
+        ).alias("description"),
+        severity(F.col("ssh_count"), BRUTE_FORCE_THRESHOLD - 1).alias("severity"),
     )

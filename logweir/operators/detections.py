@@ -24,10 +24,12 @@ SCANNER_HITS = 3
 def brute_force(entries: DataFrame, threshold: int = BRUTE_FORCE_THRESHOLD) -> DataFrame:
     """IPs with many failed logins, over SSH or as denied HTTP requests."""
     failures = entries.where(P.has("ip") & (P.ssh_failure() | P.http_auth_failure()))
-    return brute_force_of(facts_by(failures, "ip"), threshold)
+    found = brute_force_of(facts_by(failures, "ip"), threshold)
+    return found.orderBy(F.desc("count"), "ip", "type")
 
 
 def brute_force_of(ips: DataFrame, threshold: int = BRUTE_FORCE_THRESHOLD) -> DataFrame:
+    """From facts per IP, in no order."""
     kinds = F.stack(
         F.lit(2),
         F.lit("ssh_brute_force"), F.col("ssh_failures"),
@@ -38,13 +40,12 @@ def brute_force_of(ips: DataFrame, threshold: int = BRUTE_FORCE_THRESHOLD) -> Da
         .select("ip", kinds)
         .where(F.col("count") >= threshold)
         .withColumn("severity", severity(F.col("count"), BRUTE_FORCE_HIGH))
-        .orderBy(F.desc("count"), "ip", "type")
     )
 
 
 def high_volume(entries: DataFrame) -> DataFrame:
     """IPs behind more than a fifth of all entries, those without an IP included."""
-    return high_volume_of(facts_by(entries, "ip"))
+    return high_volume_of(facts_by(entries, "ip")).orderBy(F.desc("count"), "ip")
 
 
 def high_volume_of(ips: DataFrame) -> DataFrame:
@@ -69,7 +70,6 @@ def high_volume_of(ips: DataFrame) -> DataFrame:
             ).alias("description"),
             severity(F.col("percent"), VOLUME_HIGH).alias("severity"),
         )
-        .orderBy(F.desc("count"), "ip")
     )
 
 

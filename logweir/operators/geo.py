@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir.functions import predicates as P
-from logweir.functions.addresses import ip_hex, is_public_key
+from logweir.functions.addresses import is_public_key, with_ip_key
 from logweir.operators.topn import top_ips
 
 _PLACE = ["country", "country_code", "city"]
@@ -39,11 +39,14 @@ def networks_from_ranges(ranges: DataFrame, lo: str = "lo", hi: str = "hi") -> D
 def networks_from_cidr(blocks: DataFrame, network: str = "network") -> DataFrame:
     """Network table from CIDR texts such as ``2.125.160.216/29`` of either family."""
     cidr = F.split(F.col(network), "/", 2)
-    parsed = blocks.select(
-        ip_hex(F.get(cidr, F.lit(0))).alias("key"),
+    parts = blocks.select(
+        F.get(cidr, F.lit(0)).alias("address"),
         F.get(cidr, F.lit(1)).try_cast("int").alias("length"),
         *_PLACE,
-    ).where(F.col("key").isNotNull() & F.col("length").between(0, F.length("key") * 4))
+    )
+    parsed = with_ip_key(parts, "address").where(
+        F.col("key").isNotNull() & F.col("length").between(0, F.length("key") * 4)
+    )
     # Whole digits of the prefix stay; the next one is split; the rest is free.
     whole = F.floor(F.col("length") / 4).cast("int")
     step = F.pow(F.lit(2), 4 - F.col("length") % 4).cast("int")
@@ -100,7 +103,7 @@ def _asking(keyed: DataFrame) -> DataFrame:
 
 def locate(ips: DataFrame, networks: DataFrame) -> DataFrame:
     """Place of each public address in ``ips``; others and unknown ones give no row."""
-    keyed = ips.select("ip", ip_hex(F.col("ip")).alias("key")).where(is_public_key(F.col("key")))
+    keyed = with_ip_key(ips.select("ip"), "ip").where(is_public_key(F.col("key")))
     asking, filed = _asking(keyed), _filed(networks)
     inside = (asking["prefix"] == filed["prefix"]) & F.col("key").between(
         F.col("lo"), F.col("hi")

@@ -95,33 +95,23 @@ def weekday_profile(weekday_counts: DataFrame) -> DataFrame:
 
 
 def timeline_of(hours: DataFrame) -> DataFrame:
-    return (
-        hours.where(F.col("hour").isNotNull())
-        .groupBy("hour")
-        .agg(
-            F.sum("total").alias("total"),
-            F.sum("level_errors").alias("errors"),
-            F.sum("warnings").alias("warnings"),
-        )
-        .select(times.hour_label(F.col("hour")).alias("time"), "total", "errors", "warnings")
-        .orderBy("time")
+    """From facts with one row per calendar hour, in no order."""
+    return hours.where(F.col("hour").isNotNull()).select(
+        times.hour_label(F.col("hour")).alias("time"),
+        "total",
+        F.col("level_errors").alias("errors"),
+        "warnings",
     )
 
 
 def timeline(entries: DataFrame) -> DataFrame:
     """Per calendar hour with entries: total, errors by level, warnings."""
-    hours = _per_hour(entries)
-    return hours.select(
-        times.hour_label(F.col("hour")).alias("time"),
-        "total",
-        F.col("level_errors").alias("errors"),
-        "warnings",
-    ).orderBy("time")
+    return timeline_of(_per_hour(entries)).orderBy("time")
 
 
 def spikes(entries: DataFrame, **bounds) -> DataFrame:
     """Hours with far more errors (by level or status) than the average hour."""
-    return spikes_of(_per_hour(entries), **bounds)
+    return spikes_of(_per_hour(entries), **bounds).orderBy(F.desc("errors"), "window")
 
 
 def spikes_of(
@@ -130,7 +120,7 @@ def spikes_of(
     min_entries: int = SPIKE_MIN_ENTRIES,
     min_errors: int = SPIKE_MIN_ERRORS,
 ) -> DataFrame:
-    """Spikes from facts with one row per calendar hour.
+    """Spikes from facts with one row per calendar hour, in no order.
 
     The average is over the hours that have entries. It is a scalar subquery on
     the same hourly aggregate, which is thereby computed once.
@@ -147,5 +137,4 @@ def spikes_of(
             F.round(errors / total * 100, 1).alias("error_rate"),
             F.round(errors / average, 1).alias("vs_average"),
         )
-        .orderBy(F.desc("errors"), "window")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from logweir.functions import predicates as P
 from logweir.functions.times import iso_text
 from logweir.operators import correlation, detections, geo, overview, temporal, topn
 from logweir.operators.facts import all_facts, facts_of, regroup
@@ -89,7 +90,7 @@ class Report:
 
     @cached_property
     def _facts(self) -> DataFrame:
-        return settled(all_facts(self.entries))
+        return settled(all_facts(self.entries), by="facts")
 
     def _by(self, name: str) -> DataFrame:
         return facts_of(self._facts, name)
@@ -128,8 +129,8 @@ class Report:
     def correlations(self) -> DataFrame:
         hours = self._by("hour")
         several = hours.agg(F.min("source") < F.max("source")).scalar()
-        found = correlation.correlations(self.entries, self.correlation_window_minutes, several)
-        return settled(found)
+        gaps = correlation.closest_gaps(self.entries).where(several)
+        return settled(correlation.correlations_of(gaps, self.correlation_window_minutes))
 
     @cached_property
     def geo(self) -> DataFrame | None:
@@ -138,7 +139,8 @@ class Report:
         ips = self._by("ip")
         if self.geo_ips == "top":
             ips = topn.rank(ips, "ip", self.top_n)
-        return settled(geo.locate(ips.select("ip"), self.networks))
+            return geo.locate(ips.select("ip"), self.networks)
+        return settled(geo.locate(ips.where(P.has("ip")).select("ip"), self.networks))
 
     @cached_property
     def sections(self) -> dict[str, Section]:

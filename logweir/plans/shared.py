@@ -32,10 +32,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The result computed once and kept in the shared folder.
+def settled(df: DataFrame, by: str | None = None) -> DataFrame:
+    """The result computed once and kept as a table in the shared folder.
 
-    It outlives lost executors, and whatever reads it does not compute it again.
+    It outlives lost executors, and whatever reads it reads only the columns it
+    needs, and only the rows of one value of ``by``.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    path = new_path(df.sparkSession, "settled")
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.schema import ENTRY_SCHEMA
 
 CUSTOM_CONFIG = {
     "name": "myapp",
@@ -48,95 +47,91 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entry fields of every event, with ``seq``, ``user_id``, ``k`` and ``event``."""
-    seq, user, k = F.col("event_id"), F.col("user_id"), F.col("k")
-    events = table(spark, sf_dir, "events").select(
-        "event_id", "ts", "user_id", "event_type",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-    )
-    kind = F.col("event_type")
-    source = (
-        F.when(kind == "signup", "ssh").when(kind == "error", "fail2ban")
-        .when(kind == "purchase", "apache").otherwise("nginx")
-    )
-    third = F.floor(user / 256).cast("int").cast("string")
-    address = F.concat(F.lit("10.0."), third, F.lit("."), (user % 256).cast("string"))
-    with_ip = events.select(
-        seq.alias("seq"), "ts", "user_id", "k", source.alias("source"),
-        F.when(user % 4 == 0, "203.0.113.7").otherwise(address).alias("address"),
+#: Entries of the events, as SQL that both engines run. Only the words in braces differ.
+ENTRIES_SQL = """
+WITH b AS (
+  SELECT event_id AS seq, ts, user_id, event_type, CAST({k} AS INT) AS k FROM {events}
+), c AS (
+  SELECT seq, ts, user_id, k,
+    CASE event_type WHEN 'signup' THEN 'ssh' WHEN 'error' THEN 'fail2ban'
+                    WHEN 'purchase' THEN 'apache' ELSE 'nginx' END AS source,
+    CASE WHEN user_id % 4 = 0 THEN '203.0.113.7'
+         ELSE concat('10.0.', CAST(CAST(floor(user_id / 256) AS INT) AS VARCHAR(20)), '.',
+                     CAST(user_id % 256 AS VARCHAR(20))) END AS address
+  FROM b
+), d AS (
+  SELECT *,
+    CASE WHEN source IN ('nginx','apache') THEN
+      CASE WHEN k < 60 THEN 200 WHEN k < 70 THEN 301 WHEN k < 78 THEN 401
+           WHEN k < 84 THEN 403 WHEN k < 92 THEN 404 ELSE 500 END END AS status,
+    CASE WHEN source = 'ssh' THEN
+           CASE WHEN k < 70 THEN 'failed' WHEN k < 90 THEN 'accepted' ELSE 'disconnect' END
+         WHEN source = 'fail2ban' THEN
+           CASE WHEN k % 2 = 0 THEN 'ban' WHEN k % 3 = 0 THEN 'unban' ELSE 'info' END END AS event,
+    CASE WHEN source IN ('nginx','apache') THEN
+      CASE k % 20 WHEN 1 THEN '/.env' WHEN 2 THEN '/wp-login.php' WHEN 3 THEN '/a/.git/config'
+           ELSE concat('/item/', CAST(k AS VARCHAR(20))) END END AS path,
+    CASE WHEN source IN ('nginx','apache') THEN
+      CASE WHEN k % 5 = 0 THEN 'POST' WHEN k % 11 = 0 THEN 'PUT' ELSE 'GET' END END AS method,
+    CASE WHEN source IN ('nginx','apache') THEN
+      CASE k % 3 WHEN 0 THEN 'Mozilla/5.0' WHEN 1 THEN 'curl/8.0' END END AS user_agent,
+    CASE WHEN source IN ('nginx','apache') AND k % 7 <> 0 THEN CAST(k * 100 AS BIGINT) END AS size
+  FROM c
+), e AS (
+  SELECT *,
+    CASE WHEN source = 'nginx' AND status = 500
+         THEN CAST(date_trunc('day', ts) AS {time}) + INTERVAL '3' HOUR
+              + (ts - CAST(date_trunc('hour', ts) AS {time}))
+         ELSE ts END AS moved,
+    CASE WHEN status >= 500 THEN 'ERROR' WHEN status >= 400 THEN 'WARNING'
+         WHEN event IN ('failed','ban') THEN 'WARNING' ELSE 'INFO' END AS level
+  FROM {fields}
+), entries AS (
+  SELECT seq, user_id, k, event, source, CAST(date_trunc('second', moved) AS {time}) AS ts, level,
+    CASE WHEN source = 'fail2ban' AND event = 'info' THEN NULL ELSE address END AS ip,
+    method, path, status, size, user_agent,
+    CASE WHEN status IS NOT NULL THEN concat(method, ' ', path, ' ', CAST(status AS VARCHAR(20)))
+         WHEN event = 'failed'
+           THEN concat('SSH login failed: u', CAST(user_id AS VARCHAR(20)), ' from ', address)
+         WHEN event = 'accepted'
+           THEN concat('SSH login accepted: u', CAST(user_id AS VARCHAR(20)), ' via publickey')
+         WHEN event = 'disconnect' THEN concat('SSH disconnect: u', CAST(user_id AS VARCHAR(20)))
+         WHEN event = 'ban' THEN concat('[sshd] Ban ', address)
+         WHEN event = 'unban' THEN concat('[sshd] Unban ', address)
+         ELSE '[sshd] Found nothing' END AS message
+  FROM e
+)"""
+
+
+# Fields computed once per event. Without the generated row, every filter on an
+# entry would be rewritten in terms of the events, many times over.
+_ONCE = (
+    "(SELECT x.* FROM (SELECT struct(*) AS row FROM d) LATERAL VIEW explode(array(row)) t AS x)"
+)
+
+
+def _entries_sql(spark: SparkSession, sf_dir: str, select: str) -> DataFrame:
+    sql = ENTRIES_SQL.format(
+        events="{events}", k="get_json_object(props, '$.k')", time="TIMESTAMP_NTZ", fields=_ONCE
     )
+    return spark.sql(f"{sql} {select}", events=table(spark, sf_dir, "events"))
 
-    web = F.col("source").isin("nginx", "apache")
-    status = (
-        F.when(k < 60, 200).when(k < 70, 301).when(k < 78, 401).when(k < 84, 403)
-        .when(k < 92, 404).otherwise(500)
-    )
-    login = F.when(k < 70, "failed").when(k < 90, "accepted").otherwise("disconnect")
-    action = F.when(k % 2 == 0, "ban").when(k % 3 == 0, "unban").otherwise("info")
-    path = (
-        F.when(k % 20 == 1, "/.env").when(k % 20 == 2, "/wp-login.php")
-        .when(k % 20 == 3, "/a/.git/config")
-        .otherwise(F.concat(F.lit("/item/"), k.cast("string")))
-    )
-    method = F.when(k % 5 == 0, "POST").when(k % 11 == 0, "PUT").otherwise("GET")
-    agent = F.when(k % 3 == 0, "Mozilla/5.0").when(k % 3 == 1, "curl/8.0")
-    fields = with_ip.select(
-        "*",
-        F.when(web, status).alias("status"),
-        F.when(F.col("source") == "ssh", login)
-        .when(F.col("source") == "fail2ban", action).alias("event"),
-        F.when(web, path).alias("path"),
-        F.when(web, method).alias("method"),
-        F.when(web, agent).alias("user_agent"),
-        F.when(web & (k % 7 != 0), k.cast("bigint") * 100).alias("size"),
-    )
 
-    ts, event = F.col("ts"), F.col("event")
-    code = F.col("status")
-    moved = (
-        F.date_trunc("day", ts).cast("timestamp_ntz")
-        + F.expr("INTERVAL '3' HOUR")
-        + (ts - F.date_trunc("hour", ts).cast("timestamp_ntz"))
-    )
-    at = F.when((F.col("source") == "nginx") & (code == 500), moved).otherwise(ts)
-    level = (
-        F.when(code >= 500, "ERROR").when(code >= 400, "WARNING")
-        .when(event.isin("failed", "ban"), "WARNING").otherwise("INFO")
-    )
-    name = F.concat(F.lit("u"), F.col("user_id").cast("string"))
-    address = F.col("address")
-    message = (
-        F.when(code.isNotNull(), F.concat_ws(" ", "method", "path", code.cast("string")))
-        .when(event == "failed", F.concat(F.lit("SSH login failed: "), name, F.lit(" from "), address))
-        .when(event == "accepted", F.concat(F.lit("SSH login accepted: "), name, F.lit(" via publickey")))
-        .when(event == "disconnect", F.concat(F.lit("SSH disconnect: "), name))
-        .when(event == "ban", F.concat(F.lit("[sshd] Ban "), address))
-        .when(event == "unban", F.concat(F.lit("[sshd] Unban "), address))
-        .otherwise("[sshd] Found nothing")
-    )
-    nameless = (F.col("source") == "fail2ban") & (event == "info")
-    return fields.select(
-        "seq", "user_id", "k", "event", "source", "method", "path", "status", "size",
-        "user_agent", "address",
-        F.date_trunc("second", at).cast("timestamp_ntz").alias("timestamp"),
-        level.alias("level"),
-        F.when(~F.coalesce(nameless, F.lit(False)), address).alias("ip"),
-        message.alias("message"),
-    )
+def event_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entry fields of every event, with ``seq``, ``user_id``, ``k`` and ``event``."""
+    return _entries_sql(spark, sf_dir, "SELECT *, ts AS timestamp FROM entries")
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as entries; the source stands for the file, the number for the line."""
-    extra = F.when(
-        F.col("event").isNotNull(), F.create_map(F.lit("event"), F.col("event"))
-    ).otherwise(F.create_map().cast("map<string,string>"))
-    given = {
-        "raw": F.col("message"), "extra": extra, "file": F.col("source"),
-        "block_start": F.lit(0), "mid": F.col("seq"),
-    }
-    return event_entries(spark, sf_dir).select(
-        *(given.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in ENTRY_SCHEMA)
+    return _entries_sql(
+        spark,
+        sf_dir,
+        """SELECT source, message AS raw, ts AS timestamp, level, ip, method, path, status, size,
+        user_agent, message,
+        CASE WHEN event IS NOT NULL THEN map('event', event)
+             ELSE CAST(map() AS MAP<STRING, STRING>) END AS extra,
+        source AS file, CAST(0 AS BIGINT) AS block_start, seq AS mid FROM entries""",
     )
 
 

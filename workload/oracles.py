@@ -4,57 +4,9 @@ from __future__ import annotations
 
 from workload import adapter
 
-_ENTRIES = """
-WITH b AS (
-  SELECT event_id AS seq, ts, user_id, event_type,
-         CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events
-), c AS (
-  SELECT seq, ts, user_id, k,
-    CASE event_type WHEN 'signup' THEN 'ssh' WHEN 'error' THEN 'fail2ban'
-                    WHEN 'purchase' THEN 'apache' ELSE 'nginx' END AS source,
-    CASE WHEN user_id % 4 = 0 THEN '203.0.113.7'
-         ELSE concat('10.0.', CAST(CAST(floor(user_id / 256) AS INT) AS VARCHAR), '.',
-                     CAST(user_id % 256 AS VARCHAR)) END AS ip
-  FROM b
-), d AS (
-  SELECT *,
-    CASE WHEN source IN ('nginx','apache') THEN
-      CASE WHEN k < 60 THEN 200 WHEN k < 70 THEN 301 WHEN k < 78 THEN 401
-           WHEN k < 84 THEN 403 WHEN k < 92 THEN 404 ELSE 500 END END AS status,
-    CASE WHEN source = 'ssh' THEN
-           CASE WHEN k < 70 THEN 'failed' WHEN k < 90 THEN 'accepted' ELSE 'disconnect' END
-         WHEN source = 'fail2ban' THEN
-           CASE WHEN k % 2 = 0 THEN 'ban' WHEN k % 3 = 0 THEN 'unban' ELSE 'info' END END AS event,
-    CASE WHEN source IN ('nginx','apache') THEN
-      CASE k % 20 WHEN 1 THEN '/.env' WHEN 2 THEN '/wp-login.php' WHEN 3 THEN '/a/.git/config'
-           ELSE concat('/item/', CAST(k AS VARCHAR)) END END AS path,
-    CASE WHEN source IN ('nginx','apache') THEN
-      CASE WHEN k % 5 = 0 THEN 'POST' WHEN k % 11 = 0 THEN 'PUT' ELSE 'GET' END END AS method,
-    CASE WHEN source IN ('nginx','apache') THEN
-      CASE k % 3 WHEN 0 THEN 'Mozilla/5.0' WHEN 1 THEN 'curl/8.0' END END AS user_agent,
-    CASE WHEN source IN ('nginx','apache') AND k % 7 <> 0 THEN CAST(k * 100 AS BIGINT) END AS size
-  FROM c
-), e AS (
-  SELECT seq, source, ip, method, path, status, size, user_agent, event, user_id, k,
-    CASE WHEN source = 'nginx' AND status = 500
-         THEN date_trunc('day', ts) + INTERVAL '3' HOUR + (ts - date_trunc('hour', ts))
-         ELSE ts END AS ts0,
-    CASE WHEN status >= 500 THEN 'ERROR' WHEN status >= 400 THEN 'WARNING'
-         WHEN event IN ('failed','ban') THEN 'WARNING' ELSE 'INFO' END AS level
-  FROM d
-), entries AS (
-  SELECT seq, user_id, k, source, date_trunc('second', ts0) AS ts, level,
-    CASE WHEN source = 'fail2ban' AND event = 'info' THEN NULL ELSE ip END AS ip,
-    method, path, status, size, user_agent, event,
-    CASE WHEN status IS NOT NULL THEN concat(method, ' ', path, ' ', CAST(status AS VARCHAR))
-         WHEN event = 'failed' THEN concat('SSH login failed: u', CAST(user_id AS VARCHAR), ' from ', ip)
-         WHEN event = 'accepted' THEN concat('SSH login accepted: u', CAST(user_id AS VARCHAR), ' via publickey')
-         WHEN event = 'disconnect' THEN concat('SSH disconnect: u', CAST(user_id AS VARCHAR))
-         WHEN event = 'ban' THEN concat('[sshd] Ban ', ip)
-         WHEN event = 'unban' THEN concat('[sshd] Unban ', ip)
-         ELSE '[sshd] Found nothing' END AS message
-  FROM e
-)"""
+_ENTRIES = adapter.ENTRIES_SQL.format(
+    events="events", k="json_extract_string(props, '$.k')", time="TIMESTAMP", fields="d"
+)
 
 _IS_ERROR = "(coalesce(status, 0) >= 400 OR level IN ('ERROR', 'CRITICAL'))"
 _SSH_FAILURE = "(source = 'ssh' AND event = 'failed')"

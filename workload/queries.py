@@ -88,10 +88,8 @@ def _public_ips(spark, sf_dir):
     asked = adapter.geo_addresses(spark, sf_dir).unionByName(
         adapter.entries(spark, sf_dir).select("ip")
     )
-    public = addresses.is_public_ip(F.col("ip"))
-    return asked.where(predicates.has("ip")).groupBy("ip").agg(
-        F.count(F.lit(1)).alias("count")
-    ).select("ip", "count", public.alias("public"))
+    counted = asked.where(predicates.has("ip")).groupBy("ip").agg(F.count(F.lit(1)).alias("count"))
+    return addresses.with_public(counted, "ip")
 
 
 def _entry_flags(spark, sf_dir):
