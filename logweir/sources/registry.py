@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweir.functions.text import with_captures
 from logweir.schema import ENTRY_COLUMNS, ORDER_COLUMNS, PARSED, to_entries
 from logweir.sources import custom as custom_format
 from logweir.sources import documents, syslog, web, xml
@@ -60,8 +61,10 @@ def register_format(
 
     def parse(lines: DataFrame) -> DataFrame:
         line = F.col("value")
-        given = {"source": F.lit(name), "raw": line, **fields(line)}
-        return to_entries(lines, parsed(line), given)
+        df = with_captures(lines, "accepted", F.coalesce(parsed(line), F.lit(False)))
+        # A field need only work on lines that the format accepts.
+        own = {key: F.when(F.col("accepted"), value) for key, value in fields(line).items()}
+        return to_entries(df, F.col("accepted"), {"source": F.lit(name), "raw": line, **own})
 
     _LINE_FORMATS[name] = parse
 
