@@ -54,10 +54,11 @@ def high_volume_of(ips: DataFrame) -> DataFrame:
     The total is a scalar subquery over the same aggregate, not a second scan.
     """
     total = ips.agg(F.sum("total").alias("total")).scalar()
-    percent = F.col("total") / total * 100
+    # The IP is tested with the count: a test of the IP alone would be moved below
+    # the grouping, which would then no longer be the one that the total is of.
+    percent = F.when(P.has("ip"), F.col("total") / total * 100)
     return (
-        ips.where(P.has("ip"))
-        .select("ip", F.col("total").alias("count"), percent.alias("percent"))
+        ips.select("ip", F.col("total").alias("count"), percent.alias("percent"))
         .where(F.col("percent") > VOLUME_PERCENT)
         .select(
             F.lit("high_volume_ip").alias("type"),

@@ -72,7 +72,8 @@ def peaks(hour_counts: DataFrame, weekday_counts: DataFrame) -> DataFrame:
 
 
 def peak_times(entries: DataFrame) -> DataFrame:
-    return peaks(by_hour(entries), by_weekday(entries))
+    hours = _per_hour(entries)
+    return peaks(hours_of_day(hours), weekdays_of(hours))
 
 
 def hour_profile(hour_counts: DataFrame) -> DataFrame:
@@ -125,7 +126,10 @@ def spikes_of(
     The average is over the hours that have entries. It is a scalar subquery on
     the same hourly aggregate, which is thereby computed once.
     """
-    average = hours.agg((F.sum("any_errors") / F.count(F.lit(1))).alias("average")).scalar()
+    # Every hour has entries. Counting the hours by `total` asks for the measures of
+    # the outer query, in its order, so that both share one shuffle.
+    count = F.count_if(F.col("total") > 0)
+    average = hours.agg(F.when(count > 0, F.sum("any_errors") / count).alias("average")).scalar()
     errors, total = F.col("any_errors"), F.col("total")
     hot = (total >= min_entries) & (errors > average * multiplier) & (errors >= min_errors)
     return (

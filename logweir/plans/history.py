@@ -57,7 +57,7 @@ def append_run(
     spark = report.entries.sparkSession
     last = runs(spark, folder).agg(F.max("id")).first()[0]
     run_id = (last or 0) + 1
-    now = F.lit(run_at or datetime.now()).cast("timestamp_ntz")
+    now = F.lit((run_at or datetime.now()).isoformat()).cast("timestamp_ntz")
     meta = report.meta.select(F.struct("*")).scalar()
     # Built on the document's one row; the figures come as one more scalar.
     row = report.document().select(

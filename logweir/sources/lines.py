@@ -42,14 +42,14 @@ def not_blank(lines: DataFrame) -> DataFrame:
 def _scan(
     spark: SparkSession, paths: Paths, files: Column | None, options: dict
 ) -> DataFrame:
-    text = spark.read.options(**options).text(path_list(paths))
+    text = spark.read.text(path_list(paths), **options)
     if files is not None:
         text = text.where(files)
     return not_blank(numbered(_placed(text)))
 
 
 def scan_lines(
-    spark: SparkSession, paths: Paths, files: Column | None = None, **options: str
+    spark: SparkSession, paths: Paths, files: Column | None = None, **options
 ) -> DataFrame:
     """Non-blank lines of text files; invalid UTF-8 shows as U+FFFD.
 
@@ -60,7 +60,7 @@ def scan_lines(
 
 def scan_documents(spark: SparkSession, paths: Paths, files: Column | None = None) -> DataFrame:
     """Whole files, one row each: a file has to fit the task that reads it."""
-    return _scan(spark, paths, files, {"wholetext": "true"})
+    return _scan(spark, paths, files, {"wholetext": True})
 
 
 def stream_lines(spark: SparkSession, directory: str, **options: str) -> DataFrame:
