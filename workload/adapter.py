@@ -110,23 +110,32 @@ _ONCE = (
 )
 
 
-def _entries_sql(spark: SparkSession, sf_dir: str, select: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input too small to be split; a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _entries_sql(spark: SparkSession, events: DataFrame, select: str) -> DataFrame:
     sql = ENTRIES_SQL.format(
         events="{events}", k="get_json_object(props, '$.k')", time="TIMESTAMP_NTZ", fields=_ONCE
     )
-    return spark.sql(f"{sql} {select}", events=table(spark, sf_dir, "events"))
+    return spark.sql(f"{sql} {select}", events=events)
 
 
 def event_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entry fields of every event, with ``seq``, ``user_id``, ``k`` and ``event``."""
-    return _entries_sql(spark, sf_dir, "SELECT *, ts AS timestamp FROM entries")
+    events = table(spark, sf_dir, "events").select(
+        "event_id", "ts", "user_id", "event_type", "props"
+    )
+    return _entries_sql(spark, spread(events), "SELECT *, ts AS timestamp FROM entries")
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as entries; the source stands for the file, the number for the line."""
     return _entries_sql(
         spark,
-        sf_dir,
+        table(spark, sf_dir, "events"),
         """SELECT source, message AS raw, ts AS timestamp, level, ip, method, path, status, size,
         user_agent, message,
         CASE WHEN event IS NOT NULL THEN map('event', event)
