@@ -41,10 +41,18 @@ def tail(entries: DataFrame, n: int, per: str = "file") -> DataFrame:
 def cap(entries: DataFrame, n: int, files: Iterable[str] | None = None) -> DataFrame:
     """The first n entries over all files, to be analysed instead of all.
 
-    Files count in the order given, or by name.
+    Files count in the order given, or by name. Entries are counted per split
+    first, so that only the splits that hold the first n are sorted.
     """
     if files is None:
         place: Column = F.col("file")
     else:
         place = F.array_position(F.array(*map(F.lit, files)), F.col("file"))
-    return _first_rows(entries, n, [place, F.col("block_start"), F.col("mid")], [])
+    split = F.struct(place.alias("place"), F.col("block_start").alias("start"))
+    counts = entries.groupBy(split.alias("split")).agg(F.count(F.lit(1)).alias("count"))
+    # One row per split of the input, however many entries it has.
+    so_far = F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("split"))
+    reached = counts.withColumn("so_far", so_far).where(F.col("so_far") >= n)
+    last = reached.agg(F.min("split")).scalar()
+    near = entries.where(last.isNull() | (split <= last))
+    return _first_rows(near, n, [place, F.col("block_start"), F.col("mid")], [])
