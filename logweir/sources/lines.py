@@ -77,12 +77,14 @@ def stream_lines(spark: SparkSession, directory: str, **options: str) -> DataFra
 def lines_of(df: DataFrame, column: str = "value", order: str | Column | None = None) -> DataFrame:
     """Lines held in a column of any table or stream (a message value, say).
 
-    ``order`` is a number that orders the lines; without it they are numbered in
-    the order in which the partitions hold them.
+    ``order`` is a number that orders the lines, such as the offset of a message.
+    Without it they are numbered as the partitions hold them; in a stream, which
+    cannot be numbered, they have no position.
     """
-    position = F.monotonically_increasing_id() if order is None else order
-    if isinstance(position, str):
-        position = F.col(position)
+    if order is not None:
+        position = F.col(order) if isinstance(order, str) else order
+    else:
+        position = F.lit(None) if df.isStreaming else F.monotonically_increasing_id()
     named = df.select(
         F.make_valid_utf8(F.col(column).cast("string")).alias("value"),
         *(

@@ -5,7 +5,8 @@ from datetime import datetime
 
 import logweir
 from logweir.functions.predicates import is_error
-from logweir.sources.registry import entries_of, read_tagged
+from logweir.sources.lines import lines_of
+from logweir.sources.registry import entries_of, line_format, read_tagged
 from logweir.streaming.live import alerts, display, live_tagged, start_alerts, start_ingest
 from logweir.streaming.recurring import recurring_run
 from tests.helpers import rows
@@ -74,6 +75,16 @@ def test_display_of_an_entry_without_a_message(spark):
     assert rows(display(df))[0]["text"] == "r" * 120
 
 
+def test_lines_in_a_column_of_a_stream(spark, tmp_path):
+    land(tmp_path / "d", "a.json", "".join(json.dumps({"body": x}) + "\n" for x in lines(1, 5).splitlines() + ["junk"]))
+    stream = spark.readStream.schema("body string").json(str(tmp_path / "d"))
+    parsed = entries_of(line_format("nginx")(lines_of(stream, "body")))
+    query = parsed.writeStream.format("memory").queryName("bodies").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.table("bodies").collect()
+    assert sorted(r.path for r in got) == [f"/{i}" for i in range(5)] and got[0].mid is None
+
+
 def test_recurring_run(spark, tmp_path):
     landing = tmp_path / "landing"
     where = dict(table=str(tmp_path / "t"), checkpoint=str(tmp_path / "c"), history=str(tmp_path / "h"))

@@ -161,10 +161,11 @@ def _lines(df: DataFrame, value: Column) -> DataFrame:
 
 def _request() -> Column:
     c = F.col
+    referer = F.when(c("k") % 2 == 0, _text("http://r.example/", c("k"))).otherwise("-")
     return _text(
         "[", F.date_format("timestamp", "dd/MMM/yyyy:HH:mm:ss"), ' +0000] "', c("method"), " ",
         c("path"), ' HTTP/1.1" ', c("status"), " ", F.coalesce(c("size").cast("string"), F.lit("-")),
-        ' "-" "', F.coalesce("user_agent", F.lit("-")), '"',
+        ' "', referer, '" "', F.coalesce("user_agent", F.lit("-")), '"',
     )
 
 

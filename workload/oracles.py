@@ -226,19 +226,22 @@ ORACLES: dict[str, str] = {
     "correlation": _entries(_CORRELATION),
     "geo": _GEO_TABLES + " SELECT ip, country, country_code, city FROM lk JOIN net ON n BETWEEN lo AND hi",
     "public_ips": _entries(
-        "SELECT ip, count(*) AS count, NOT (ip LIKE '10.%' OR ip LIKE '203.0.113.%') AS public FROM ("
+        "SELECT ip, count(*) AS count, CAST(NOT (ip LIKE '10.%' OR ip LIKE '203.0.113.%') AS INT) AS public FROM ("
         "SELECT concat(CASE WHEN event_id % 4 = 0 THEN '10' WHEN event_id % 4 = 1 THEN '5' ELSE '2' END, "
         "'.', CAST(event_id % 256 AS VARCHAR), '.216.1') AS ip FROM events "
         "UNION ALL SELECT ip FROM entries) WHERE ip IS NOT NULL GROUP BY ip"
     ),
     "entry_flags": _entries(
-        f"SELECT seq, {_IS_ERROR} AS is_error, coalesce(status BETWEEN 400 AND 499, FALSE) AS is_client_error, "
-        f"coalesce(status >= 500, FALSE) AS is_server_error, coalesce({_SSH_FAILURE}, FALSE) AS ssh_failure, "
-        f"{_SCAN} AS scanner_path, CAST(hour(ts) AS INT) AS hour, dayname(ts) AS weekday, "
+        f"SELECT seq, CAST({_IS_ERROR} AS INT) AS is_error, "
+        "CAST(coalesce(status BETWEEN 400 AND 499, FALSE) AS INT) AS is_client_error, "
+        "CAST(coalesce(status >= 500, FALSE) AS INT) AS is_server_error, "
+        f"CAST(coalesce({_SSH_FAILURE}, FALSE) AS INT) AS ssh_failure, "
+        f"CAST({_SCAN} AS INT) AS scanner_path, CAST(hour(ts) AS INT) AS hour, dayname(ts) AS weekday, "
         "strftime(ts, '%Y-%m-%d %H:00') AS hour_label FROM entries"
     ),
     "ingest_nginx": _entries(
-        f"SELECT seq, {_ACCESS}, CAST(NULL AS VARCHAR) AS referer FROM entries WHERE source = 'nginx'"
+        f"SELECT seq, {_ACCESS}, CASE WHEN k % 2 = 0 THEN concat('http://r.example/', CAST(k AS VARCHAR)) END AS referer "
+        "FROM entries WHERE source = 'nginx'"
     ),
     "ingest_apache": _entries(f"SELECT seq, {_ACCESS} FROM entries WHERE source = 'apache'"),
     "ingest_nginx_error": _entries(
@@ -246,7 +249,7 @@ ORACLES: dict[str, str] = {
         "CAST(user_id AS VARCHAR) AS pid FROM entries"
     ),
     "ingest_apache_error": _entries(
-        f"SELECT seq, 'apache' AS source, CAST(NULL AS TIMESTAMP) AS timestamp, ip, {_WEB_LEVEL} AS level, "
+        f"SELECT seq, 'apache' AS source, ip, {_WEB_LEVEL} AS level, "
         "message, 'core' AS module, CAST(user_id AS VARCHAR) AS pid FROM entries"
     ),
     "ingest_syslog": _syslog("syslog"),
@@ -366,7 +369,7 @@ ORACLES: dict[str, str] = {
     ),
     "run_findings": _entries(_BRUTE_FORCE),
     "entries_table": _entries(
-        "SELECT CAST(ts AS DATE) AS day, level, count(*) AS total FROM entries WHERE source = 'ssh' GROUP BY 1, 2"
+        "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, level, count(*) AS total FROM entries WHERE source = 'ssh' GROUP BY 1, 2"
     ),
     "live_ingest": _entries(f"SELECT {_ACCESS} FROM entries WHERE source = 'nginx'"),
     "live_alerts": _entries(

@@ -89,18 +89,18 @@ def _public_ips(spark, sf_dir):
         adapter.entries(spark, sf_dir).select("ip")
     )
     counted = asked.where(predicates.has("ip")).groupBy("ip").agg(F.count(F.lit(1)).alias("count"))
-    return addresses.with_public(counted, "ip")
+    return addresses.with_public(counted, "ip").withColumn("public", F.col("public").cast("int"))
 
 
 def _entry_flags(spark, sf_dir):
     p = predicates
     return adapter.entries(spark, sf_dir).select(
         F.col("mid").alias("seq"),
-        p.is_error().alias("is_error"),
-        p.is_client_error().alias("is_client_error"),
-        p.is_server_error().alias("is_server_error"),
-        p.ssh_failure().alias("ssh_failure"),
-        p.scanner_path().alias("scanner_path"),
+        p.is_error().cast("int").alias("is_error"),
+        p.is_client_error().cast("int").alias("is_client_error"),
+        p.is_server_error().cast("int").alias("is_server_error"),
+        p.ssh_failure().cast("int").alias("ssh_failure"),
+        p.scanner_path().cast("int").alias("scanner_path"),
         times.hour(F.col("timestamp")).alias("hour"),
         times.weekday(F.col("timestamp")).alias("weekday"),
         times.hour_label(times.hour_bucket(F.col("timestamp"))).alias("hour_label"),
@@ -293,7 +293,8 @@ def _entries_table(spark, sf_dir):
     path = new_path(spark, "entries")
     write_entries(adapter.entries(spark, sf_dir), path)
     back = read_entries(spark, path).where(F.col("source") == "ssh")
-    return back.groupBy("day", "level").agg(F.count(F.lit(1)).alias("total"))
+    day = F.col("day").cast("string").alias("day")
+    return back.groupBy(day, "level").agg(F.count(F.lit(1)).alias("total"))
 
 
 def _landed_nginx(spark, sf_dir) -> str:
@@ -377,7 +378,7 @@ QUERIES: dict[str, Query] = {
     ),
     "ingest_apache_error": _ingested(
         adapter.apache_error_lines, web.apache,
-        ["seq", "source", "timestamp", "ip", "level", "message"], ("module", "pid"),
+        ["seq", "source", "ip", "level", "message"], ("module", "pid"),
     ),
     "ingest_syslog": _ingested(
         adapter.syslog_lines, line_format("syslog", year=YEAR), _SYSLOG, ("host", "service", "pid")
