@@ -9,36 +9,23 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweir.plans.report import REPORT_DDL, Report
+from logweir.plans.shared import read_table
 from logweir.schema import RUN_SCHEMA
 
 _FINDING_SCHEMA = "section string, item string, run_id bigint"
 
 
-def _read(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The table, or no rows where there is none yet.
-
-    Columns added since a file was written read as NULL.
-    """
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def runs(spark: SparkSession, folder: str) -> DataFrame:
-    return _read(spark, f"{folder}/runs", RUN_SCHEMA)
+    return read_table(spark, f"{folder}/runs", RUN_SCHEMA)
 
 
 def findings(spark: SparkSession, folder: str, run_id: int) -> DataFrame:
     """All rows of all lists of a run: (section, item as JSON text)."""
-    found = _read(spark, f"{folder}/findings", _FINDING_SCHEMA)
+    found = read_table(spark, f"{folder}/findings", _FINDING_SCHEMA)
     return found.where(F.col("run_id") == run_id).drop("run_id")
 
 

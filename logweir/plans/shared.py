@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
@@ -42,3 +43,16 @@ def settled(df: DataFrame, by: str | None = None) -> DataFrame:
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stored table, or no rows where there is none yet.
+
+    Columns added since a file was written read as NULL.
+    """
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logweir.plans.shared import read_table
 from logweir.schema import ENTRY_COLUMNS, ENTRY_SCHEMA, ORDER_COLUMNS, PARSED
 
 _KIND, _ENTRIES, _REJECTS = "kind", "entries", "rejects"
@@ -50,7 +51,7 @@ def write_entries(entries: DataFrame, table: str, compact: bool = False) -> None
 
 
 def _read(spark: SparkSession, table: str, kind: str) -> DataFrame:
-    return spark.read.schema(_SCHEMA).parquet(table).where(F.col(_KIND) == kind)
+    return read_table(spark, table, _SCHEMA).where(F.col(_KIND) == kind)
 
 
 def read_entries(spark: SparkSession, table: str) -> DataFrame:

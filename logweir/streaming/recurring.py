@@ -17,7 +17,7 @@ from logweir.streaming.live import start_ingest
 
 
 def run_alert(
-    run: int, totals: DataFrame, anomalies: DataFrame, brute_force: DataFrame
+    run: int | None, totals: DataFrame, anomalies: DataFrame, brute_force: DataFrame
 ) -> DataFrame:
     """One row to alert with if a run found any anomaly or brute force, else none."""
 
@@ -43,14 +43,16 @@ def recurring_run(
     config: Mapping | None = None,
     format_options: Mapping | None = None,
     **report_options,
-) -> tuple[int, DataFrame]:
+) -> tuple[int | None, DataFrame]:
     """Ingest new files, report on the whole table, append the run.
 
-    Returns the run number and the alert rows (one or none).
+    Returns the run number and the alert rows (one or none). Without any entries
+    there is nothing to report: no run is recorded, and its number is None.
     """
     start_ingest(
         spark, directory, fmt, table, checkpoint, config, format_options, availableNow=True
     ).awaitTermination()
     report = Report(read_entries(spark, table), **report_options)
-    run = append_run(report, history, directory)
+    found = report.meta.first()["total"] > 0
+    run = append_run(report, history, directory) if found else None
     return run, run_alert(run, report.meta, report.anomalies, report.brute_force)

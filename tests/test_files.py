@@ -97,12 +97,18 @@ def test_mixed_directory(spark, tmp_path):
 
 
 def test_a_file_is_opened_by_one_format_only(spark, tmp_path):
-    for name in ("nginx.log", "auth.log", "x.har"):
-        (tmp_path / name).write_text("{}")
-    tagged = read_tagged(spark, str(tmp_path))
-    plan = tagged._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("file_name") > 0
-    assert tagged.rdd.getNumPartitions() <= 3 + 9
+    for name in ("nginx.log", "auth.log", "syslog", "x.har", "y.json", "z.xml"):
+        (tmp_path / name).write_text(f"{name}\n" * 1000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        chosen = detect_format(F.col("_metadata.file_name")) == "ssh"
+        only = scan_lines(spark, str(tmp_path), chosen)
+        assert only.rdd.getNumPartitions() <= 10 < scan_lines(spark, str(tmp_path)).rdd.getNumPartitions()
+        assert {r.value for r in only.collect()} == {"auth.log"}
+        size = F.col("_metadata.file_size") > 8000
+        assert scan_lines(spark, str(tmp_path), size).rdd.getNumPartitions() <= 40
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 @pytest.mark.parametrize("layout", ["auto", "document"])

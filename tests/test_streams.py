@@ -88,6 +88,9 @@ def test_lines_in_a_column_of_a_stream(spark, tmp_path):
 def test_recurring_run(spark, tmp_path):
     landing = tmp_path / "landing"
     where = dict(table=str(tmp_path / "t"), checkpoint=str(tmp_path / "c"), history=str(tmp_path / "h"))
+    landing.mkdir()
+    run, alert = recurring_run(spark, str(landing), "nginx", **where)
+    assert run is None and rows(alert) == [] and rows(logweir.latest_runs(spark, where["history"])) == []
     land(landing, "a.log", lines(1, 9))
     land(landing, "c.log", "10.0.0.8 - - junk")
     run, alert = recurring_run(spark, str(landing), "nginx", **where)
