@@ -126,10 +126,10 @@ def spikes_of(
     The average is over the hours that have entries. It is a scalar subquery on
     the same hourly aggregate, which is thereby computed once.
     """
-    # Every hour has entries. Counting the hours by `total` asks for the measures of
-    # the outer query, in its order, so that both share one shuffle.
-    count = F.count_if(F.col("total") > 0)
-    average = hours.agg(F.when(count > 0, F.sum("any_errors") / count).alias("average")).scalar()
+    # The number of hours, counted by `total`, which is at least 1: so the subquery
+    # takes the same measures as the outer query, and both share one shuffle.
+    count = F.sum(F.signum("total"))
+    average = hours.agg((F.sum("any_errors") / count).alias("average")).scalar()
     errors, total = F.col("any_errors"), F.col("total")
     hot = (total >= min_entries) & (errors > average * multiplier) & (errors >= min_errors)
     return (
