@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import sharding
-from logweir.llm.common import table
+from logweir.llm import quality_rules, sharding
+from logweir.llm.common import stored, table
 
 ORACLES: dict[str, str] = {}
 
@@ -55,4 +55,16 @@ select doc_id, size, text_crc32, 'bytes' as law, shard,
 from dealt
 """
 
-QUERIES = {"op6_sampled_splitters": op6_sampled_splitters}
+
+def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = quality_rules.measured(docs, "m").select("doc_id", "lang", "m")
+    rows = stored(rows, "measured")
+    base_failed, kept = quality_rules.verdicts(rows, "m", quality_rules.references(rows, "m"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return rows.select(
+        "doc_id", *[F.col("m")[c].alias(c) for c in counts], base_failed.alias("base_failed"), kept.alias("kept")
+    )
+
+
+QUERIES = {"op5_distribution_divergence": op5_distribution_divergence, "op6_sampled_splitters": op6_sampled_splitters}
