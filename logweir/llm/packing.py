@@ -105,13 +105,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
     encode = encoder(path).ids
     for batch in batches:
         rows = []
-        for at in range(0, batch.num_rows, 2000):
-            some = batch.slice(at, 2000)
-            texts = [t or "" for t in some.column(1).to_pylist()]
-            for doc_id, ids in zip(some.column(0).to_pylist(), encode(texts)):
-                ids += end
-                for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    rows.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
+        for doc_id, text in zip(*batch.columns):
+            doc_id, ids = doc_id.as_py(), encode(text.as_py() or "") + end
+            for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
+                rows.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
         columns = list(zip(*rows)) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
