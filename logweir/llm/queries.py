@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import bpe, packing, quality_rules, sharding
+from logweir.llm import bpe, fm_quality, packing, quality_rules, sharding
 from logweir.llm.common import stored, table
 
 ORACLES: dict[str, str] = {}
@@ -71,12 +71,24 @@ def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op3_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fm_quality.train(docs, table(spark, sf_dir, "labels"))
+    return fm_quality.scored(docs, model).select(
+        "doc_id",
+        fm_quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op8_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_best_fit": op1_best_fit,
+    "op3_factorisation_machine": op3_factorisation_machine,
     "op5_distribution_divergence": op5_distribution_divergence,
     "op6_sampled_splitters": op6_sampled_splitters,
     "op8_backtracking_bpe": op8_backtracking_bpe,
