@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import bpe, fm_quality, packing, quality_rules, sharding
+from logweir.llm import bpe, fm_quality, near_dups, packing, quality_rules, sharding
 from logweir.llm.common import stored, table
 
 ORACLES: dict[str, str] = {}
@@ -71,6 +71,11 @@ def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op2_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dups.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", F.col("first").alias("kept"))
+
+
 def op3_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fm_quality.train(docs, table(spark, sf_dir, "labels"))
@@ -88,6 +93,7 @@ def op8_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit": op1_best_fit,
+    "op2_weighted_minhash": op2_weighted_minhash,
     "op3_factorisation_machine": op3_factorisation_machine,
     "op5_distribution_divergence": op5_distribution_divergence,
     "op6_sampled_splitters": op6_sampled_splitters,
