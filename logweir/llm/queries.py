@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import bpe, fm_quality, near_dups, packing, quality_rules, sharding
+from logweir.llm import bpe, fm_quality, near_dups, packing, quality_rules, sharding, suffix_dedup
 from logweir.llm.common import stored, table
 
 ORACLES: dict[str, str] = {}
@@ -87,6 +87,10 @@ def op3_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 def op8_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents"))
 
@@ -97,5 +101,6 @@ QUERIES = {
     "op3_factorisation_machine": op3_factorisation_machine,
     "op5_distribution_divergence": op5_distribution_divergence,
     "op6_sampled_splitters": op6_sampled_splitters,
+    "op7_induced_suffixes": op7_induced_suffixes,
     "op8_backtracking_bpe": op8_backtracking_bpe,
 }
