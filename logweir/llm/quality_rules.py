@@ -126,6 +126,16 @@ def measured(docs: DataFrame, name: str) -> DataFrame:
     return rows.drop(text, pieces, plain, one, two, four, windows, common, n_lines)
 
 
+def _held(rows: DataFrame, condition: Column) -> DataFrame:
+    """The rows that meet a condition on what was measured.
+
+    The optimizer would move the condition below the measuring and so repeat the latter
+    for each mention; it does not move one past a row number.
+    """
+    number = free_name(rows, "_number")
+    return rows.withColumn(number, F.monotonically_increasing_id()).where(condition & (F.col(number) >= 0)).drop(number)
+
+
 def _histograms(m: Column) -> tuple[Column, Column]:
     """Counts by character class, and by common word with all others at the end."""
     rest = m["word_chars"] - m["letters"] - m["digits"] - m["points"]
@@ -145,7 +155,7 @@ def references(rows: DataFrame, name: str) -> list[tuple[list[int], list[int]]]:
     chars, words = _histograms(F.col(name))
     m = F.col(name)
     fit = (m["n_words"] >= MIN_WORDS) & (100 * m["n_symbols"] <= m["n_chars"]) & (5 * m["upper"] <= m["letters"])
-    counted = rows.where(F.col("lang").isin(list(COMMON_WORDS)) & fit)
+    counted = _held(rows, F.col("lang").isin(list(COMMON_WORDS)) & fit)
     n_chars, n_words = len(CLASSES) + 1, len(vocabulary()) + 1
     summed = (
         counted.select(F.col("lang").alias("lang"), chars.alias("c"), words.alias("w"))
@@ -201,7 +211,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     name = free_name(docs, "_measured")
     rows = measured(docs, name)
     _, kept = verdicts(rows, name, references(rows, name))
-    return rows.where(kept).drop(name)
+    return _held(rows, kept).drop(name)
 
 
 def distance_in(counts: list[int], reference: list[int]) -> float:

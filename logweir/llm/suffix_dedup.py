@@ -381,7 +381,8 @@ def removals(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents without the bytes that repeat, with the columns they came with.
 
-    Texts that nothing is left of stay as empty ones. A character of which some bytes
+    Texts that nothing is left of stay as empty ones; where there is an ``n_chars``, it
+    follows the text. A character of which some bytes
     are removed becomes the replacement character. A null text stays null.
     """
     rows, found = repeated(docs)
@@ -392,4 +393,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     of = named.columns[-1]
     joined = named.join(each, named["doc_id"].cast("bigint").eqNullSafe(each[own]) & (named[of] == each[sha]), "left")
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(_rest(F.col("text").cast("string"), F.col(gone)))
-    return joined.withColumn("text", text).select(*docs.columns)
+    joined = joined.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text")))
+    return joined.select(*docs.columns)
