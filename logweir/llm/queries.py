@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import bpe, fm_quality, near_dups, packing, quality_rules, sharding, suffix_dedup
+from logweir.llm import bpe, fm_quality, near_dups, packing, quality_rules, sharding, suffix_dedup, topk
 from logweir.llm.common import stored, table
 
 ORACLES: dict[str, str] = {}
@@ -56,6 +56,29 @@ from dealt
 """
 
 
+def op4_uniform_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_scores(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+ORACLES["op4_uniform_threshold"] = """
+with whole as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.v::double[], c.v::double[])::bigint as score
+  from whole q join whole c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
+  where q.vec_id % 20 = 0
+), ranked as (
+  select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+  from scored
+)
+select * from ranked where rank <= 20
+"""
+
+
 def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = quality_rules.measured(docs, "m").select("doc_id", "lang", "m")
@@ -99,6 +122,7 @@ QUERIES = {
     "op1_best_fit": op1_best_fit,
     "op2_weighted_minhash": op2_weighted_minhash,
     "op3_factorisation_machine": op3_factorisation_machine,
+    "op4_uniform_threshold": op4_uniform_threshold,
     "op5_distribution_divergence": op5_distribution_divergence,
     "op6_sampled_splitters": op6_sampled_splitters,
     "op7_induced_suffixes": op7_induced_suffixes,
