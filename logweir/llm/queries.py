@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import bpe, fm_quality, near_dups, packing, quality_rules, sharding, suffix_dedup, topk
+from logweir.llm import bpe, edit_counts, fm_quality, near_dups, packing, quality_rules, sharding, suffix_dedup, topk
 from logweir.llm.common import stored, table
 
 ORACLES: dict[str, str] = {}
@@ -118,6 +118,24 @@ def op8_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents"))
 
 
+#: Personal data that the query takes out of texts.
+MASKS = {
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}": "<mail>",
+    r"https?://[^ \t\n]+": "<link>",
+    r"[0-9][0-9 ()-]{6,}[0-9]": "<number>",
+}
+
+
+def op10_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = edit_counts.masks(table(spark, sf_dir, "documents"), MASKS)
+    counted = edit_counts.updated(edit_counts.trees(docs), F.col("edits"))
+    return counted.select(
+        "doc_id",
+        F.coalesce(F.size("edits"), F.lit(0)).alias("n_edits"),
+        *[F.col("counted")[c].alias(c) for c in ("tokens_before", "tokens", "leaves", "leaves_encoded", "chars_encoded")],
+    )
+
+
 QUERIES = {
     "op1_best_fit": op1_best_fit,
     "op2_weighted_minhash": op2_weighted_minhash,
@@ -127,4 +145,5 @@ QUERIES = {
     "op6_sampled_splitters": op6_sampled_splitters,
     "op7_induced_suffixes": op7_induced_suffixes,
     "op8_backtracking_bpe": op8_backtracking_bpe,
+    "op10_edit_aware_counts": op10_edit_aware_counts,
 }
