@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import bpe, edit_counts, fm_quality, near_dups, packing, quality_rules, sharding, suffix_dedup, topk
+from logweir.llm import bpe, edit_counts, fm_quality, near_dups, packing, quality_rules, quote_links, sharding, suffix_dedup, topk
 from logweir.llm.common import stored, table
 
 ORACLES: dict[str, str] = {}
@@ -118,6 +118,51 @@ def op8_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents"))
 
 
+def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.conversations(quote_links.as_mails(table(spark, sf_dir, "conversations")))
+
+
+#: Bodies are the texts that the mails were made from; lines are paired by brute force.
+ORACLES["op9_quotation_links"] = r"""
+with recursive said as (
+  select conv_id, turn, min(coalesce(text, '')) as said from conversations group by all
+), mails as (
+  select c.conv_id, c.turn, c.role, coalesce(c.text, '') as body,
+    a.said as first, b.said as second
+  from conversations c
+  left join said a on a.conv_id = c.conv_id and a.turn = c.turn - (case when c.turn % 3 = 0 then 2 else 1 end)
+  left join said b on b.conv_id = a.conv_id and b.turn = a.turn - (case when a.turn % 3 = 0 then 2 else 1 end)
+), own as (
+  select distinct conv_id, turn, lower(trim(regexp_replace(l, '\s+', ' ', 'g'))) as l
+  from mails, unnest(string_split(body, chr(10))) t(l)
+), quoted as (
+  select distinct conv_id, turn, lower(trim(regexp_replace(l, '\s+', ' ', 'g'))) as l
+  from mails, unnest(string_split(first, chr(10))) t(l) where first is not null
+), votes as (
+  select q.conv_id, q.turn, q.l, max(o.turn) as found
+  from quoted q join own o on o.conv_id = q.conv_id and o.l = q.l and o.turn < q.turn
+  where q.l <> '' group by all
+), replies as (
+  select conv_id, turn, arg_max(found, (n, found)) as reply_to
+  from (select conv_id, turn, found, count(*) as n from votes group by all) group by all
+), nodes as (
+  select s.conv_id, s.turn, r.reply_to from said s left join replies r using (conv_id, turn)
+), threads as (
+  select conv_id, turn, turn as root, 0::bigint as depth from nodes where reply_to is null
+  union all
+  select n.conv_id, n.turn, t.root, t.depth + 1
+  from threads t join nodes n on n.conv_id = t.conv_id and n.reply_to = t.turn
+), placed as (
+  select t.*, n.reply_to, row_number() over (partition by t.conv_id order by root, depth, t.turn) - 1 as position
+  from threads t join nodes n using (conv_id, turn)
+)
+select m.conv_id, m.turn, m.role, p.reply_to, p.root, p.depth, p.position,
+  (coalesce(len(string_split(first, chr(10))), 0) + coalesce(len(string_split(second, chr(10))), 0))::int as quoted,
+  (case when second is not null then 2 when first is not null then 1 else 0 end)::int as levels, m.body
+from mails m join placed p using (conv_id, turn)
+"""
+
+
 #: Personal data that the query takes out of texts.
 MASKS = {
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}": "<mail>",
@@ -145,5 +190,6 @@ QUERIES = {
     "op6_sampled_splitters": op6_sampled_splitters,
     "op7_induced_suffixes": op7_induced_suffixes,
     "op8_backtracking_bpe": op8_backtracking_bpe,
+    "op9_quotation_links": op9_quotation_links,
     "op10_edit_aware_counts": op10_edit_aware_counts,
 }
