@@ -110,6 +110,71 @@ def op3_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _listed(texts: list[str]) -> str:
+    return "[" + ", ".join(f"'{t}'" for t in texts) + "]"
+
+
+def _far(counts: str, reference: str) -> str:
+    """Jensen-Shannon distance of two lists of counts, in SQL."""
+    share = lambda x: f"({x}[i] / list_sum({x})::double)"
+    p, q = share(counts), share(reference)
+    half = lambda x: f"(case when {x} > 0 then {x} * log2(2 * {x} / ({p} + {q})) else 0 end)"
+    each = f"list_transform(range(1, len({counts}) + 1), lambda i: ({half(p)} + {half(q)}) / 2)"
+    return f"sqrt(greatest(list_sum({each}), 0.0))"
+
+
+_R = quality_rules
+_LESS = {k: f"length(s) - length(regexp_replace(s, '{p.replace(chr(39), chr(39) * 2)}', '', 'g'))" for k, p in _R.CLASSES.items()}
+ORACLES["op5_distribution_divergence"] = rf"""
+with texts as (
+  select row_number() over () as rid, doc_id, lang, coalesce(text, '') as s from documents
+), words as (
+  select *, regexp_extract_all(s, '[^\x20\x09-\x0D]+') as w from texts
+), windows as (
+  select rid, i, w[i:i + {_R.WINDOW - 1}] as g
+  from words, unnest(range(1, len(w) - {_R.WINDOW - 2})) t(i) where len(w) >= {_R.WINDOW}
+), twice as (
+  select rid, i from (select *, count(*) over (partition by rid, g) as n from windows) where n > 1
+), covered as (
+  select rid, count(distinct p) as n from twice, unnest(range(i, i + {_R.WINDOW})) t(p) group by rid
+), measured as (
+  select rid, doc_id, lang, len(w) as n_words, length(s) as n_chars,
+    coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+    length(s) - length(regexp_replace(s, '[{_R.SYMBOLS}]+', '', 'g')) as n_symbols,
+    list_filter(string_split(s, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+    {", ".join(f"{x} as {k}" for k, x in _LESS.items())},
+    list_transform({_listed(_R.vocabulary())}, lambda x: len(list_filter(w, lambda y: y = x))) as common
+  from words
+), drawn as (
+  select m.*, coalesce(c.n, 0) as n_repeat_words, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+    [letters - upper + digits, upper, n_chars - word_chars, points, word_chars - letters - digits - points] as c,
+    list_append(common, greatest(n_words - list_sum(common), 0)) as v
+  from measured m left join covered c using (rid)
+), fit as (
+  select * from drawn
+  where lang in ({", ".join(f"'{x}'" for x in _R.COMMON_WORDS)})
+    and n_words >= {_R.MIN_WORDS} and 100 * n_symbols <= n_chars and 5 * upper <= letters
+), refs as (
+  select a.lang, a.c, b.v
+  from (select lang, list(x order by i) as c from
+      (select lang, i, sum(c[i]) as x from fit, range(1, 6) t(i) group by all) group by lang) a
+  join (select lang, list(x order by i) as v from
+      (select lang, i, sum(v[i]) as x from fit, range(1, {len(_R.vocabulary()) + 2}) t(i) group by all) group by lang) b using (lang)
+  where a.lang in (select lang from fit group by lang having count(*) >= {_R.REFERENCE_DOCS})
+), compared as (
+  select d.rid, min(case when d.n_chars >= {_R.GUARD_CHARS} then {_far("d.c", "r.c")} else 0 end) as of_chars,
+    min(case when d.n_words >= {_R.GUARD_WORDS} then {_far("d.v", "r.v")} else 0 end) as of_words
+  from drawn d, refs r group by d.rid
+), judged as (
+  select *, n_words < {_R.MIN_WORDS} or 100 * n_repeat_words > {_R.MAX_REPEAT_PERCENT} * n_words as base_failed
+  from drawn left join compared using (rid)
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and coalesce(of_chars, 0) <= {_R.MAX_CHAR_DISTANCE} and coalesce(of_words, 0) <= {_R.MAX_WORD_DISTANCE} as kept
+from judged
+"""
+
+
 def op7_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removals(table(spark, sf_dir, "documents"))
 
