@@ -195,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, max_samples: int = MAX_SAMPLES) ->
     )
     found = rows.mapInPandas(vectors, "id bigint, label int, at binary, x binary, numbers array<double>")
     # Repeated rows of a document count once.
-    once = {r["id"]: r for r in found.toLocalIterator()}
+    once = {r["id"]: r for r in found.collect()}
     samples = []
     for _, r in sorted(once.items()):
         at, x = np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(np.float64)

@@ -9,8 +9,8 @@ compared by their whole sets, and links of at least ``SIMILARITY`` form classes.
 Document frequencies are counted over all documents in a fixed number of hashed
 buckets, so their table has one size for any corpus. Texts equal word for word are one
 text from the first shuffle on. In a bucket of a band no pairs are formed: its members
-are compared with one of them, and what does not become one class meets again,
-one member a class, with other members until no bucket joins classes any more.
+are compared with one of them, the middle of the group; what does not become one class
+meets again, one member a class, with others drawn anew, until nothing is joined.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ BANDS, ROWS = 12, 3
 BUCKETS, SLICES = 1 << 20, 64
 #: How much more a shingle of one document weighs than one of all documents.
 STRENGTH = 0.25
-#: Rounds in which what is left of a bucket meets again, at most, and how many are tried in any case.
-ROUNDS, QUIET = 8, 2
+#: Rounds in which what is left of a bucket meets again, at most; texts drawn to be met in each.
+ROUNDS, HUBS = 5, 4
 
 _MIX1, _MIX2, _STEP = (np.uint64(c) for c in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -198,7 +198,7 @@ def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     parts = texts.select("text").mapInArrow(counted, schema).repartition(SLICES, "slice")
     whole, n = np.zeros(BUCKETS, np.uint64), 0
     # SLICES rows of 128 KB, whatever the corpus.
-    for row in parts.mapInArrow(summed, schema).toLocalIterator():
+    for row in parts.mapInArrow(summed, schema).collect():
         at = row["slice"] * (BUCKETS // SLICES)
         whole[at : at + BUCKETS // SLICES] = np.frombuffer(row["counts"], np.uint64)
         n += row["n"]
@@ -283,7 +283,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the least label among neighbours and then that label's own.
     """
-    both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("class"))
     labels = stored(labels.select("key", F.least("key", "class").alias("class")), "labels")
     while True:
@@ -324,35 +324,33 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     wanted = members.select("doc_id", "key").distinct()
     sets = stored(_sets(texts, wanted), "sets")
 
-    linked = None
-    labels = members.select("key", F.col("key").alias("class")).distinct()
+    labels = stored(wanted.select("key", F.col("key").alias("class")).dropDuplicates(["key"]), "labels")
     for round_ in range(ROUNDS):
-        # The first round's hub is the middle of a group, in all its buckets; later ones differ by bucket.
-        order = -F.col("degree") if not round_ else F.xxhash64("key", "band", F.lit(round_))
-        one = (
-            members.join(labels, "key")
-            .groupBy("band", "class")
-            .agg(F.min(F.struct(order.alias("o"), F.col("key"))).alias("m"))
-        )
-        hubs = one.groupBy("band").agg(F.min("m").alias("hub"), F.count("*").alias("n")).where("n > 1")
+        labelled = members.join(labels, "key")
+        if round_:
+            drawn_by = F.struct(F.xxhash64("key", "band", F.lit(round_)).alias("o"), F.col("key"))
+            one = labelled.groupBy("band", "class").agg(F.min(drawn_by).alias("m"))
+            drawn = [F.min(F.struct(F.xxhash64("m.key", "band", F.lit(-k)).alias("o"), F.col("m.key"))) for k in range(HUBS)]
+        else:
+            # The first hub is the middle of a group, and the same in all its buckets.
+            one = labelled.groupBy("band", "class").agg(F.max(F.struct("degree", "key")).alias("m"))
+            drawn = [F.max("m")]
+        hubs = one.groupBy("band").agg(F.array(*drawn).alias("hubs"), F.count("*").alias("n")).where("n > 1")
         pairs = (
             one.join(hubs, "band")
-            .where(F.col("m") != F.col("hub"))
-            .select(F.col("m")["key"].alias("a"), F.col("hub")["key"].alias("b"))
+            .select(F.col("m.key").alias("x"), F.explode(F.transform("hubs", lambda h: h["key"])).alias("y"))
+            .where("x <> y")
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct()
         )
-        found = stored(_verified(pairs, sets, idf, least), "found")
-        if not found.limit(1).count():
-            # Members are drawn anew each round: some rounds must find nothing.
-            if round_ >= QUIET:
-                break
-            continue
-        linked = found if linked is None else linked.unionByName(found)
-        labels = components(linked)
-        labels = stored(
-            members.select("key").distinct().join(labels, "key", "left").select("key", F.coalesce("class", "key").alias("class")),
-            "labels",
-        )
+        of = lambda side: labels.select(F.col("key").alias(side), F.col("class").alias(f"c{side}"))
+        found = _verified(pairs, sets, idf, least).join(of("a"), "a").join(of("b"), "b")
+        links = stored(found.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
+        if not links.limit(1).count():
+            break
+        # Only the classes that were joined change.
+        joined = components(links).select(F.col("key").alias("class"), F.col("class").alias("new"))
+        labels = stored(labels.join(joined, "class", "left").select("key", F.coalesce("new", "class").alias("class")), "labels")
 
     joined = rows.select("doc_id", "key").join(labels.select("key", F.col("class").alias("_class")), "key", "left")
     joined = joined.select("doc_id", "key", F.coalesce("_class", "key").alias("class_key"))
