@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,10 +24,10 @@ def error_rate_band(rate: Column) -> Column:
     return F.when(rate > 10, "error").when(rate > 5, "warn").otherwise("ok")
 
 
-def bar_share(count: Column, width: int) -> Column:
-    """Length of a bar scaled to the largest count of the (small) result."""
-    largest = F.max(count).over(Window.partitionBy(F.lit(0)))
-    return F.floor(count / largest * width).cast("int")
+def bar_share(rows: DataFrame, width: int, count: str = "count") -> Column:
+    """Length of a bar scaled to the largest count of the rows."""
+    largest = rows.agg(F.max(count)).scalar()
+    return F.floor(F.col(count) / largest * width).cast("int")
 
 
 def one_decimal(value: Column) -> Column:

@@ -35,7 +35,7 @@ def captures(text: Column, cases: Sequence[tuple[str, str, int]]) -> Column:
         text.contains(_MARK), F.replace(text, F.lit(_MARK), F.lit(_REPLACEMENT))
     ).otherwise(text)
     for tag_name, pattern, groups in cases:
-        whole = f"{_FLAGS}^(?!{_MARK}){pattern}(?s:.*)\\z"
+        whole = f"{_FLAGS}^(?!{_MARK})(?:{pattern})(?s:.*)\\z"
         parts = ["", tag_name, *(f"${i}" for i in range(1, groups + 1))]
         out = F.regexp_replace(out, whole, _MARK.join(parts))
     return F.split(out, _MARK, -1)

@@ -106,6 +106,7 @@ def correlations_of(gaps: DataFrame, window_minutes: float = WINDOW_MINUTES) ->
         F.col("ssh_count").alias("ssh_event_count"),
         F.col("http_count").alias("http_event_count"),
         minutes.alias("closest_gap_minutes"),
+        # The sentence of a correlation.
         F.concat(
             "ip", F.lit(": "), F.col("ssh_count").cast("string"),
             F.lit(" SSH auth failure(s) and "), F.col("http_count").cast("string"),

@@ -65,6 +65,7 @@ def high_volume_of(ips: DataFrame) -> DataFrame:
             "ip",
             "count",
             F.round("percent", 1).alias("pct"),
+            # The sentences of findings, here and below.
             F.concat(
                 "ip", F.lit(" accounts for "), one_decimal(F.col("percent")),
                 F.lit("% of all requests"),

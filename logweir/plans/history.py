@@ -1,7 +1,7 @@
 """Run history: a table of runs, and the findings of each run.
 
 ``<folder>/runs`` has a row per run with its figures and its report as JSON.
-``<folder>/findings`` has all rows of all report lists, also those too long for
+``<folder>/findings`` has all rows of all report lists, also those that are no part of
 the report record.
 """
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
@@ -16,7 +16,8 @@ from logweir.operators import correlation, detections, geo, overview, temporal,
 from logweir.operators.facts import all_facts, facts_of, regroup
 from logweir.plans.shared import settled
 
-#: The report as one nested record.
+#: The report as one nested record: figures, rankings, and at most a few anomalies a kind.
+#: Lists that grow with the data (suspects, spikes, hours, correlations, places) are rows.
 REPORT_DDL = (
     "meta struct<total: bigint, errors: bigint, warnings: bigint, error_rate: double, "
     "start_time: string, end_time: string, sources: array<string>>, "
@@ -26,20 +27,11 @@ REPORT_DDL = (
     "top_status_codes array<struct<status: int, count: bigint>>, "
     "top_methods array<struct<method: string, count: bigint>>, "
     "top_user_agents array<struct<ua: string, count: bigint>>, "
-    "brute_force array<struct<ip: string, type: string, count: bigint, severity: string>>, "
     "anomalies array<struct<type: string, ip: string, count: bigint, pct: double, "
     "description: string, severity: string>>, "
-    "spike_windows array<struct<window: string, errors: bigint, total: bigint, "
-    "error_rate: double, vs_average: double>>, "
     "temporal struct<by_hour: map<string, bigint>, by_weekday: map<string, bigint>, "
     "peak_hour: int, peak_weekday: string>, "
-    "geo array<struct<ip: string, country: string, country_code: string, city: string, "
-    "isp: string>>, "
-    "correlations array<struct<ip: string, sources: array<string>, ssh_event_count: bigint, "
-    "http_event_count: bigint, closest_gap_minutes: double, description: string, "
-    "severity: string>>, "
-    "banned_ips array<struct<ip: string, count: bigint>>, "
-    "timeline array<struct<time: string, total: bigint, errors: bigint, warnings: bigint>>"
+    "banned_ips array<struct<ip: string, count: bigint>>"
 )
 
 # How many rows of a list each report page shows.
@@ -65,10 +57,10 @@ def _largest_first(column: str, *then: str) -> tuple[Column, ...]:
 
 
 class Report:
-    """All analyses of ``entries``, each as a lazy DataFrame.
+    """All analyses of ``entries``, each built when it is asked for.
 
     The entries are read twice: once for the shared aggregates, which are kept
-    in the shared folder, and once for the correlation. So let ``entries`` be a
+    in the shared folder as soon as a list needs them, and once for the correlation. So let ``entries`` be a
     stored table rather than raw log files.
     """
 
@@ -79,14 +71,12 @@ class Report:
         correlation_window_minutes: float = correlation.WINDOW_MINUTES,
         networks: DataFrame | None = None,
         geo_ips: str = "top",
-        inline_rows: int = 10_000,
     ):
         self.entries = entries
         self.top_n = top_n
         self.correlation_window_minutes = correlation_window_minutes
         self.networks = networks
         self.geo_ips = geo_ips
-        self.inline_rows = inline_rows
 
     @cached_property
     def _facts(self) -> DataFrame:
@@ -142,55 +132,60 @@ class Report:
             return geo.locate(ips.select("ip"), self.networks)
         return settled(geo.locate(ips.where(P.has("ip")).select("ip"), self.networks))
 
-    @cached_property
-    def sections(self) -> dict[str, Section]:
-        """The lists of the report."""
-        ips, status_method = self._by("ip"), self._by("status_method")
-
-        def ranked(counts: DataFrame, column: str, measure: str = "total", name=None) -> Section:
-            rows = topn.rank(counts, column, self.top_n, measure)
-            if name:
-                rows = rows.withColumnRenamed(column, name)
-            return Section(rows, _largest_first("count", name or column))
+    def _ranked(self, facts: str, column: str, measure: str = "total", name=None, again=False) -> Section:
+        counts = self._by(facts)
+        if again:
+            counts = regroup(counts, column)
+        rows = topn.rank(counts, column, self.top_n, measure)
+        if name:
+            rows = rows.withColumnRenamed(column, name)
+        return Section(rows, _largest_first("count", name or column))
 
+    @cached_property
+    def _builders(self) -> dict[str, Callable[[], Section]]:
+        """The lists of the report, each built when it is asked for."""
         kinds = F.array(*map(F.lit, ("high_volume_ip", "high_error_rate", "scanner_detected")))
+        ranked = self._ranked
         out = {
-            "top_ips": ranked(ips, "ip"),
-            "top_error_ips": ranked(ips, "ip", "level_errors"),
-            "top_paths": ranked(self._by("path"), "path"),
-            "top_status_codes": ranked(regroup(status_method, "status"), "status"),
-            "top_methods": ranked(regroup(status_method, "method"), "method"),
-            "top_user_agents": ranked(self._by("user_agent"), "user_agent", name="ua"),
-            "brute_force": Section(self.brute_force, _largest_first("count", "ip", "type")),
-            "anomalies": Section(
+            "top_ips": lambda: ranked("ip", "ip"),
+            "top_error_ips": lambda: ranked("ip", "ip", "level_errors"),
+            "top_paths": lambda: ranked("path", "path"),
+            "top_status_codes": lambda: ranked("status_method", "status", again=True),
+            "top_methods": lambda: ranked("status_method", "method", again=True),
+            "top_user_agents": lambda: ranked("user_agent", "user_agent", name="ua"),
+            "brute_force": lambda: Section(self.brute_force, _largest_first("count", "ip", "type")),
+            "anomalies": lambda: Section(
                 self.anomalies,
                 (F.array_position(kinds, F.col("type")), *_largest_first("count", "ip")),
             ),
-            "spike_windows": Section(
+            "spike_windows": lambda: Section(
                 temporal.spikes_of(self._hours.where(F.col("hour").isNotNull())),
                 _largest_first("errors", "window"),
             ),
-            "correlations": Section(
+            "correlations": lambda: Section(
                 self.correlations, (F.col("closest_gap_minutes"), F.col("ip"))
             ),
-            "banned_ips": ranked(ips, "ip", "bans"),
-            "timeline": Section(temporal.timeline_of(self._hours), (F.col("time"),)),
+            "banned_ips": lambda: ranked("ip", "ip", "bans"),
+            "timeline": lambda: Section(temporal.timeline_of(self._hours), (F.col("time"),)),
         }
-        if self.geo is not None:
-            out["geo"] = Section(self.geo, (F.col("ip"),))
+        if self.networks is not None:
+            out["geo"] = lambda: Section(self.geo, (F.col("ip"),))
         return out
 
+    def section(self, name: str) -> Section:
+        return self._builders[name]()
+
     def page(self, name: str, rows: int | None = None) -> DataFrame:
         """The first rows of a list, as many as its report page shows."""
-        section = self.sections[name]
+        section = self.section(name)
         wanted = rows if rows is not None else PAGE_ROWS.get(name, self.top_n)
         return section.rows.orderBy(*section.order).limit(wanted)
 
     def rows(self, names: Iterable[str] | None = None) -> DataFrame:
         """All rows of all lists in one table: (section, item as JSON text)."""
-        names = list(names) if names is not None else list(self.sections)
+        names = list(names) if names is not None else list(self._builders)
         parts = [
-            self.sections[name].rows.select(
+            self.section(name).rows.select(
                 F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("item")
             )
             for name in names
@@ -198,25 +193,16 @@ class Report:
         return reduce(DataFrame.union, parts)
 
     def _list(self, name: str) -> Column:
-        """A list as one array value; NULL if it is longer than ``inline_rows``.
-
-        Findings grow with the data. A list too long for one record is complete
-        in ``rows``, and in the stored findings of a run.
-        """
-        if name not in self.sections:
-            return F.array()
-        section = self.sections[name]
-        first = section.rows.orderBy(*section.order).limit(self.inline_rows + 1)
+        """A list that does not grow with the data as one array value, in order."""
+        section = self.section(name)
         keyed = F.struct(F.struct(*section.order).alias("key"), F.struct("*").alias("row"))
-        gathered = first.select(keyed.alias("item")).agg(
+        gathered = section.rows.select(keyed.alias("item")).agg(
             F.array_sort(F.collect_list("item")).alias("items")
         )
-        return gathered.select(
-            F.when(F.size("items") <= self.inline_rows, F.transform("items", lambda x: x["row"]))
-        ).scalar()
+        return gathered.select(F.transform("items", lambda x: x["row"])).scalar()
 
     def document(self) -> DataFrame:
-        """One row with the whole report, as ``REPORT_DDL`` describes it."""
+        """One row with the report's record, as ``REPORT_DDL`` describes it; ``rows`` has the rest."""
         meta = self.meta.select(
             F.struct(
                 "total", "errors", "warnings", "error_rate",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -14,15 +13,12 @@ _SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where it is unset, a local session (a test) gets a temporary folder. A
-    cluster does not: a folder of one machine is of no use to the others.
+    Where it is unset, a folder under the warehouse, which executors share too.
     """
     context = spark.sparkContext
     folder = spark.conf.get(_SETTING, None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError(f"Set {_SETTING} to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="logweir-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_working"
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder

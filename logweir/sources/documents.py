@@ -1,7 +1,7 @@
 """JSON inputs: browser console exports, HTTP archives, Windows events as JSON.
 
 A JSON text that spans lines cannot be split, so it is read whole by one task.
-Newline-delimited JSON has no such bound and is read by line.
+Newline-delimited JSON is read by line.
 """
 
 from __future__ import annotations
@@ -26,9 +26,6 @@ from logweir.functions.times import iso_time, parse_time
 from logweir.schema import ORDER_COLUMNS, to_entries
 from logweir.sources.lines import Paths, scan_documents, scan_lines
 
-#: Files up to this size are read whole when the layout is chosen by size.
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
-
 _BROWSER_SCHEMA = (
     "level string, message string, timestamp string, time string, url string, "
     "source string, line string, column string, stack string, _corrupt_record string"
@@ -49,6 +46,28 @@ def _elements(documents: DataFrame, pieces: Column) -> DataFrame:
     ).select("value", "file", "block_start", F.col("at").cast("bigint").alias("mid"))
 
 
+def first_characters(spark: SparkSession, paths: Paths, files: Column | None) -> dict[str, str]:
+    """The first character of each file that is not blank, by path.
+
+    The files are read for it once. One row per file comes to the driver, which
+    lists the files anyway.
+    """
+    lines = scan_lines(spark, paths, files).where(F.col("block_start") == 0)
+    first = F.min_by(F.substring(strip(F.col("value")), 1, 1), "mid")
+    return {r["file"]: r["first"] for r in lines.groupBy("file").agg(first.alias("first")).collect()}
+
+
+def by_layout(
+    spark: SparkSession, paths: Paths, files: Column | None, *marks: str
+) -> list[Column]:
+    """Filters on files: those that begin with each mark, and all others."""
+    chosen = F.lit(True) if files is None else files
+    first = first_characters(spark, paths, files)
+    path = F.col("_metadata.file_path")
+    filters = [chosen & path.isin([f for f, c in first.items() if c == mark]) for mark in marks]
+    return [*filters, chosen & ~path.isin([f for f, c in first.items() if c in marks])]
+
+
 def json_elements(documents: DataFrame) -> DataFrame:
     """Elements of a JSON array in each document, as JSON texts; others give no rows."""
     array = F.from_json("value", "array<string>")
@@ -87,17 +106,12 @@ def browser(lines: DataFrame) -> DataFrame:
 
 
 def read_browser(
-    spark: SparkSession,
-    paths: Paths,
-    layout: str = "auto",
-    files: Column | None = None,
-    whole_file_bytes: int = WHOLE_FILE_BYTES,
+    spark: SparkSession, paths: Paths, layout: str = "auto", files: Column | None = None
 ) -> DataFrame:
     """Console exports: ``lines`` (one object each), ``document`` (array or lines) or ``auto``.
 
-    ``auto`` reads files up to ``whole_file_bytes`` whole, in either form, and
-    larger ones by line. A larger array over many lines needs ``document``; by
-    line its pieces show up as rejects, not as entries.
+    ``auto`` looks at the first character of each file: one that opens an array is
+    read whole by one task, whatever its size, any other by line.
     """
     if layout == "lines":
         return browser(scan_lines(spark, paths, files))
@@ -105,11 +119,9 @@ def read_browser(
         return browser(json_elements_or_lines(scan_documents(spark, paths, files)))
     if layout != "auto":
         raise ValueError(f"Unknown layout '{layout}'. Available: auto, document, lines")
-    chosen = F.lit(True) if files is None else files
-    small = F.col("_metadata.file_size") <= whole_file_bytes
-    whole = json_elements_or_lines(scan_documents(spark, paths, chosen & small))
-    by_line = scan_lines(spark, paths, chosen & ~small)
-    return browser(whole).unionByName(browser(by_line))
+    arrays, others = by_layout(spark, paths, files, "[")
+    whole = json_elements_or_lines(scan_documents(spark, paths, arrays))
+    return browser(whole).unionByName(browser(scan_lines(spark, paths, others)))
 
 
 def har(documents: DataFrame) -> DataFrame:

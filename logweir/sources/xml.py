@@ -9,7 +9,13 @@ from logweir.functions.levels import WINDOWS_LEVELS, named_level, with_windows_e
 from logweir.functions.text import last_wins_map, present, safe_int, strip, with_captures
 from logweir.functions.times import iso_time
 from logweir.schema import ORDER_COLUMNS, to_entries
-from logweir.sources.documents import json_elements, windows_json, windows_message
+from logweir.sources.documents import (
+    by_layout,
+    json_elements,
+    json_elements_or_lines,
+    windows_json,
+    windows_message,
+)
 from logweir.sources.lines import Paths, scan_documents, scan_lines
 
 _EVENT_SCHEMA = (
@@ -85,21 +91,26 @@ def scan_events(spark: SparkSession, paths: Paths, files: Column | None = None)
 
 
 def read_windows(
-    spark: SparkSession, paths: Paths, layout: str = "xml", files: Column | None = None
+    spark: SparkSession, paths: Paths, layout: str = "any", files: Column | None = None
 ) -> DataFrame:
     """Windows events: ``xml`` (files or lines of events), ``json`` (arrays) or ``any``.
 
-    ``any`` looks at the first character of each file, so it reads files whole
-    once to tell JSON from XML; name the layout where it is known.
+    ``any`` looks at the first character of each file: XML is read by event and so
+    split, a JSON array whole, anything else by line, as JSON objects or events;
+    lines that are neither are rejects. Name the layout where it is known.
     """
     if layout == "xml":
         return windows_lines(scan_events(spark, paths, files))
-    documents = scan_documents(spark, paths, files)
     if layout == "json":
-        return windows_json(json_elements(documents))
+        return windows_json(json_elements(scan_documents(spark, paths, files)))
     if layout != "any":
         raise ValueError(f"Unknown layout '{layout}'. Available: any, json, xml")
-    arrays = documents.where(F.substring(strip(F.col("value")), 1, 1) == "[")
-    return windows_lines(scan_events(spark, paths, files)).unionByName(
-        windows_json(json_elements(arrays))
-    )
+    events, arrays, objects, others = by_layout(spark, paths, files, "<", "[", "{")
+    found = windows_lines(scan_events(spark, paths, events))
+    for part in (
+        windows_json(json_elements_or_lines(scan_documents(spark, paths, arrays))),
+        windows_json(scan_lines(spark, paths, objects)),
+        windows_lines(scan_lines(spark, paths, others)),
+    ):
+        found = found.unionByName(part)
+    return found

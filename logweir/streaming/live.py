@@ -86,10 +86,13 @@ def start_ingest(
     checkpoint: str,
     config: Mapping | None = None,
     format_options: Mapping | None = None,
+    source_options: Mapping[str, str] | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Take files that land in a directory into the stored table, each once.
 
+    ``source_options`` bound a batch: ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``.
+
     Every micro-batch is a load named after the stream and the batch. A batch
     that is repeated after a failure replaces its load.
     """
@@ -100,7 +103,7 @@ def start_ingest(
         write_tagged(parse(numbered(batch.drop("mid"))), table, load=f"{stream}-{number}")
 
     return (
-        stream_lines(spark, directory)
+        stream_lines(spark, directory, **(source_options or {}))
         .writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))

@@ -282,9 +282,13 @@ ORACLES: dict[str, str] = {
         _WINDOWS,
     ),
     "ingest_custom": _entries(
-        "SELECT seq, 'myapp' AS source, coalesce(ip, '-') AS ip, ts AS timestamp, CASE k % 6 WHEN 0 THEN 'DEBUG' "
-        "WHEN 2 THEN 'WARNING' WHEN 3 THEN 'ERROR' WHEN 4 THEN 'CRITICAL' ELSE 'INFO' END AS level, message "
-        "FROM entries"
+        "SELECT seq, 'shopd' AS source, CASE WHEN seq % 5 <> 0 THEN coalesce(ip, '-') END AS ip, "
+        "CASE WHEN seq % 5 <> 0 THEN ts END AS timestamp, CASE WHEN seq % 5 = 0 THEN 'INFO' ELSE CASE k % 6 WHEN 0 THEN 'DEBUG' "
+        "WHEN 2 THEN 'WARNING' WHEN 3 THEN 'ERROR' WHEN 4 THEN 'CRITICAL' ELSE 'INFO' END END AS level, "
+        "CASE WHEN seq % 5 <> 0 THEN coalesce(method, 'NONE') END AS method, "
+        "CASE WHEN seq % 5 <> 0 THEN coalesce(path, '/none') END AS path, "
+        "CASE WHEN seq % 5 <> 0 THEN coalesce(status, 299) END AS status, "
+        "CASE WHEN seq % 5 = 0 THEN message ELSE '' END AS message FROM entries WHERE seq % 7 <> 0"
     ),
     "all_formats": _entries(
         "SELECT source, level, count(*) AS total, min(ts) AS start_time, max(ts) AS end_time "
@@ -349,6 +353,25 @@ ORACLES: dict[str, str] = {
             for name, sql in _LISTED.items()
         )
     ),
+    "report_record": _entries(
+        f"SELECT 'meta' AS section, 0 AS position, key, value FROM (UNPIVOT (SELECT CAST(total AS VARCHAR) AS total, "
+        f"CAST(errors AS VARCHAR) AS errors, CAST(warnings AS VARCHAR) AS warnings FROM ({_OVERVIEW})) "
+        "ON total, errors, warnings INTO NAME key VALUE value) "
+        "UNION ALL SELECT 'meta', 0, 'start_time', strftime(min(ts), '%Y-%m-%dT%H:%M:%S') FROM entries "
+        "UNION ALL SELECT 'meta', 0, 'end_time', strftime(max(ts), '%Y-%m-%dT%H:%M:%S') FROM entries "
+        "UNION ALL SELECT 'meta', 0, 'sources', string_agg(source, ',' ORDER BY source) FROM (SELECT DISTINCT source FROM entries) "
+        "UNION ALL (SELECT 'temporal', 0, 'peak_hour', CAST(hour(ts) AS VARCHAR) FROM entries GROUP BY hour(ts) "
+        "ORDER BY count(*) DESC, hour(ts) LIMIT 1) "
+        "UNION ALL (SELECT 'temporal', 0, 'peak_weekday', dayname(ts) FROM entries GROUP BY dayname(ts) "
+        "ORDER BY count(*) DESC, 4 LIMIT 1) "
+        "UNION ALL SELECT 'by_hour', 0, CAST(hour(ts) AS VARCHAR), CAST(count(*) AS VARCHAR) FROM entries GROUP BY hour(ts) "
+        "UNION ALL SELECT 'by_weekday', 0, dayname(ts), CAST(count(*) AS VARCHAR) FROM entries GROUP BY dayname(ts) UNION ALL "
+        + " UNION ALL ".join(
+            f"SELECT '{name}', CAST(row_number() OVER (ORDER BY count DESC, {_KEYS.get(name, 'ip')}) AS INT) - 1, "
+            f"CAST({_KEYS.get(name, 'ip')} AS VARCHAR), CAST(count AS VARCHAR) FROM ({sql})"
+            for name, sql in _LISTED.items()
+        )
+    ),
     "report_rows": _entries(
         " UNION ALL ".join(
             f"SELECT '{name}' AS section, count(*) AS count FROM ({sql}) HAVING count(*) > 0"

@@ -19,7 +19,7 @@ from logweir.operators import (
     topn,
 )
 from logweir.plans.history import append_run, findings, latest_runs, run_result
-from logweir.plans.report import Report
+from logweir.plans.report import REPORT_DDL, Report
 from logweir.plans.shared import new_path
 from logweir.plans.store import read_entries, write_entries
 from logweir.schema import ENTRY_COLUMNS
@@ -162,12 +162,12 @@ def _error_band(spark, sf_dir):
 
 def _bar_share(spark, sf_dir):
     rows = topn.top_ips(adapter.entries(spark, sf_dir))
-    return rows.select("ip", "count", display.bar_share(F.col("count"), 18).alias("bar"))
+    return rows.select("ip", "count", display.bar_share(rows, 18).alias("bar"))
 
 
 def _hour_bars(spark, sf_dir):
     rows = _hour_profile(spark, sf_dir)
-    return rows.select("hour", "count", display.bar_share(F.col("count"), 28).alias("bar"))
+    return rows.select("hour", "count", display.bar_share(rows, 28).alias("bar"))
 
 
 def _alerts(spark, sf_dir):
@@ -238,7 +238,7 @@ _LISTED = {
 
 
 def _report_lists(spark, sf_dir):
-    """Every ranking of the one-record report, as rows."""
+    """Every ranking of the one-record report, as rows with their places."""
     document = _report(spark, sf_dir).document()
 
     def listed(name: str, key: str):
@@ -254,8 +254,39 @@ def _report_lists(spark, sf_dir):
     return document.select(F.inline(lists))
 
 
-def _report_json(spark, sf_dir):
-    return _report(spark, sf_dir).document().select(F.to_json(F.struct("*")).alias("report"))
+def _report_record(spark, sf_dir):
+    """The record as it is read back from JSON: figures, hours, weekdays, peaks and rankings."""
+    written = _report(spark, sf_dir).document().select(F.to_json(F.struct("*")).alias("json"))
+    record = written.select(F.from_json("json", REPORT_DDL).alias("r")).select("r.*")
+
+    def item(section: str, position, key, value):
+        return F.struct(
+            F.lit(section).alias("section"), position.cast("int").alias("position"),
+            key.cast("string").alias("key"), value.cast("string").alias("value"),
+        )
+
+    first = F.lit(0)
+    single = [
+        item("meta", first, F.lit(name), F.col(f"meta.{name}"))
+        for name in ("total", "errors", "warnings", "start_time", "end_time")
+    ]
+    single += [
+        item("meta", first, F.lit("sources"), F.array_join("meta.sources", ",")),
+        item("temporal", first, F.lit("peak_hour"), F.col("temporal.peak_hour")),
+        item("temporal", first, F.lit("peak_weekday"), F.col("temporal.peak_weekday")),
+    ]
+    lists = [F.array(*single)]
+
+    def counted(name: str):
+        pairs = F.map_entries(F.col(f"temporal.{name}"))
+        return F.transform(pairs, lambda x: item(name, F.lit(0), x["key"], x["value"]))
+
+    def ranked(name: str, key: str):
+        return F.transform(F.col(name), lambda x, i: item(name, i, x[key], x["count"]))
+
+    lists += [counted(name) for name in ("by_hour", "by_weekday")]
+    lists += [ranked(name, key) for name, key in _LISTED.items()]
+    return record.select(F.inline(F.flatten(F.array(*lists))))
 
 
 def _report_rows(spark, sf_dir):
@@ -278,8 +309,14 @@ def _history_latest(spark, sf_dir):
 
 
 def _run_lookup(spark, sf_dir):
-    found = run_result(spark, _recorded(spark, sf_dir), 1)
-    return found.select("id", "target", F.inline("timeline"))
+    """A run and its hours, which are among its findings."""
+    folder = _recorded(spark, sf_dir)
+    hours = findings(spark, folder, 1).where(F.col("section") == "timeline")
+    item = F.from_json("item", "time string, total bigint, errors bigint, warnings bigint")
+    run = run_result(spark, folder, 1).select("id", "target")
+    return hours.select(F.lit(1).cast("bigint").alias("id"), item.alias("item")).join(
+        run, "id"
+    ).select("id", "target", "item.*")
 
 
 def _run_findings(spark, sf_dir):
@@ -413,7 +450,7 @@ QUERIES: dict[str, Query] = {
     ),
     "ingest_custom": _ingested(
         adapter.custom_lines, lambda lines: custom(lines, adapter.CUSTOM_CONFIG),
-        ["seq", "source", "ip", "timestamp", "level", "message"],
+        ["seq", "source", "ip", "timestamp", "level", "method", "path", "status", "message"],
     ),
     "all_formats": _all_formats,
     "rejects": _rejects,
@@ -431,7 +468,7 @@ QUERIES: dict[str, Query] = {
     "report_lists": _report_lists,
     "report_rows": _report_rows,
     "report_pages": _report_pages,
-    "report_json": _report_json,
+    "report_record": _report_record,
     "history_latest": _history_latest,
     "run_lookup": _run_lookup,
     "run_findings": _run_findings,
