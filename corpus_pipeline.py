@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from logweir.llm import fm_quality, near_dups, packing, quality_rules, suffix_dedup
-from logweir.llm.common import table, working_dir
+from logweir.llm.common import shipped, table, working_dir
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,6 +27,7 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: that of the smallest doc_id."""
+    shipped(spark)
     return near_dups.kept(docs)
 
 
@@ -35,11 +36,13 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     ``n_chars`` is that of the text that is left.
     """
+    shipped(spark)
     return suffix_dedup.deduplicated(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, placed in sequences of 1024 tokens."""
+    shipped(spark)
     return packing.packed(docs)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,25 @@ from pyspark.sql import functions as F
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+_shipped: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    path = f"{tempfile.mkdtemp()}/{package.name}.zip"
+    with zipfile.ZipFile(path, "w") as file:
+        for module in sorted(package.rglob("*.py")):
+            file.write(module, module.relative_to(package.parent))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -52,12 +72,3 @@ def free_name(df: DataFrame, wanted: str) -> str:
         wanted = f"_{wanted}"
     return wanted
 
-
-def partitions_of(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def single_thread() -> None:
-    """Tokenizers in a task use the task's own core."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    os.environ.setdefault("RAYON_NUM_THREADS", "1")
