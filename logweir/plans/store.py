@@ -1,8 +1,8 @@
 """The stored table of entries: parse once, analyse often.
 
-A write is a load, in a folder of its own. Under it, entries and rejects are
-kept apart and entries lie by source and day, so that a read of one source or
-of some days opens only those folders.
+Entries and rejects are kept apart and entries lie by source and day, so that a
+read of one source or of some days lists and opens only those folders. A write
+is a load, the innermost folder.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from logweir.plans.shared import read_table
 from logweir.schema import ENTRY_COLUMNS, ENTRY_SCHEMA, ORDER_COLUMNS, PARSED
 
 _KIND, _ENTRIES, _REJECTS = "kind", "entries", "rejects"
-_PARTITIONS = [_KIND, "source", "day"]
+_PARTITIONS = [_KIND, "source", "day", "load"]
 _SCHEMA = T.StructType(
     [
         *ENTRY_SCHEMA,
@@ -29,24 +29,27 @@ _SCHEMA = T.StructType(
 
 
 def write_tagged(
-    tagged: DataFrame, table: str, compact: bool = False, load: str | None = None
+    tagged: DataFrame, table: str, compact: bool = True, load: str | None = None
 ) -> None:
     """Store entries and rejects in one pass over the input.
 
     Writing a named load again replaces it, so a job that was cut off can be
-    repeated. ``compact`` shuffles rows to their folder first, for fewer and
-    larger files; a folder with much of the data is split over many tasks.
+    repeated with the same input. Rows are shuffled to their folder first, for few
+    and large files; a folder with much of the data is split over many tasks.
+    Without ``compact`` each task writes into every folder that it has rows for.
     """
     rows = tagged.withColumn(
         _KIND, F.when(F.col(PARSED), _ENTRIES).otherwise(_REJECTS)
     ).withColumn("day", F.col("timestamp").cast("date"))
     if compact:
-        rows = rows.hint("rebalance", *map(F.col, _PARTITIONS))
-    folder = f"{table.rstrip('/')}/load={load or uuid.uuid4().hex}"
-    rows.drop(PARSED).write.mode("overwrite").partitionBy(*_PARTITIONS).parquet(folder)
+        rows = rows.hint("rebalance", *map(F.col, _PARTITIONS[:-1]))
+    rows = rows.drop(PARSED).withColumn("load", F.lit(load or uuid.uuid4().hex))
+    # Only the folders of this load are replaced.
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*_PARTITIONS).parquet(table)
 
 
-def write_entries(entries: DataFrame, table: str, compact: bool = False) -> None:
+def write_entries(entries: DataFrame, table: str, compact: bool = True) -> None:
     write_tagged(entries.withColumn(PARSED, F.lit(True)), table, compact)
 
 

@@ -219,3 +219,15 @@ def test_store(spark, tmp_path):
     assert one_day.count() == 2
     assert sorted(got.drop("day").first().asDict()) == sorted(logweir.ENTRY_SCHEMA.fieldNames())
     assert len(rows(one_day)) == 2
+
+
+def test_few_files_by_source_and_day(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    text = "".join(line(i % 60).replace("10/Oct", f"{10 + i % 3}/Oct") + "\n" for i in range(600))
+    (tmp_path / "in" / "nginx.log").write_text(text)
+    table = tmp_path / "table"
+    for load in ("a", "b", "a"):
+        logweir.write_tagged(read_tagged(spark, str(tmp_path / "in")).repartition(16), str(table), load=load)
+    files = list(table.glob("kind=entries/source=nginx/day=2024-10-1*/load=*/*.parquet"))
+    assert 6 <= len(files) <= 12
+    assert logweir.read_entries(spark, str(table)).count() == 1200

@@ -392,7 +392,7 @@ ORACLES: dict[str, str] = {
     ),
     "run_findings": _entries(_BRUTE_FORCE),
     "entries_table": _entries(
-        "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, level, count(*) AS total FROM entries WHERE source = 'ssh' GROUP BY 1, 2"
+        "SELECT source, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, level, count(*) AS total FROM entries GROUP BY 1, 2, 3"
     ),
     "live_ingest": _entries(f"SELECT {_ACCESS} FROM entries WHERE source = 'nginx'"),
     "live_alerts": _entries(

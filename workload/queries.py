@@ -326,12 +326,12 @@ def _run_findings(spark, sf_dir):
 
 
 def _entries_table(spark, sf_dir):
-    """Entries stored by source and day, and one source read back."""
+    """Entries stored by source and day, and read back."""
     path = new_path(spark, "entries")
     write_entries(adapter.entries(spark, sf_dir), path)
-    back = read_entries(spark, path).where(F.col("source") == "ssh")
+    back = read_entries(spark, path)
     day = F.col("day").cast("string").alias("day")
-    return back.groupBy(day, "level").agg(F.count(F.lit(1)).alias("total"))
+    return back.groupBy("source", day, "level").agg(F.count(F.lit(1)).alias("total"))
 
 
 def _landed_nginx(spark, sf_dir) -> str:
