@@ -33,7 +33,7 @@ BUCKETS, SLICES = 1 << 20, 64
 #: How much more a shingle of one document weighs than one of all documents.
 STRENGTH = 0.25
 #: Rounds in which what is left of a bucket meets again, at most; texts drawn to be met in each.
-ROUNDS, HUBS = 5, 4
+ROUNDS, HUBS = 5, 2
 
 _MIX1, _MIX2, _STEP = (np.uint64(c) for c in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
