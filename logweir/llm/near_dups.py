@@ -246,11 +246,11 @@ def _sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
                 names=["key", "hashes", "counts"],
             )
 
-    # A text is wanted once, from its first document; only its row goes on.
-    wanted = texts.join(keys.select("doc_id", "key"), "doc_id", "inner")
-    # Rows of one doc_id with different texts are told apart by the key.
-    same = wanted.where(F.col("key") == _key_column(F.col("text"))).dropDuplicates(["key"])
-    return same.select("key", "text").mapInArrow(found, "key binary, hashes binary, counts binary")
+    # A text is wanted once, from its first document; only its row goes on. Rows of one
+    # doc_id, or without any, are told apart by the key.
+    own = texts.select(F.col("doc_id").alias("id"), "text", _key_column(F.col("text")).alias("own"))
+    wanted = own.join(keys, own["id"].eqNullSafe(keys["doc_id"]) & (own["own"] == keys["key"]))
+    return wanted.select("key", "text").dropDuplicates(["key"]).mapInArrow(found, "key binary, hashes binary, counts binary")
 
 
 def _key_column(text):
@@ -370,7 +370,8 @@ def kept(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One document of each class, with the columns they came with."""
     key, own = free_name(docs, "_key"), free_name(docs, "_id")
     stay = classes(docs, least).where("first").select(F.col("doc_id").alias(own), F.col("key").alias(key)).distinct()
-    # Most documents stay: their texts are shuffled once, by document.
-    near = docs.join(stay, docs["doc_id"].cast("bigint").eqNullSafe(stay[own]))
-    same = near.where(F.col(key) == _key_column(F.col("text").cast("string")))
+    # Most documents stay: their texts are shuffled once, by document and key.
+    of = free_name(docs, "_of")
+    named = docs.withColumn(of, _key_column(F.col("text").cast("string")))
+    same = named.join(stay, named["doc_id"].cast("bigint").eqNullSafe(stay[own]) & (named[of] == stay[key]))
     return same.dropDuplicates([own, key]).select(*[F.col(c) for c in docs.columns])
