@@ -42,7 +42,8 @@ def cap(entries: DataFrame, n: int, files: Iterable[str] | None = None) -> DataF
     """The first n entries over all files, to be analysed instead of all.
 
     Files count in the order given, or by name. Entries are counted per split
-    first, so that only the splits that hold the first n are sorted.
+    first: splits before the one that holds the n-th entry are kept as they are, and
+    only within that one are entries ranked.
     """
     if files is None:
         place: Column = F.col("file")
@@ -53,6 +54,11 @@ def cap(entries: DataFrame, n: int, files: Iterable[str] | None = None) -> DataF
     # One row per split of the input, however many entries it has.
     so_far = F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("split"))
     reached = counts.withColumn("so_far", so_far).where(F.col("so_far") >= n)
-    last = reached.agg(F.min("split")).scalar()
-    near = entries.where(last.isNull() | (split <= last))
-    return _first_rows(near, n, [place, F.col("block_start"), F.col("mid")], [])
+    at = reached.agg(F.min(F.struct("split", "count", "so_far")).alias("at"))
+    last = at.select("at.split").scalar()
+    wanted = at.select(F.lit(n) - (F.col("at.so_far") - F.col("at.count"))).scalar()
+    whole = entries.where(last.isNull() | (split < last))
+    inside = _first_rows(entries.where(split == last), n, [F.col("mid")], ["file"])
+    rank = F.row_number().over(Window.partitionBy("file").orderBy("mid"))
+    inside = inside.withColumn(_RANK, rank).where(F.col(_RANK) <= wanted).drop(_RANK)
+    return whole.unionByName(inside)

@@ -34,8 +34,12 @@ def top_values(entries: DataFrame, column: str, n: int = 10, ties: str = "key")
         return rank(groups.agg(F.count(F.lit(1)).alias("total")), column, n)
     if ties != "first_seen":
         raise ValueError(f"Unknown ties '{ties}'. Available: key, first_seen")
-    counted = groups.agg(
-        F.count(F.lit(1)).alias("count"), F.min(F.struct(*ORDER_COLUMNS)).alias("first_seen")
+    # First by split, where the place is a number and needs no sort; then over few rows.
+    by_split = entries.where(P.has(column)).groupBy(column, "file", "block_start").agg(
+        F.count(F.lit(1)).alias("count"), F.min("mid").alias("mid")
+    )
+    counted = by_split.groupBy(column).agg(
+        F.sum("count").alias("count"), F.min(F.struct(*ORDER_COLUMNS)).alias("first_seen")
     )
     return counted.orderBy(F.desc("count"), "first_seen").limit(n).drop("first_seen")
 

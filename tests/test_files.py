@@ -47,7 +47,7 @@ def test_order_over_splits(spark, tmp_path):
         messages = logweir.ingest(spark, str(tmp_path), "syslog")
         last = rows(limits.tail(messages, 700).select("message"))
         assert sorted(r["message"] for r in last) == sorted(f"{n} {i}" for n in "ab" for i in range(3300, 4000))
-        first = rows(limits.cap(messages, 4500).select("message"))
+        first = rows(limits.cap(messages, 4500).orderBy("file", "block_start", "mid").select("message"))
         assert [r["message"] for r in first] == [f"a {i}" for i in range(4000)] + [f"b {i}" for i in range(500)]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
