@@ -92,36 +92,40 @@ def vocabulary() -> list[str]:
     return sorted({w for ws in COMMON_WORDS.values() for w in ws})
 
 
-def measured(docs: DataFrame, name: str) -> DataFrame:
-    """The rows with a struct of what the rules look at."""
+def measured(docs: DataFrame, name: str, repeats: bool = True) -> DataFrame:
+    """The rows with a struct of what the rules look at; references need no ``repeats``."""
     names = "_body _pieces _words _one _two _four _windows _common".split()
     text, pieces, plain, one, two, four, windows, common = (free_name(docs, n) for n in names)
     rows = docs.withColumn(text, whole_text()).withColumn(pieces, _pieces(F.col(text)))
     rows = rows.withColumn(plain, F.array_remove(F.col(pieces), ""))
     words = F.col(plain)
     # Hashes of 1, 2, 4 and 8 words; the last 7 places lack a word and are cut off.
-    rows = rows.withColumn(one, F.transform(words, lambda w: F.xxhash64(w)))
-    for of, into, step in ((one, two, 1), (two, four, 2), (four, windows, 4)):
+    if repeats:
+        rows = rows.withColumn(one, F.transform(words, lambda w: F.xxhash64(w)))
+    for of, into, step in ((one, two, 1), (two, four, 2), (four, windows, 4)) if repeats else ():
         later = F.slice(F.col(of), F.lit(step + 1), F.size(of))
         rows = rows.withColumn(into, F.zip_with(F.col(of), later, lambda x, y: F.xxhash64(x, y)))
-    full = F.slice(F.col(windows), F.lit(1), F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))
-    rows = rows.withColumn(windows, full)
+    if repeats:
+        full = F.slice(F.col(windows), F.lit(1), F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))
+        rows = rows.withColumn(windows, full)
     rows = rows.withColumn(common, F.filter(words, lambda w: w.isin(vocabulary())))
     lines = F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     length = F.length(text)
     without = {k: length - F.length(F.regexp_replace(text, p, "")) for k, p in CLASSES.items()}
     n_lines = free_name(docs, "_lines")
-    rows = rows.withColumn(n_lines, lines)
+    if repeats:
+        rows = rows.withColumn(n_lines, lines)
     parts = {
         "n_words": F.size(words),
         "word_chars": length - F.size(pieces) + 1,
         "n_symbols": length - F.length(F.regexp_replace(text, rf"[{SYMBOLS}]+", "")),
-        "n_dup_lines": F.size(n_lines) - F.size(F.array_distinct(n_lines)),
-        "n_repeat_words": _repeat_words(windows),
         **without,
         "n_chars": length,
         "common": _common_counts(F.col(common)),
     }
+    if repeats:
+        parts["n_dup_lines"] = F.size(n_lines) - F.size(F.array_distinct(n_lines))
+        parts["n_repeat_words"] = _repeat_words(windows)
     rows = rows.withColumn(name, F.struct(*[c.cast("array<bigint>" if k == "common" else "bigint").alias(k) for k, c in parts.items()]))
     return rows.drop(text, pieces, plain, one, two, four, windows, common, n_lines)
 
@@ -210,7 +214,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     """
     name = free_name(docs, "_measured")
     rows = measured(docs, name)
-    _, kept = verdicts(rows, name, references(rows, name))
+    _, kept = verdicts(rows, name, references(measured(docs, name, repeats=False), name))
     return _held(rows, kept).drop(name)
 
 
