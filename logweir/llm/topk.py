@@ -28,7 +28,7 @@ from logweir.llm.common import stored
 TOP = 20
 FRAGMENTS = 2
 #: Vectors and queries of a block.
-VECTOR_BLOCK, QUERY_BLOCK = 8192, 1024
+VECTOR_BLOCK, QUERY_BLOCK = 32768, 256
 SCALE = 64
 
 _PARTS = "query_id bigint, vec_id bigint, fragment int, part bigint"
