@@ -135,19 +135,17 @@ def _above(batches: Iterator[pa.RecordBatch], top: int, fragments: int) -> Itera
             lowest = np.array([known[i]["lowest"] for i in queries.tolist()], float).reshape(len(queries), fragments)
             # Shares are uniform above the fragments' lowest scores.
             share = np.ceil((cutoff - lowest.sum(axis=1)) / fragments)
+            # A part below its threshold is unknown and may be as high as that.
             bound = np.zeros((len(queries), len(vectors)))
-            reported = np.zeros(bound.shape, bool)
+            reported, parts = np.zeros(bound.shape, bool), []
             for f, (lo, hi) in enumerate(_cuts(dims, fragments)):
-                scores, threshold = _part(q, v, lo, hi), (lowest[:, f] + share)[:, None]
-                over = scores >= threshold
-                reported |= over
-                bound += np.where(over, scores, threshold)
+                part, threshold = _part(q, v, lo, hi), (lowest[:, f] + share)[:, None]
+                reported |= part >= threshold
+                bound += np.maximum(part, threshold)
+                parts.append(part)
             rows, found = np.nonzero(reported & (bound >= cutoff[:, None]))
-            # The rest of the score, for those alone.
-            scores = np.empty(len(rows))
-            for at in range(0, len(rows), 65536):
-                some = slice(at, at + 65536)
-                scores[some] = np.einsum("ij,ij->i", q[rows[some]], v[found[some]])
+            # What may still reach the cutoff is resolved by its unknown parts.
+            scores = sum(part[rows, found] for part in parts)
             fit = (scores >= cutoff[rows]) & (queries[rows] != vectors[found])
             # Copies of one vector tie; a block names as many as the result can hold.
             q_at, named, own = rows[fit], vectors[found[fit]], scores[fit].astype(np.int64)
