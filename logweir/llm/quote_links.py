@@ -79,18 +79,17 @@ def _depths(nodes: DataFrame, replies: DataFrame) -> DataFrame:
         "turn",
         F.coalesce("reply_to", "turn").alias("root"),
         F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
+        F.col("reply_to").isNotNull().alias("open"),
     )
     at = stored(at, "depths")
-    while True:
+    while at.where("open").limit(1).count():
+        # Only messages that have not reached the first of their thread look further.
         up = at.select("conv", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        at = at.join(up, ["conv", "root"]).select(
-            "conv", "turn", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")
+        further = at.where("open").join(up, ["conv", "root"]).select(
+            "conv", "turn", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("open")
         )
-        at = stored(at, "depths")
-        moved = at.where("moved").limit(1).count()
-        at = at.drop("moved")
-        if not moved:
-            return at
+        at = stored(further.unionByName(at.where("not open")), "depths")
+    return at.drop("open")
 
 
 def _places(nodes: DataFrame) -> DataFrame:
