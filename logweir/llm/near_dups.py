@@ -8,9 +8,11 @@ compared by their whole sets, and links of at least ``SIMILARITY`` form classes.
 
 Document frequencies are counted over all documents in a fixed number of hashed
 buckets, so their table has one size for any corpus. Texts equal word for word are one
-text from the first shuffle on. In a bucket of a band no pairs are formed: its members
-are compared with one of them, the middle of the group; what does not become one class
-meets again, one member a class, with others drawn anew, until nothing is joined.
+text from the first shuffle on. Members of a bucket are first compared with one of
+them, the middle of the group, and those of a large one with others drawn anew, which
+joins large classes by few comparisons. In the end all pairs of a bucket that are
+still in different classes are compared: by rows in small buckets, in large ones by
+blocks of members, so that a task holds two blocks whatever the bucket's size.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ BANDS, ROWS = 12, 3
 BUCKETS, SLICES = 1 << 20, 64
 #: How much more a shingle of one document weighs than one of all documents.
 STRENGTH = 0.25
-#: Rounds in which what is left of a bucket meets again, at most; texts drawn to be met in each.
+#: Rounds in which what is left of a bucket meets some of it first, at most; texts drawn to be met in each.
 ROUNDS, HUBS = 5, 2
+#: Members of a bucket whose pairs are rows; members of a block of a larger one.
+PAIRED, BLOCK = 8, 256
 
 _MIX1, _MIX2, _STEP = (np.uint64(c) for c in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -278,6 +282,125 @@ def _verified(pairs: DataFrame, sets: DataFrame, idf, least: float) -> DataFrame
     return joined.mapInArrow(compared, "a binary, b binary")
 
 
+def _middle(degree: str, key: str):
+    """The first hub of a bucket: the middle of a group, and the same in all its buckets."""
+    return F.max(F.struct(F.col(degree).alias("degree"), F.col(key).alias("key")))
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, key, class, n, most, n_most) of members of buckets with several classes.
+
+    ``n`` is the bucket's size, ``most`` its largest class and ``n_most`` that one's size.
+    A bucket's first hub has met all others and is left out.
+    """
+    firsts = members.groupBy("band").agg(_middle("degree", "key").alias("first"))
+    others = members.join(firsts, "band").where(F.col("key") != F.col("first.key"))
+    labelled = others.select("band", "key").join(labels, "key")
+    sizes = labelled.groupBy("band", "class").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("band").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("m"), F.count("*").alias("parts")
+    )
+    several = several.where("parts > 1").select("band", "n", F.col("m.class").alias("most"), F.col("m.n").alias("n_most"))
+    return labelled.join(several, "band")
+
+
+def _paired(small: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys of different classes that share a bucket."""
+    of = lambda side: small.select("band", F.col("key").alias(side), F.col("class").alias(f"c{side}"))
+    return of("a").join(of("b"), "band").where("a < b and ca <> cb").select("a", "b").distinct()
+
+
+def _blocked(large: DataFrame, size: int) -> DataFrame:
+    """Members of large buckets by groups (band, i, j) of at most two blocks.
+
+    Each pair of different classes is in a group. The largest class has blocks of its
+    own, numbered below zero, that meet those of the rest but not each other.
+    """
+    at = lambda blocks: F.pmod(F.xxhash64("key"), blocks)
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / size))
+    placed = large.withColumn("rest", blocks(F.col("n") - F.col("n_most"))).withColumn("own", blocks(F.col("n_most")))
+    numbered = placed.withColumn("i", F.when(F.col("class") == F.col("most"), -1 - at(F.col("own"))).otherwise(at(F.col("rest"))))
+    rest = F.sequence(F.lit(0).cast("bigint"), F.col("rest") - 1)
+    own = F.sequence(-F.col("own"), F.lit(-1).cast("bigint"))
+    partners = F.when(F.col("i") < 0, rest).otherwise(F.concat(rest, own))
+    met = numbered.withColumn("j", F.explode(partners))
+    low, high = F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")
+    return met.select("band", low, high, F.col("i").alias("block"), "key", "class")
+
+
+def _group_links(members: list[tuple], band: int, least: float, idf: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Links of classes (a, b) in a group of (block, class, bands, hashes, counts).
+
+    A pair is looked at in the first bucket that it shares, and where there are two blocks,
+    across them; one whose classes are linked already, or whose total weights alone tell
+    it apart, is not compared.
+    """
+    if len(members) < 2:
+        return []
+    names = sorted({m[1] for m in members})
+    number = {c: k for k, c in enumerate(names)}
+    block = np.array([m[0] for m in members])
+    of = np.array([number[m[1]] for m in members])
+    bands = np.array([m[2] for m in members])
+    here = int(np.flatnonzero(bands[0] == band)[0])
+    sets = [(m[3], m[4].astype(np.float64)) for m in members]
+    across = len(set(block.tolist())) > 1
+    weights = [c * idf[bucket(h)] for h, c in sets]
+    totals = np.array([w.sum() for w in weights])
+    ends = np.cumsum([0] + [len(w) for w in weights])
+    known, ids = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+    every, dense, links = np.concatenate(weights), np.zeros(len(known)), []
+    for x in range(len(members) - 1):
+        y = np.arange(x + 1, len(members))
+        y = y[(of[y] != of[x]) & ((block[y] != block[x]) | (not across))]
+        y = y[np.minimum(totals[y], totals[x]) >= (least - 1e-9) * np.maximum(totals[y], totals[x])]
+        y = y[~(bands[y, :here] == bands[x, :here]).any(axis=1)]
+        if not len(y):
+            continue
+        if len(y) > 4:
+            # The common weights with all from the first of them on, at once.
+            mine = slice(ends[x], ends[x + 1])
+            dense[ids[mine]] = weights[x]
+            low = ends[y[0]]
+            sums = np.add.reduceat(np.minimum(dense[ids[low:]], every[low:]), ends[y[0] : -1] - low)
+            dense[ids[mine]] = 0
+            common = sums[y - y[0]]
+            y = y[common >= (least - 1e-9) * (totals[x] + totals[y] - common)]
+        for k in y:
+            if of[k] != of[x] and similarity(sets[x], sets[k], idf) >= least:
+                links.append((names[of[x]], names[of[k]]))
+                of[of == of[k]] = of[x]
+    return links
+
+
+def _group_linked(groups: DataFrame, sets: DataFrame, idf, least: float) -> DataFrame:
+    """Links (a, b) of classes, from groups of members as ``_blocked`` gives them."""
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(of, held):
+            # Within one block pairs are looked at in the group that it forms with itself.
+            found = [] if of[1] != of[2] and len({m[0] for m in held}) == 1 else _group_links(held, of[0], least, idf.value)
+            columns = [pa.array([p[k] for p in found], pa.binary()) for k in range(2)]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+        now, held = None, []
+        for batch in batches:
+            for band, i, j, block, class_, bands, hashes, counts in zip(*batch.columns):
+                of = band.as_py(), i.as_py(), j.as_py()
+                if of != now:
+                    if held:
+                        yield links(now, held)
+                    now, held = of, []
+                h, c = np.frombuffer(hashes.as_py(), np.uint64), np.frombuffer(counts.as_py(), "<u4")
+                held.append((block.as_py(), class_.as_py(), bands.as_py(), h, c))
+        if held:
+            yield links(now, held)
+
+    full = groups.join(sets, "key").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    columns = ["band", "i", "j", "block", "class", "bands", "hashes", "counts"]
+    return full.select(*columns).mapInArrow(linked, "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, class) of each end of the links (a, b); the class is the least key.
 
@@ -300,6 +423,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _class_links(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The links (a, b) of different classes that pairs of keys make."""
+    of = lambda side: labels.select(F.col("key").alias(side), F.col("class").alias(f"c{side}"))
+    found = pairs.join(of("a"), "a").join(of("b"), "b").where("ca <> cb")
+    return found.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (key, class) after the links of classes; only the classes that are joined change."""
+    joined = components(links).select(F.col("key").alias("class"), F.col("class").alias("new"))
+    return stored(labels.join(joined, "class", "left").select("key", F.coalesce("new", "class").alias("class")), "labels")
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, key (of its words), class_key, class_id, first.
 
@@ -332,8 +468,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             one = labelled.groupBy("band", "class").agg(F.min(drawn_by).alias("m"))
             drawn = [F.min(F.struct(F.xxhash64("m.key", "band", F.lit(-k)).alias("o"), F.col("m.key"))) for k in range(HUBS)]
         else:
-            # The first hub is the middle of a group, and the same in all its buckets.
-            one = labelled.groupBy("band", "class").agg(F.max(F.struct("degree", "key")).alias("m"))
+            one = labelled.groupBy("band", "class").agg(_middle("degree", "key").alias("m"))
             drawn = [F.max("m")]
         hubs = one.groupBy("band").agg(F.array(*drawn).alias("hubs"), F.count("*").alias("n")).where("n > 1")
         pairs = (
@@ -343,14 +478,20 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct()
         )
-        of = lambda side: labels.select(F.col("key").alias(side), F.col("class").alias(f"c{side}"))
-        found = _verified(pairs, sets, idf, least).join(of("a"), "a").join(of("b"), "b")
-        links = stored(found.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
+        links = stored(_class_links(_verified(pairs, sets, idf, least), labels), "links")
         if not links.limit(1).count():
             break
-        # Only the classes that were joined change.
-        joined = components(links).select(F.col("key").alias("class"), F.col("class").alias("new"))
-        labels = stored(labels.join(joined, "class", "left").select("key", F.coalesce("new", "class").alias("class")), "labels")
+        labels = _relabelled(labels, links)
+    # Whatever the rounds have met, all pairs of a bucket are in one class or compared from here on.
+    open_ = stored(_open(members, labels), "open")
+    links = _class_links(_verified(_paired(open_.where(F.col("n") <= PAIRED)), sets, idf, least), labels)
+    large = open_.where(F.col("n") > PAIRED)
+    if large.limit(1).count():
+        bands = distinct.select("key", "bands").join(large.select("key").distinct(), "key")
+        links = links.unionByName(_group_linked(_blocked(large, BLOCK), sets.join(bands, "key"), idf, least))
+    links = stored(links.distinct(), "links")
+    if links.limit(1).count():
+        labels = _relabelled(labels, links)
 
     joined = rows.select("doc_id", "key").join(labels.select("key", F.col("class").alias("_class")), "key", "left")
     joined = joined.select("doc_id", "key", F.coalesce("_class", "key").alias("class_key"))

@@ -86,6 +86,37 @@ def test_classes_against_all_pairs(spark):
     assert sorted(r.doc_id for r in kept) == sorted(smallest.values())
 
 
+def template_pages(n, small):
+    """Pages alike by 0.6 to 0.79 as they stand, in small classes of copies that differ in some words."""
+    r, shared, pages = random.Random(4), prose(320, 70), []
+    for k in range(n // small):
+        own = prose(52, 1000 + k)
+        for _ in range(small):
+            words = f"{shared} {own}".split(" ")
+            for at in r.sample(range(10, 300), 2):
+                words[at] = f"word{r.random()}"
+            pages.append(" ".join(words))
+    r.shuffle(pages)
+    return pages
+
+
+def smallest_ids(texts):
+    want, smallest = classes_of(texts), {}
+    for i, c in enumerate(want):
+        smallest.setdefault(c, i)
+    return [smallest[c] for c in want]
+
+
+def test_all_pairs_of_large_buckets_are_compared(spark, monkeypatch):
+    texts = template_pages(400, 2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    want = smallest_ids(texts)
+    assert len(set(want)) == 200
+    monkeypatch.setattr(near_dups, "BLOCK", 32)
+    got = {r.doc_id: r.class_id for r in near_dups.classes(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_awkward_rows(spark):
     docs = documents(spark)
     found = near_dups.classes(docs)
