@@ -480,6 +480,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         )
         links = stored(_class_links(_verified(pairs, sets, idf, least), labels), "links")
         if not links.limit(1).count():
+            # This only ends what saves comparisons; no pair is excluded by it.
             break
         labels = _relabelled(labels, links)
     # Whatever the rounds have met, all pairs of a bucket are in one class or compared from here on.

@@ -117,6 +117,17 @@ def test_all_pairs_of_large_buckets_are_compared(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_a_pair_is_compared_although_the_first_round_links_nothing(spark):
+    shared = prose(320, 70)
+    texts = [f"{shared} {prose(45, 1000 + k)}" for k in range(30)]
+    # In each bucket of the pair some other page meets the most.
+    one = f"{shared} {prose(45, 2027)}".split(" ")
+    texts += [" ".join(one), " ".join(one[:150] + ["other"] * 24 + one[174:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.class_id for r in near_dups.classes(docs).collect()}
+    assert [got[i] for i in range(32)] == smallest_ids(texts) == [*range(31), 30]
+
+
 def test_awkward_rows(spark):
     docs = documents(spark)
     found = near_dups.classes(docs)
