@@ -31,7 +31,9 @@ FRAGMENTS = 2
 VECTOR_BLOCK, QUERY_BLOCK = 32768, 256
 SCALE = 64
 
-_PARTS = "query_id bigint, vec_id bigint, fragment int, part bigint"
+_PARTS = "q_row bigint, v_row bigint, fragment int, part bigint"
+#: Rows are numbered within their block, from its number times 2**_BLOCK_BITS on.
+_BLOCK_BITS = 32
 
 
 def whole_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -48,9 +50,14 @@ def whole_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, size: int, count: int, name: str) -> DataFrame:
-    """Rows of whole blocks: (name, dims, ids, values as bytes); blocks by hash of the id."""
+    """Rows of whole blocks: (name, dims, ids, rows, values as bytes); blocks by hash of the id.
+
+    ``rows`` has a number of its own for each row, also of those that repeat an id.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # All rows of a block are in one task.
+        seen = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -59,26 +66,29 @@ def _blocks(rows: DataFrame, size: int, count: int, name: str) -> DataFrame:
                 at = np.flatnonzero((block == key[0]) & (dims == key[1]))
                 some = batch.take(pa.array(at))
                 values = some.column(3).flatten().to_numpy()
+                numbers = (key[0] << _BLOCK_BITS) + np.arange(seen, seen + len(at), dtype=np.int64)
+                seen += len(at)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([key[0]], pa.int32()),
                         pa.array([key[1]], pa.int32()),
                         pa.array([some.column(2).to_numpy().tobytes()], pa.binary()),
+                        pa.array([numbers.tobytes()], pa.binary()),
                         pa.array([values.tobytes()], pa.binary()),
                     ],
-                    names=[name, "dims", "ids", "values"],
+                    names=[name, "dims", "ids", "rows", "values"],
                 )
 
     keyed = rows.select(
         F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int").alias("block"), F.size("v").alias("dims"), "vec_id", "v"
     )
     dealt = keyed.repartition(count, "block").sortWithinPartitions("block", "dims", "vec_id")
-    return dealt.mapInArrow(pack, f"{name} int, dims int, ids binary, values binary")
+    return dealt.mapInArrow(pack, f"{name} int, dims int, ids binary, rows binary, values binary")
 
 
-def _unpacked(ids, values, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    own = np.frombuffer(ids.as_py(), np.int64)
-    return own, np.frombuffer(values.as_py(), np.float64).reshape(len(own), dims)
+def _unpacked(ids, rows, values, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    own, numbers = (np.frombuffer(x.as_py(), np.int64) for x in (ids, rows))
+    return own, numbers, np.frombuffer(values.as_py(), np.float64).reshape(len(own), dims)
 
 
 def _cuts(dims: int, fragments: int) -> list[tuple[int, int]]:
@@ -98,13 +108,13 @@ def _part(q: np.ndarray, v: np.ndarray, lo: int, hi: int) -> np.ndarray:
 
 
 def _leading(batches: Iterator[pa.RecordBatch], top: int, fragments: int) -> Iterator[pa.RecordBatch]:
-    """Phase 1 in a block: each fragment's best entries of each query, and its lowest score (vec_id null)."""
+    """Phase 1 in a block: each fragment's best entries of each query, and its lowest score (v_row null)."""
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
     for batch in batches:
         columns: list[list] = [[] for _ in range(4)]
-        for dims, q_ids, q_values, v_ids, v_values in zip(*batch.columns):
+        for dims, *packed in zip(*batch.columns):
             dims = dims.as_py()
-            (queries, q), (vectors, v) = _unpacked(q_ids, q_values, dims), _unpacked(v_ids, v_values, dims)
+            (queries, q_rows, q), (vectors, v_rows, v) = _unpacked(*packed[:3], dims), _unpacked(*packed[3:], dims)
             for f, (lo, hi) in enumerate(_cuts(dims, fragments)):
                 scores = _part(q, v, lo, hi)
                 n = min(top + 1, scores.shape[1])
@@ -113,13 +123,13 @@ def _leading(batches: Iterator[pa.RecordBatch], top: int, fragments: int) -> Ite
                 found = best.ravel()
                 other = queries[rows] != vectors[found]
                 rows, found = rows[other], found[other]
-                columns[0] += [queries[rows], queries]
-                columns[1] += [vectors[found], np.full(len(queries), np.iinfo(np.int64).min)]
+                columns[0] += [q_rows[rows], q_rows]
+                columns[1] += [v_rows[found], np.full(len(queries), -1)]
                 columns[2] += [np.full(len(rows) + len(queries), f)]
                 columns[3] += [scores[rows, found].astype(np.int64), scores.min(axis=1).astype(np.int64)]
-        out = _batch(columns, ["query_id", "vec_id", "fragment", "part"], kinds)
-        null = pa.compute.if_else(pa.compute.equal(out.column(1), np.iinfo(np.int64).min), None, out.column(1))
-        yield out.set_column(1, "vec_id", null)
+        out = _batch(columns, ["q_row", "v_row", "fragment", "part"], kinds)
+        null = pa.compute.if_else(pa.compute.equal(out.column(1), -1), None, out.column(1))
+        yield out.set_column(1, "v_row", null)
 
 
 def _above(batches: Iterator[pa.RecordBatch], top: int, fragments: int) -> Iterator[pa.RecordBatch]:
@@ -127,12 +137,12 @@ def _above(batches: Iterator[pa.RecordBatch], top: int, fragments: int) -> Itera
     kinds = [pa.int64(), pa.int64(), pa.int64()]
     for batch in batches:
         columns: list[list] = [[] for _ in range(3)]
-        for dims, q_ids, q_values, v_ids, v_values, cutoffs in zip(*batch.columns):
+        for dims, *packed, cutoffs in zip(*batch.columns):
             dims = dims.as_py()
-            (queries, q), (vectors, v) = _unpacked(q_ids, q_values, dims), _unpacked(v_ids, v_values, dims)
-            known = {c["query_id"]: c for c in cutoffs.as_py()}
-            cutoff = np.array([known[i]["cutoff"] for i in queries.tolist()], float)
-            lowest = np.array([known[i]["lowest"] for i in queries.tolist()], float).reshape(len(queries), fragments)
+            (queries, q_rows, q), (vectors, _, v) = _unpacked(*packed[:3], dims), _unpacked(*packed[3:], dims)
+            known = {c["q_row"]: c for c in cutoffs.as_py()}
+            cutoff = np.array([known[i]["cutoff"] for i in q_rows.tolist()], float)
+            lowest = np.array([known[i]["lowest"] for i in q_rows.tolist()], float).reshape(len(queries), fragments)
             # Shares are uniform above the fragments' lowest scores.
             share = np.ceil((cutoff - lowest.sum(axis=1)) / fragments)
             # A part below its threshold is unknown and may be as high as that.
@@ -171,7 +181,8 @@ def top_scores(
     Both inputs have (vec_id, v) as ``whole_vectors`` gives them. Ties go to the
     smaller vec_id. Vectors of another number of components are no candidates.
     A query with fewer candidates gets them all. Rows that repeat a vec_id are
-    candidates of their own. No queries or vectors give no rows.
+    candidates of their own, and a repeated query gets the best of all its rows' pairs.
+    No queries or vectors give no rows.
     """
     n_vectors, n_queries = vectors.count(), queries.count()
     v_blocks, q_blocks = max(1, -(-n_vectors // vector_block)), max(1, -(-n_queries // query_block))
@@ -179,41 +190,41 @@ def top_scores(
     packed_q = stored(_blocks(queries, query_block, q_blocks, "q_block"), "queries")
     # Blocks are joined by the numbers of their partners, listed on one side: no row is without use.
     partners = packed_v.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    left = packed_q.withColumnsRenamed({"ids": "q_ids", "values": "q_values"})
-    right = partners.withColumnsRenamed({"ids": "v_ids", "values": "v_values"})
+    left = packed_q.withColumnsRenamed({"ids": "q_ids", "rows": "q_rows", "values": "q_values"})
+    right = partners.withColumnsRenamed({"ids": "v_ids", "rows": "v_rows", "values": "v_values"})
     met = left.join(right.hint("shuffle_hash"), ["q_block", "dims"])
     spread = met.repartition(max(v_blocks * q_blocks, 1), "q_block", "v_block")
-    pairs = ["dims", "q_ids", "q_values", "v_ids", "v_values"]
+    pairs = ["dims", "q_ids", "q_rows", "q_values", "v_ids", "v_rows", "v_values"]
 
     def leading(batches):
         yield from _leading(batches, top, fragments)
 
     named = stored(spread.select(*pairs).mapInArrow(leading, _PARTS), "leading")
-    lowest = named.where("vec_id is null").groupBy("query_id", "fragment").agg(F.min("part").alias("lowest"))
+    lowest = named.where("v_row is null").groupBy("q_row", "fragment").agg(F.min("part").alias("lowest"))
     # Of a fragment's lists the best of all blocks; ties beyond the k-th may go.
-    order = Window.partitionBy("query_id", "fragment").orderBy(F.desc("part"), "vec_id")
-    lists = named.where("vec_id is not null").withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    order = Window.partitionBy("q_row", "fragment").orderBy(F.desc("part"), "v_row")
+    lists = named.where("v_row is not null").withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
     sums = (
-        lists.join(lowest, ["query_id", "fragment"])
-        .groupBy("query_id", "vec_id")
+        lists.join(lowest, ["q_row", "fragment"])
+        .groupBy("q_row", "v_row")
         .agg(F.sum(F.col("part") - F.col("lowest")).alias("over"))
     )
-    floors = lowest.groupBy("query_id").agg(
+    floors = lowest.groupBy("q_row").agg(
         F.sum("lowest").alias("floor"), F.transform(F.array_sort(F.collect_list(F.struct("fragment", "lowest"))), lambda x: x["lowest"]).alias("lowest")
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("over"), "vec_id")
-    kth = sums.withColumn("place", F.row_number().over(best)).where(F.col("place") == top).select("query_id", "over")
+    best = Window.partitionBy("q_row").orderBy(F.desc("over"), "v_row")
+    kth = sums.withColumn("place", F.row_number().over(best)).where(F.col("place") == top).select("q_row", "over")
     # Fewer candidates than wanted: everything reaches the floor.
-    cutoffs = floors.join(kth, "query_id", "left").select(
-        "query_id", (F.col("floor") + F.coalesce("over", F.lit(0))).alias("cutoff"), "lowest"
+    cutoffs = floors.join(kth, "q_row", "left").select(
+        "q_row", (F.col("floor") + F.coalesce("over", F.lit(0))).alias("cutoff"), "lowest"
     )
-    by_block = cutoffs.withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
-    by_block = by_block.groupBy("q_block").agg(F.collect_list(F.struct("query_id", "cutoff", "lowest")).alias("cutoffs"))
+    by_block = cutoffs.withColumn("q_block", F.shiftright("q_row", _BLOCK_BITS).cast("int"))
+    by_block = by_block.groupBy("q_block").agg(F.collect_list(F.struct("q_row", "cutoff", "lowest")).alias("cutoffs"))
 
     def above(batches):
         yield from _above(batches, top, fragments)
 
-    told = packed_q.withColumnsRenamed({"ids": "q_ids", "values": "q_values"}).join(by_block, "q_block")
+    told = packed_q.withColumnsRenamed({"ids": "q_ids", "rows": "q_rows", "values": "q_values"}).join(by_block, "q_block")
     met = told.join(right.hint("shuffle_hash"), ["q_block", "dims"])
     spread = met.repartition(max(v_blocks * q_blocks, 1), "q_block", "v_block").select(*pairs, "cutoffs")
     resolved = spread.mapInArrow(above, "query_id bigint, vec_id bigint, score bigint")

@@ -164,6 +164,25 @@ def test_top_scores_against_all_pairs(spark, fragments):
     assert topk.top_scores(whole.limit(0), whole.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("repeated", ["equal", "different", "queries"])
+def test_top_scores_of_repeated_ids(spark, repeated):
+    r = np.random.default_rng(3)
+    some = lambda: [float(x) for x in r.normal(0, 0.4, 8)]
+    data = [(i, some()) for i in range(120)]
+    more = {"equal": data, "different": [(i, some()) for i in range(120)], "queries": []}[repeated]
+    whole = topk.whole_vectors(spark.createDataFrame(data + more, "vec_id bigint, embedding array<float>"))
+    asked = whole.where("vec_id % 2 = 0")
+    asked = asked.unionByName(asked) if repeated == "queries" else asked
+    vectors, queries = ([(x.vec_id, np.array(x.v)) for x in f.collect()] for f in (whole, asked))
+    want = []
+    for q in sorted({i for i, _ in queries}):
+        # Rows are candidates of their own, and each row of a query has its own pairs.
+        scored = sorted((-int(x @ y), v) for i, x in queries if i == q for v, y in vectors if v != q)
+        want += [(q, k + 1, v, -s) for k, (s, v) in enumerate(scored[:4])]
+    got = topk.top_scores(whole, asked, 4, 2, vector_block=50, query_block=6)
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_quoted_messages(spark, monkeypatch):
     monkeypatch.setattr(quote_links, "BLOCK", 2)
     said = [
