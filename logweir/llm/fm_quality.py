@@ -224,7 +224,12 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     return docs.withColumn(name, score_column(model))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents that score at least ``least``, with the columns they came with."""
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, learned_from: DataFrame | None = None) -> DataFrame:
+    """The documents that score at least ``least``, with the columns they came with.
+
+    ``learned_from`` has the labelled documents, where ``docs`` are only a part of them:
+    one that has been filtered by quality holds few that are bad.
+    """
     name = free_name(docs, "_score")
-    return scored(docs, train(docs, labels), name).where(F.col(name) >= least).drop(name)
+    model = train(docs if learned_from is None else learned_from, labels)
+    return scored(docs, model, name).where(F.col(name) >= least).drop(name)

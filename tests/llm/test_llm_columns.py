@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from logweir.llm import fm_quality, quality_rules, quote_links, sharding, topk
 from tests.llm.llm_helpers import documents, nothing, prose, rows
 
@@ -95,6 +96,19 @@ def test_classifier_learns_from_the_open_part_only(spark):
     assert fm_quality.scored(docs, one_label).where("score <> 0.5").count() == 0
 
 
+def test_the_pipeline_learns_from_documents_that_the_rules_reject(spark, tmp_path):
+    texts = [(i, prose(60, i) if i % 2 else prose(60, i).upper() + " ###" * 8, "en", "s", 400) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id bigint, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    # No labelled document that is bad comes through; two without a label do.
+    more = [(1000, texts[0][1], "en", "s", 400), (1001, prose(60, 1001).upper() + " ###" * 8, "en", "s", 400)]
+    left = docs.where("doc_id % 2 = 1").unionByName(spark.createDataFrame(more, docs.schema))
+    got = sorted(r.doc_id for r in corpus_pipeline.classifier(spark, left, str(tmp_path)).collect())
+    assert got == list(range(1, 300, 2))
+
+
 def shard_rows(found, count):
     by = {}
     for r in found:
