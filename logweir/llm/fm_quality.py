@@ -163,7 +163,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_samples: int = MAX_SAMPLES) -> Model:
     """A model from labels outside the held-out third.
 
-    A document with several labels counts by their mean; null labels are none.
+    A document with several labels counts by their mean; null labels are none. One
+    row of a document is learned from.
     """
     known = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -193,11 +194,12 @@ def train(docs: DataFrame, labels: DataFrame, max_samples: int = MAX_SAMPLES) ->
         docs["text"].cast("string").alias("text"),
         docs["n_chars"].cast("double").alias("recorded"),
     )
+    # Of the rows of one document the one of the least hash counts, whatever their order.
+    least = F.struct(F.xxhash64("text").alias("hash"), "text", "recorded")
+    rows = rows.groupBy("id", "label").agg(F.min(least).alias("row")).select("id", "label", "row.text", "row.recorded")
     found = rows.mapInPandas(vectors, "id bigint, label int, at binary, x binary, numbers array<double>")
-    # Repeated rows of a document count once.
-    once = {r["id"]: r for r in found.collect()}
     samples = []
-    for _, r in sorted(once.items()):
+    for r in sorted(found.collect(), key=lambda r: r["id"]):
         at, x = np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(np.float64)
         samples.append((at, x, list(r["numbers"]), int(r["label"])))
     return fitted(samples)

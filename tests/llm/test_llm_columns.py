@@ -96,6 +96,18 @@ def test_classifier_learns_from_the_open_part_only(spark):
     assert fm_quality.scored(docs, one_label).where("score <> 0.5").count() == 0
 
 
+def test_a_repeated_document_is_learned_from_once(spark, monkeypatch):
+    texts = [(i % 20, prose(40, i), 100 + i) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
+    collect, collected, models = type(labels).collect, [], []
+    monkeypatch.setattr(type(labels), "collect", lambda df: collected.append(collect(df)) or collected[-1])
+    for order in (texts, texts[::-1]):
+        docs = spark.createDataFrame(order, "doc_id bigint, text string, n_chars bigint")
+        models.append(fm_quality.train(docs, labels))
+    assert (models[0].linear == models[1].linear).all() and (models[0].mean == models[1].mean).all()
+    assert all(len(c) <= 20 for c in collected)
+
+
 def test_the_pipeline_learns_from_documents_that_the_rules_reject(spark, tmp_path):
     texts = [(i, prose(60, i) if i % 2 else prose(60, i).upper() + " ###" * 8, "en", "s", 400) for i in range(300)]
     docs = spark.createDataFrame(texts, "doc_id bigint, text string, lang string, source string, n_chars bigint")
