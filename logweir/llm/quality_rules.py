@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweir.llm.common import free_name, whole_text
+from logweir.llm.common import free_name, stored, whole_text
 
 SYMBOLS = "#*$%&|<>"
 
@@ -92,29 +92,26 @@ def vocabulary() -> list[str]:
     return sorted({w for ws in COMMON_WORDS.values() for w in ws})
 
 
-def measured(docs: DataFrame, name: str, repeats: bool = True) -> DataFrame:
-    """The rows with a struct of what the rules look at; references need no ``repeats``."""
+def measured(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a struct of what the rules look at. A null text counts as empty: all measures are zero."""
     names = "_body _pieces _words _one _two _four _windows _common".split()
     text, pieces, plain, one, two, four, windows, common = (free_name(docs, n) for n in names)
     rows = docs.withColumn(text, whole_text()).withColumn(pieces, _pieces(F.col(text)))
     rows = rows.withColumn(plain, F.array_remove(F.col(pieces), ""))
     words = F.col(plain)
     # Hashes of 1, 2, 4 and 8 words; the last 7 places lack a word and are cut off.
-    if repeats:
-        rows = rows.withColumn(one, F.transform(words, lambda w: F.xxhash64(w)))
-    for of, into, step in ((one, two, 1), (two, four, 2), (four, windows, 4)) if repeats else ():
+    rows = rows.withColumn(one, F.transform(words, lambda w: F.xxhash64(w)))
+    for of, into, step in ((one, two, 1), (two, four, 2), (four, windows, 4)):
         later = F.slice(F.col(of), F.lit(step + 1), F.size(of))
         rows = rows.withColumn(into, F.zip_with(F.col(of), later, lambda x, y: F.xxhash64(x, y)))
-    if repeats:
-        full = F.slice(F.col(windows), F.lit(1), F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))
-        rows = rows.withColumn(windows, full)
+    full = F.slice(F.col(windows), F.lit(1), F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))
+    rows = rows.withColumn(windows, full)
     rows = rows.withColumn(common, F.filter(words, lambda w: w.isin(vocabulary())))
     lines = F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     length = F.length(text)
     without = {k: length - F.length(F.regexp_replace(text, p, "")) for k, p in CLASSES.items()}
     n_lines = free_name(docs, "_lines")
-    if repeats:
-        rows = rows.withColumn(n_lines, lines)
+    rows = rows.withColumn(n_lines, lines)
     parts = {
         "n_words": F.size(words),
         "word_chars": length - F.size(pieces) + 1,
@@ -122,24 +119,13 @@ def measured(docs: DataFrame, name: str, repeats: bool = True) -> DataFrame:
         **without,
         "n_chars": length,
         "common": _common_counts(F.col(common)),
+        "n_dup_lines": F.size(n_lines) - F.size(F.array_distinct(n_lines)),
+        "n_repeat_words": _repeat_words(windows),
     }
-    if repeats:
-        parts["n_dup_lines"] = F.size(n_lines) - F.size(F.array_distinct(n_lines))
-        parts["n_repeat_words"] = _repeat_words(windows)
     rows = rows.withColumn(name, F.struct(*[c.cast("array<bigint>" if k == "common" else "bigint").alias(k) for k, c in parts.items()]))
     return rows.drop(text, pieces, plain, one, two, four, windows, common, n_lines)
 
 
-def _held(rows: DataFrame, condition: Column) -> DataFrame:
-    """The rows that meet a condition on what was measured.
-
-    The optimizer would move the condition below the measuring and so repeat the latter
-    for each mention; it does not move one past a row number.
-    """
-    number = free_name(rows, "_number")
-    return rows.withColumn(number, F.monotonically_increasing_id()).where(condition & (F.col(number) >= 0)).drop(number)
-
-
 def _histograms(m: Column) -> tuple[Column, Column]:
     """Counts by character class, and by common word with all others at the end."""
     rest = m["word_chars"] - m["letters"] - m["digits"] - m["points"]
@@ -151,7 +137,7 @@ def _histograms(m: Column) -> tuple[Column, Column]:
 
 
 def references(rows: DataFrame, name: str) -> list[tuple[list[int], list[int]]]:
-    """Summed histograms of each language of ``COMMON_WORDS`` found in the rows.
+    """Summed histograms of each language of ``COMMON_WORDS`` found in the rows, a stored table of measures.
 
     Short texts, and those full of symbols or capitals, are not in a reference. At most one row for each
     such language reaches the driver.
@@ -159,7 +145,7 @@ def references(rows: DataFrame, name: str) -> list[tuple[list[int], list[int]]]:
     chars, words = _histograms(F.col(name))
     m = F.col(name)
     fit = (m["n_words"] >= MIN_WORDS) & (100 * m["n_symbols"] <= m["n_chars"]) & (5 * m["upper"] <= m["letters"])
-    counted = _held(rows, F.col("lang").isin(list(COMMON_WORDS)) & fit)
+    counted = rows.where(F.col("lang").isin(list(COMMON_WORDS)) & fit)
     n_chars, n_words = len(CLASSES) + 1, len(vocabulary()) + 1
     summed = (
         counted.select(F.col("lang").alias("lang"), chars.alias("c"), words.alias("w"))
@@ -176,32 +162,51 @@ def references(rows: DataFrame, name: str) -> list[tuple[list[int], list[int]]]:
     return [([r[f"c{i}"] for i in range(n_chars)], [r[f"w{i}"] for i in range(n_words)]) for r in summed]
 
 
-def _distance(counts: Column, reference: list[int]) -> Column:
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: as the element of an array it has a name."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+
+
+def _distance(shares: Column, reference: list[int]) -> Column:
     """Jensen-Shannon distance: the root of the divergence in bits, 0 to 1."""
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
     q = F.array(*[F.lit(x / max(sum(reference), 1)) for x in reference])
 
     def term(p: Column, q: Column) -> Column:
         of = lambda x: F.when(x > 0, x * F.log2(2 * x / (p + q))).otherwise(0.0)
         return (of(p) + of(q)) / 2
 
-    parts = F.zip_with(counts, q, lambda x, y: term(x / total, y))
-    return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
+    return F.sqrt(F.greatest(_total(F.zip_with(shares, q, term)), F.lit(0.0)))
+
+
+def _nearest(counts: Column, references: list[list[int]]) -> Column:
+    """The distance to the nearest reference. Counts, their total and the shares are computed once for all."""
+
+    def of_shares(shares: Column) -> Column:
+        return F.array_min(F.array(*[_distance(shares, r) for r in references]))
+
+    def of_counts(c: Column) -> Column:
+        return _bound(_bound(_total(c), lambda total: F.transform(c, lambda x: x / total)), of_shares)
+
+    return _bound(counts, of_counts)
 
 
 def verdicts(rows: DataFrame, name: str, known: list[tuple[list[int], list[int]]]) -> tuple[Column, Column]:
     """(base_failed, kept) as columns of ``measured`` rows.
 
-    Without any reference the histograms decide nothing.
+    Without any reference the histograms decide nothing. A text at a limit is kept: only
+    a distance above it rejects. Null texts were measured as empty ones, which fail the base rules.
     """
     m = F.col(name)
     base_failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
     if not known:
         return base_failed, ~base_failed
     chars, words = _histograms(m)
-    nearest = lambda counts, refs: F.array_min(F.array(*[_distance(counts, r) for r in refs]))
-    far = (m["n_chars"] >= GUARD_CHARS) & (nearest(chars, [c for c, _ in known]) > MAX_CHAR_DISTANCE)
-    far |= (m["n_words"] >= GUARD_WORDS) & (nearest(words, [w for _, w in known]) > MAX_WORD_DISTANCE)
+    far = (m["n_chars"] >= GUARD_CHARS) & (_nearest(chars, [c for c, _ in known]) > MAX_CHAR_DISTANCE)
+    far |= (m["n_words"] >= GUARD_WORDS) & (_nearest(words, [w for _, w in known]) > MAX_WORD_DISTANCE)
     return base_failed, F.when(base_failed, False).otherwise(~far)
 
 
@@ -211,11 +216,14 @@ def accepted(docs: DataFrame) -> DataFrame:
     Null text counts as empty and is rejected (no words). A null or unknown
     language is compared like any other: with every reference. Repeated rows get
     the same verdict each. No documents give none.
+
+    Texts are measured once, and kept with their measures in the shared folder: the
+    references read the measures alone, the verdicts both.
     """
     name = free_name(docs, "_measured")
-    rows = measured(docs, name)
-    _, kept = verdicts(rows, name, references(measured(docs, name, repeats=False), name))
-    return _held(rows, kept).drop(name)
+    rows = stored(measured(docs, name), "measured")
+    _, kept = verdicts(rows, name, references(rows, name))
+    return rows.where(kept).drop(name)
 
 
 def distance_in(counts: list[int], reference: list[int]) -> float:
