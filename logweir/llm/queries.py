@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import bpe, edit_counts, fm_quality, near_dups, packing, quality_rules, quote_links, sharding, suffix_dedup, topk
-from logweir.llm.common import stored, table
+from logweir.llm import (
+    bpe,
+    dual_tree,
+    edit_counts,
+    fm_quality,
+    near_dups,
+    packing,
+    quality_rules,
+    quote_links,
+    sharding,
+    suffix_dedup,
+    token_files,
+    topk,
+    whitening,
+)
+from logweir.llm.common import stored, table, working_dir
 
 ORACLES: dict[str, str] = {}
 
@@ -246,6 +262,48 @@ def op10_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.ranked(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+ORACLES["op11_dual_tree"] = f"""
+with items as (
+  select row, item_id, unnest(list_distinct({_TERMS})) as term from (select row_number() over () as row, * from benchmark)
+), words as (
+  select doc, doc_id, unnest({_TERMS}) as term from (select row_number() over () as doc, * from documents)
+), lengths as (
+  select doc, doc_id, count(*) as n from words group by all
+), totals as (
+  select count(*) as docs, sum(n)::bigint as length from lengths
+), sized as (
+  select doc, doc_id, 100 - 90 + (90 * n * docs) // length as m from lengths, totals
+), counts as (
+  select doc, term, count(*) as tf from words where term in (select term from items) group by all
+), weights as (
+  select term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)::double))::bigint as w
+  from counts, totals group by term
+), scored as (
+  select row, item_id, doc, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from items join counts using (term) join weights using (term) join sized using (doc) group by all
+), ranked as (
+  select *, row_number() over (partition by row order by score desc, doc_id nulls last)::int as rank from scored where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
+
+
+def op12_cholesky_jacobi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{working_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), folder)
+    return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_best_fit": op1_best_fit,
     "op2_weighted_minhash": op2_weighted_minhash,
@@ -257,4 +315,7 @@ QUERIES = {
     "op8_backtracking_bpe": op8_backtracking_bpe,
     "op9_quotation_links": op9_quotation_links,
     "op10_edit_aware_counts": op10_edit_aware_counts,
+    "op11_dual_tree": op11_dual_tree,
+    "op12_cholesky_jacobi": op12_cholesky_jacobi,
+    "op13_seekable_frames": op13_seekable_frames,
 }
