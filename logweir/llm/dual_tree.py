@@ -30,7 +30,7 @@ from logweir.llm.common import stored
 
 TOP = 10
 #: Items of a block, and entries (documents times terms) of a dense part of the documents.
-ITEM_BLOCK, ENTRIES = 512, 1 << 22
+ITEM_BLOCK, ENTRIES = 512, 1 << 20
 #: Documents and items of a leaf; documents of a tree at most.
 DOC_LEAF, ITEM_LEAF, TREE = 16, 8, 1024
 #: Groups that the tasks' lists are merged in first.
@@ -235,7 +235,7 @@ def _entries(batch: pa.RecordBatch) -> tuple:
     """(ids, n, owner, term, occurrences) of a batch of counts."""
     ids, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
     terms, counts = ([np.frombuffer(x.as_py(), "<i4") for x in batch.column(c)] for c in (2, 3))
-    owners = np.repeat(np.arange(len(ids)), [len(t) for t in terms])
+    owners = np.repeat(np.arange(len(ids), dtype=np.int32), [len(t) for t in terms])
     return ids, n, owners, np.concatenate(terms), np.concatenate(counts)
 
 
