@@ -209,6 +209,40 @@ def test_top_scores_of_repeated_ids(spark, repeated):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_few_pairs_are_resolved():
+    """Signed components: the cutoff from named candidates leaves less than a tenth of the pairs."""
+    r = np.random.default_rng(6)
+    v = np.floor(64 * r.normal(0, 0.4, (4000, 64))).astype(np.int64)
+    ids, queries = np.arange(4000), np.arange(0, 4000, 40)
+    rows, scores = topk.named(ids, v, queries, v[::40], 20, 2, False)
+    cutoffs = np.array([np.sort(scores[rows == k])[-20] for k in range(100)])
+    (rows, found, scores), pairs = topk.resolved(ids, v, queries, v[::40], cutoffs, 2, False)
+    assert pairs < 0.1 * 4000 * 100
+    for k in range(100):
+        every = sorted(((int(v[40 * k] @ v[i]), -i) for i in ids.tolist() if i != 40 * k), reverse=True)[:20]
+        mine = sorted(((s, -i) for s, i in zip(scores[rows == k].tolist(), found[rows == k].tolist())), reverse=True)[:20]
+        assert mine == every
+
+
+def test_scores_beyond_exact_doubles(spark):
+    r = np.random.default_rng(8)
+    data = [(i, [float(np.float32(x)) for x in r.normal(0, 0.4, 6)]) for i in range(60)]
+    data += [(100 + i, [float(np.float32(x)) for x in r.normal(0, 3e6, 6)]) for i in range(30)]
+    data += [(200, [1e9] * 6), (201, [-1e9] * 6), (202, [3e38] + [0.0] * 5), (203, [])]
+    whole = topk.whole_vectors(spark.createDataFrame(data, "vec_id bigint, embedding array<float>"))
+    got = {}
+    for x in topk.top_scores(whole, whole, 7, 2, vector_block=40, query_block=11).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    vectors = {x.vec_id: list(x.v) for x in whole.collect()}
+    for q, a in vectors.items():
+        every = []
+        for i, b in vectors.items():
+            if i != q and len(a) == len(b):
+                score = sum(x * y for x, y in zip(a, b))
+                every.append((-min(max(score, -(2**63)), 2**63 - 1), i))
+        assert sorted(got.get(q, [])) == [(k, i, -s) for k, (s, i) in enumerate(sorted(every)[:7], 1)], q
+
+
 def test_quoted_messages(spark, monkeypatch):
     monkeypatch.setattr(quote_links, "BLOCK", 2)
     said = [
