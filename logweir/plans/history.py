@@ -2,7 +2,9 @@
 
 ``<folder>/runs`` has a row per run with its figures and its report as JSON.
 ``<folder>/findings`` has all rows of all report lists, also those that are no part of
-the report record.
+the report record. A run is written in two steps: the findings under its number, then its
+row, which is the mark that it is whole. A run that was cut off between them has no row,
+so its number is given again and its findings are replaced.
 """
 
 from __future__ import annotations
@@ -12,11 +14,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.plans.report import REPORT_DDL, Report
+from logweir.plans.report import REPORT_DDL, ROWS_SCHEMA, Report
 from logweir.plans.shared import read_table
 from logweir.schema import RUN_SCHEMA
 
-_FINDING_SCHEMA = "section string, item string, run_id bigint"
+_FINDING_SCHEMA = f"{ROWS_SCHEMA}, run_id bigint"
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,9 +26,10 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, folder: str, run_id: int) -> DataFrame:
-    """All rows of all lists of a run: (section, item as JSON text)."""
+    """All rows of all lists of a whole run: (section, position, item as JSON text)."""
     found = read_table(spark, f"{folder}/findings", _FINDING_SCHEMA)
-    return found.where(F.col("run_id") == run_id).drop("run_id")
+    whole = runs(spark, folder).select(F.col("id").alias("run_id"))
+    return found.where(F.col("run_id") == run_id).join(whole, "run_id", "left_semi").drop("run_id")
 
 
 def append_run(
@@ -41,15 +44,24 @@ def append_run(
     ``log_start`` is the first time in the log, or the time of the run if the
     log has none.
     """
-    spark = report.entries.sparkSession
+    spark = report.spark
     last = runs(spark, folder).agg(F.max("id")).first()[0]
     run_id = (last or 0) + 1
+    numbered = report.rows().withColumn("run_id", F.lit(run_id).cast("bigint"))
+    # Only the folder of this number is replaced.
+    writer = numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_id").parquet(f"{folder}/findings")
+    _append_row(report, folder, target, run_id, run_at, duration_ms)
+    return run_id
+
+
+def _append_row(
+    report: Report, folder: str, target: str, run_id: int, run_at: datetime | None, duration_ms: float
+) -> None:
     now = F.lit((run_at or datetime.now()).isoformat()).cast("timestamp_ntz")
     meta = report.meta.select(F.struct("*")).scalar()
     # Built on the document's one row; the figures come as one more scalar.
-    row = report.document().select(
-        F.to_json(F.struct("*")).alias("result_json"), meta.alias("meta")
-    )
+    row = report.document().select(F.to_json(F.struct("*")).alias("result_json"), meta.alias("meta"))
     values = {
         "id": F.lit(run_id),
         "target": F.lit(target),
@@ -64,12 +76,7 @@ def append_run(
             for f in RUN_SCHEMA
         )
     )
-    # Findings first: a run that is listed has them all.
-    report.rows().withColumn("run_id", F.lit(run_id).cast("bigint")).write.mode(
-        "append"
-    ).partitionBy("run_id").parquet(f"{folder}/findings")
     record.coalesce(1).write.mode("append").parquet(f"{folder}/runs")
-    return run_id
 
 
 def latest_runs(spark: SparkSession, folder: str, limit: int = 10) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from logweir.functions import predicates as P
 from logweir.functions.times import iso_text
@@ -34,7 +34,7 @@ REPORT_DDL = (
     "banned_ips array<struct<ip: string, count: bigint>>"
 )
 
-# How many rows of a list each report page shows.
+# How many rows of a list each report page shows, and its short form.
 PAGE_ROWS = {
     "spike_windows": 5,
     "top_status_codes": 8,
@@ -42,6 +42,11 @@ PAGE_ROWS = {
     "top_paths": 15,
     "geo": 20,
 }
+SHORT_PAGE_ROWS = {**PAGE_ROWS, "top_paths": 10, "geo": 15}
+
+#: Sort keys of a list as columns that all lists have: numbers first, then texts.
+_KEYS = ["number1", "number2", "text1", "text2"]
+ROWS_SCHEMA = "section string, position bigint, item string"
 
 
 @dataclass(frozen=True)
@@ -56,31 +61,46 @@ def _largest_first(column: str, *then: str) -> tuple[Column, ...]:
     return (-F.col(column), *map(F.col, then))
 
 
+def _parsed(kind: str) -> Callable[[Column], Column]:
+    return lambda x: F.from_json(x["item"], kind)
+
+
 class Report:
     """All analyses of ``entries``, each built when it is asked for.
 
     The entries are read twice: once for the shared aggregates, which are kept
     in the shared folder as soon as a list needs them, and once for the correlation. So let ``entries`` be a
-    stored table rather than raw log files.
+    stored table rather than raw log files. Where the aggregates are at hand (``plans.state``),
+    ``facts`` and ``gaps`` take their place and no entries are needed.
     """
 
     def __init__(
         self,
-        entries: DataFrame,
+        entries: DataFrame | None = None,
         top_n: int = 10,
         correlation_window_minutes: float = correlation.WINDOW_MINUTES,
         networks: DataFrame | None = None,
         geo_ips: str = "top",
+        facts: DataFrame | None = None,
+        gaps: DataFrame | None = None,
     ):
+        if entries is None and (facts is None or gaps is None):
+            raise ValueError("A report needs entries, or facts and gaps")
         self.entries = entries
         self.top_n = top_n
         self.correlation_window_minutes = correlation_window_minutes
         self.networks = networks
         self.geo_ips = geo_ips
+        self._given_facts, self._given_gaps = facts, gaps
+
+    @property
+    def spark(self) -> SparkSession:
+        return (self._given_facts if self.entries is None else self.entries).sparkSession
 
     @cached_property
     def _facts(self) -> DataFrame:
-        return settled(all_facts(self.entries), by="facts")
+        found = self._given_facts if self._given_facts is not None else all_facts(self.entries)
+        return settled(found, by="facts")
 
     def _by(self, name: str) -> DataFrame:
         return facts_of(self._facts, name)
@@ -119,8 +139,8 @@ class Report:
     def correlations(self) -> DataFrame:
         hours = self._by("hour")
         several = hours.agg(F.min("source") < F.max("source")).scalar()
-        gaps = correlation.closest_gaps(self.entries).where(several)
-        return settled(correlation.correlations_of(gaps, self.correlation_window_minutes))
+        gaps = self._given_gaps if self._given_gaps is not None else correlation.closest_gaps(self.entries)
+        return settled(correlation.correlations_of(gaps.where(several), self.correlation_window_minutes))
 
     @cached_property
     def geo(self) -> DataFrame | None:
@@ -175,34 +195,64 @@ class Report:
     def section(self, name: str) -> Section:
         return self._builders[name]()
 
-    def page(self, name: str, rows: int | None = None) -> DataFrame:
+    def page(self, name: str, rows: int | None = None, short: bool = False) -> DataFrame:
         """The first rows of a list, as many as its report page shows."""
         section = self.section(name)
-        wanted = rows if rows is not None else PAGE_ROWS.get(name, self.top_n)
+        shown = SHORT_PAGE_ROWS if short else PAGE_ROWS
+        wanted = rows if rows is not None else shown.get(name, self.top_n)
         return section.rows.orderBy(*section.order).limit(wanted)
 
+    @cached_property
+    def _all_rows(self) -> DataFrame:
+        return self._placed(list(self._builders))
+
     def rows(self, names: Iterable[str] | None = None) -> DataFrame:
-        """All rows of all lists in one table: (section, item as JSON text)."""
-        names = list(names) if names is not None else list(self._builders)
-        parts = [
-            self.section(name).rows.select(
-                F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("item")
-            )
-            for name in names
+        """All rows of all lists in one table: (section, position, item as JSON text).
+
+        ``position`` counts the rows of a list from 0 in its order.
+        """
+        return self._all_rows if names is None else self._placed(list(names))
+
+    def _placed(self, names: list[str]) -> DataFrame:
+        """The lists' rows with their positions.
+
+        All lists are sorted as one, by ranges of their keys, so that a list of any
+        length is spread over tasks; a row's position follows from its place within
+        its range and the rows of the ranges before, of which there are few.
+        """
+        parts = [self._keyed(name) for name in names]
+        keyed = settled(reduce(DataFrame.union, parts))
+        order = ["section", *_KEYS]
+        ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+        # The upper bits of this number are the range, the lower ones the place in it.
+        numbered = settled(ranged.drop(*_KEYS).withColumn("at", F.monotonically_increasing_id()))
+        numbered = numbered.withColumn("range", F.shiftright("at", 33))
+        place = F.col("at") - F.shiftleft(F.col("range"), 33)
+        # One row for each range and section.
+        counts = numbered.groupBy("section", "range").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+        before = Window.partitionBy("section").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.select("section", "range", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        position = F.col("before") + place - F.col("first")
+        return numbered.join(starts, ["section", "range"]).select("section", position.alias("position"), "item")
+
+    def _keyed(self, name: str) -> DataFrame:
+        """A list's rows as JSON texts with its sort keys in the common columns."""
+        section = self.section(name)
+        rows = section.rows
+        kinds = [f.dataType for f in rows.select(*section.order).schema]
+        texts = [k for k, kind in zip(section.order, kinds) if isinstance(kind, StringType)]
+        numbers = [k for k, kind in zip(section.order, kinds) if not isinstance(kind, StringType)]
+        keys = {f"text{i}": k for i, k in enumerate(texts, 1)} | {f"number{i}": k for i, k in enumerate(numbers, 1)}
+        filled = [
+            keys.get(c, F.lit(None)).cast("double" if c.startswith("number") else "string").alias(c) for c in _KEYS
         ]
-        return reduce(DataFrame.union, parts)
+        return rows.select(F.lit(name).alias("section"), *filled, F.to_json(F.struct("*")).alias("item"))
 
-    def _list(self, name: str) -> Column:
-        """A list that does not grow with the data as one array value, in order."""
-        section = self.section(name)
-        keyed = F.struct(F.struct(*section.order).alias("key"), F.struct("*").alias("row"))
-        gathered = section.rows.select(keyed.alias("item")).agg(
-            F.array_sort(F.collect_list("item")).alias("items")
-        )
-        return gathered.select(F.transform("items", lambda x: x["row"])).scalar()
+    def document(self, rows: DataFrame | None = None) -> DataFrame:
+        """One row with the report's record, as ``REPORT_DDL`` describes it; ``rows`` has the rest.
 
-    def document(self) -> DataFrame:
-        """One row with the report's record, as ``REPORT_DDL`` describes it; ``rows`` has the rest."""
+        Its lists are taken from ``rows``, those of this report or the same as they were stored.
+        """
         meta = self.meta.select(
             F.struct(
                 "total", "errors", "warnings", "error_rate",
@@ -223,17 +273,27 @@ class Report:
             peak["peak_hour"].alias("peak_hour"),
             peak["peak_weekday"].alias("peak_weekday"),
         )
+        fields = StructType.fromDDL(REPORT_DDL)
+        listed = [f for f in fields if isinstance(f.dataType, ArrayType)]
+        # Only lists that do not grow with the data: a few rows each.
+        few = (self.rows() if rows is None else rows).where(F.col("section").isin([f.name for f in listed]))
+        item = F.struct("position", "item")
+        gathered = few.agg(
+            *(F.array_sort(F.collect_list(F.when(F.col("section") == f.name, item))).alias(f.name) for f in listed)
+        )
         columns = []
-        for field in StructType.fromDDL(REPORT_DDL):
-            value = {"meta": meta, "temporal": times}.get(field.name)
-            value = self._list(field.name) if value is None else value
+        for field in fields:
+            if field.name in ("meta", "temporal"):
+                value = meta if field.name == "meta" else times
+            else:
+                value = F.transform(field.name, _parsed(field.dataType.elementType.simpleString()))
             columns.append(value.cast(field.dataType).alias(field.name))
-        return self.entries.sparkSession.range(1).select(*columns)
+        return gathered.select(*columns)
 
     def write_json(self, path: str) -> None:
         """The one-record report as a JSON file in ``path``."""
         self.document().coalesce(1).write.mode("overwrite").json(path)
 
     def write_rows(self, path: str) -> None:
-        """Every list in full, as JSON lines in a folder of its own."""
-        self.rows().write.mode("overwrite").partitionBy("section").text(path)
+        """Every list in full, as JSON lines in a folder of its own; its order is not kept."""
+        self.rows().select("section", "item").write.mode("overwrite").partitionBy("section").text(path)

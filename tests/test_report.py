@@ -3,7 +3,10 @@
 import json
 from datetime import datetime
 
+import pytest
+
 import logweir
+from logweir.plans import history
 from logweir.operators import correlation, detections, geo, temporal, topn
 from logweir.plans.report import REPORT_DDL
 from pyspark.sql.types import StructType
@@ -92,8 +95,50 @@ def test_history(spark, tmp_path):
     [found] = rows(logweir.run_result(spark, folder, 1))
     assert found["target"] == "a.log" and found["top_ips"][0]["count"] == 23 and found["meta"]["errors"] == 3
     assert rows(logweir.run_result(spark, folder, 999)) == []
-    items = logweir.findings(spark, folder, 1).where(F.col("section") == "brute_force").collect()
-    assert sorted(json.loads(r["item"])["type"] for r in items) == ["http_brute_force", "ssh_brute_force"]
+    items = logweir.findings(spark, folder, 1).where(F.col("section") == "brute_force").orderBy("position").collect()
+    assert [json.loads(r["item"])["type"] for r in items] == ["http_brute_force", "ssh_brute_force"]
+
+
+def test_a_run_that_was_cut_off_is_replaced(spark, tmp_path, monkeypatch):
+    """Its findings are there without its row: nobody sees them, and the next run has the number."""
+    folder = str(tmp_path / "history")
+    logweir.append_run(logweir.Report(sample(spark)), folder, "a")
+    with monkeypatch.context() as m:
+        m.setattr(history, "_append_row", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            logweir.append_run(logweir.Report(sample(spark)), folder, "b")
+    assert logweir.findings(spark, folder, 2).count() == 0
+    assert [r["id"] for r in rows(logweir.latest_runs(spark, folder))] == [1]
+    report = logweir.Report(sample(spark))
+    assert logweir.append_run(report, folder, "b") == 2
+    for run in (1, 2):
+        assert logweir.findings(spark, folder, run).count() == report.rows().count()
+
+
+def test_positions_follow_the_order_of_each_list(spark):
+    """Also of a list that is spread over many ranges, with ties in its first key."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        many = [{"ip": f"1.0.{i // 200}.{i % 200}", "status": 401, "timestamp": T.replace(minute=i % 60)} for i in range(400)]
+        report = logweir.Report(entries(spark, many * 10 + many[:70]), top_n=30)
+        found = report.rows().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by_section = {}
+    for r in sorted(found, key=lambda r: r.position):
+        by_section.setdefault(r.section, []).append(json.loads(r.item))
+    assert len(by_section["brute_force"]) == 400
+    for name, items in by_section.items():
+        assert sorted(r.position for r in found if r.section == name) == list(range(len(items)))
+        section = report.section(name)
+        assert items == [json.loads(x.j) for x in section.rows.orderBy(*section.order).select(F.to_json(F.struct("*")).alias("j")).collect()]
+
+
+def test_pages_are_cut(spark):
+    df = entries(spark, [{"path": f"/{i}", "ip": "1.1.1.1"} for i in range(40)])
+    report = logweir.Report(df, top_n=30)
+    assert [report.page("top_paths").count(), report.page("top_paths", short=True).count()] == [15, 10]
+    assert report.page("top_paths", 3).count() == 3 and report.page("top_ips").count() == 1
 
 
 def test_runs_written_before_a_column_was_added(spark, tmp_path):
