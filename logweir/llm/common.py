@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns of ``documents``, in order.
@@ -65,6 +65,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_counted(df: DataFrame, name: str, *counts: Column) -> tuple[DataFrame, list[int]]:
+    """As ``stored``, with the rows (or each of ``counts``) counted in the same job."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    wanted = counts or (F.lit(True),)
+    columns = [F.count(F.when(c, 1)).alias(f"n{k}") for k, c in enumerate(wanted)]
+    table = stored(df.observe(seen, *columns), name)
+    return table, [seen.get[f"n{k}"] for k in range(len(wanted))]
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that the rows do not have, whatever its case."""
     taken = {c.lower() for c in df.columns}

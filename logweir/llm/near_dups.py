@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm.common import free_name, stored
+from logweir.llm.common import free_name, stored, stored_counted
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -266,7 +266,7 @@ def _key_column(text):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, idf, least: float) -> DataFrame:
-    """The pairs (a, b) of keys whose sets are similar enough."""
+    """The links (a, b) of classes from pairs of keys (x, y) of classes (a, b) whose sets are similar enough."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,8 +278,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, idf, least: float) -> DataFrame
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
     of = lambda side: sets.select(F.col("key").alias(side), F.col("hashes").alias(f"h{side}"), F.col("counts").alias(f"c{side}"))
-    joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ha", "ca", "hb", "cb")
-    return joined.mapInArrow(compared, "a binary, b binary")
+    joined = pairs.join(of("x"), "x").join(of("y"), "y").select("a", "b", "hx", "cx", "hy", "cy")
+    return joined.mapInArrow(compared, "a binary, b binary").distinct()
+
+
+def _ordered_pair(x, y, of_x, of_y) -> list:
+    """The columns x, y, a, b of a pair of keys and their classes, the smaller key first."""
+    first = x < y
+    either = lambda p, q, name: F.when(first, p).otherwise(q).alias(name)
+    return [either(x, y, "x"), either(y, x, "y"), either(of_x, of_y, "a"), either(of_y, of_x, "b")]
 
 
 def _middle(degree: str, key: str):
@@ -305,9 +312,9 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _paired(small: DataFrame) -> DataFrame:
-    """Pairs (a, b) of keys of different classes that share a bucket."""
-    of = lambda side: small.select("band", F.col("key").alias(side), F.col("class").alias(f"c{side}"))
-    return of("a").join(of("b"), "band").where("a < b and ca <> cb").select("a", "b").distinct()
+    """Pairs (x, y) of keys of different classes (a, b) that share a bucket."""
+    of = lambda side, c: small.select("band", F.col("key").alias(side), F.col("class").alias(c))
+    return of("x", "a").join(of("y", "b"), "band").where("x < y and a <> b").select("x", "y", "a", "b").distinct()
 
 
 def _blocked(large: DataFrame, size: int) -> DataFrame:
@@ -415,21 +422,13 @@ def components(links: DataFrame) -> DataFrame:
             "key", F.least("class", "near").alias("class"), F.col("class").alias("before")
         )
         roots = labels.select(F.col("key").alias("class"), F.col("class").alias("root"))
-        lower = stored(
-            lower.join(roots, "class").select("key", F.least("class", "root").alias("class"), "before"), "labels"
-        )
+        lower = lower.join(roots, "class").select("key", F.least("class", "root").alias("class"), "before")
+        lower, [changed] = stored_counted(lower, "labels", F.col("class") != F.col("before"))
         labels = lower.select("key", "class")
-        if not lower.where(F.col("class") != F.col("before")).limit(1).count():
+        if not changed:
             return labels
 
 
-def _class_links(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The links (a, b) of different classes that pairs of keys make."""
-    of = lambda side: labels.select(F.col("key").alias(side), F.col("class").alias(f"c{side}"))
-    found = pairs.join(of("a"), "a").join(of("b"), "b").where("ca <> cb")
-    return found.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-
-
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (key, class) after the links of classes; only the classes that are joined change."""
     joined = components(links).select(F.col("key").alias("class"), F.col("class").alias("new"))
@@ -466,33 +465,31 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         if round_:
             drawn_by = F.struct(F.xxhash64("key", "band", F.lit(round_)).alias("o"), F.col("key"))
             one = labelled.groupBy("band", "class").agg(F.min(drawn_by).alias("m"))
-            drawn = [F.min(F.struct(F.xxhash64("m.key", "band", F.lit(-k)).alias("o"), F.col("m.key"))) for k in range(HUBS)]
+            order = lambda k: F.struct(F.xxhash64("m.key", "band", F.lit(-k)).alias("o"), F.col("m.key"), F.col("class"))
+            drawn = [F.min(order(k)) for k in range(HUBS)]
         else:
             one = labelled.groupBy("band", "class").agg(_middle("degree", "key").alias("m"))
-            drawn = [F.max("m")]
+            drawn = [F.max(F.struct("m.degree", "m.key", "class"))]
         hubs = one.groupBy("band").agg(F.array(*drawn).alias("hubs"), F.count("*").alias("n")).where("n > 1")
-        pairs = (
-            one.join(hubs, "band")
-            .select(F.col("m.key").alias("x"), F.explode(F.transform("hubs", lambda h: h["key"])).alias("y"))
-            .where("x <> y")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            .distinct()
-        )
-        links = stored(_class_links(_verified(pairs, sets, idf, least), labels), "links")
-        if not links.limit(1).count():
+        met = one.join(hubs, "band").select(F.col("m.key").alias("key"), "class", F.explode("hubs").alias("hub"))
+        met = met.where(F.col("class") != F.col("hub.class"))
+        pairs = met.select(*_ordered_pair(F.col("key"), F.col("hub.key"), F.col("class"), F.col("hub.class"))).distinct()
+        links, [n] = stored_counted(_verified(pairs, sets, idf, least), "links")
+        if not n:
             # This only ends what saves comparisons; no pair is excluded by it.
             break
         labels = _relabelled(labels, links)
     # Whatever the rounds have met, all pairs of a bucket are in one class or compared from here on.
-    open_ = stored(_open(members, labels), "open")
-    links = _class_links(_verified(_paired(open_.where(F.col("n") <= PAIRED)), sets, idf, least), labels)
+    open_, [n_large] = stored_counted(_open(members, labels), "open", F.col("n") > PAIRED)
+    links = _verified(_paired(open_.where(F.col("n") <= PAIRED)), sets, idf, least)
     large = open_.where(F.col("n") > PAIRED)
-    if large.limit(1).count():
+    if n_large:
         bands = distinct.select("key", "bands").join(large.select("key").distinct(), "key")
         links = links.unionByName(_group_linked(_blocked(large, BLOCK), sets.join(bands, "key"), idf, least))
-    links = stored(links.distinct(), "links")
-    if links.limit(1).count():
+    links, [n] = stored_counted(links.distinct(), "links")
+    if n:
         labels = _relabelled(labels, links)
+    idf.unpersist()
 
     joined = rows.select("doc_id", "key").join(labels.select("key", F.col("class").alias("_class")), "key", "left")
     joined = joined.select("doc_id", "key", F.coalesce("_class", "key").alias("class_key"))
