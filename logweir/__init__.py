@@ -6,7 +6,7 @@ functions from that table to DataFrames.
 
 from logweir.plans.history import append_run, findings, latest_runs, run_result
 from logweir.plans.report import Report
-from logweir.plans.store import read_entries, read_rejects, write_entries, write_tagged
+from logweir.plans.store import compact, drop_replaced, read_entries, read_rejects, write_entries, write_tagged
 from logweir.schema import ENTRY_SCHEMA
 from logweir.sources.registry import (
     detect_format,
@@ -22,7 +22,9 @@ __all__ = [
     "ENTRY_SCHEMA",
     "Report",
     "append_run",
+    "compact",
     "detect_format",
+    "drop_replaced",
     "findings",
     "formats",
     "ingest",

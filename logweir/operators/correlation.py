@@ -22,10 +22,10 @@ WINDOW_MINUTES = 10
 _MINUTE = 60_000_000
 
 
-def _instants(entries: DataFrame) -> DataFrame:
-    """Events per IP and instant. An entry on both sides counts on both, at no gap."""
+def instants(entries: DataFrame) -> DataFrame:
+    """Events per IP and instant. An entry on both sides counts on both."""
     events = entries.where(P.has("ip") & P.has_time() & (P.ssh_failure() | P.http_error()))
-    counted = (
+    return (
         events.select(
             "ip",
             wall_micros(F.col("timestamp")).alias("at"),
@@ -35,6 +35,10 @@ def _instants(entries: DataFrame) -> DataFrame:
         .groupBy("ip", "at")
         .agg(F.sum("ssh").alias("ssh_count"), F.sum("http").alias("http_count"))
     )
+
+
+def _marked(counted: DataFrame) -> DataFrame:
+    """Instants as pieces of time; one with both sides has no gap."""
     ssh_at = F.when(F.col("ssh_count") > 0, F.col("at"))
     http_at = F.when(F.col("http_count") > 0, F.col("at"))
     return counted.select(
@@ -47,6 +51,38 @@ def _instants(entries: DataFrame) -> DataFrame:
     )
 
 
+def minute_of(at: str) -> Column:
+    """The start of the minute of an instant."""
+    return F.col(at) - F.pmod(F.col(at), F.lit(_MINUTE))
+
+
+def minutes_of(counted: DataFrame) -> DataFrame:
+    """Instants reduced to one piece per IP and minute."""
+    return _reduce(_marked(counted.withColumn("minute", minute_of("at"))), ["ip", "minute"], "at")
+
+
+def gaps_of(minutes: DataFrame) -> DataFrame:
+    """The closest gaps per IP from one piece per IP and minute."""
+    return (
+        _reduce(minutes, ["ip"], "minute")
+        .where(F.col("gap").isNotNull())
+        .select("ip", "ssh_count", "http_count", "gap")
+    )
+
+
+def merged_minutes(minutes: DataFrame, counted: DataFrame) -> DataFrame:
+    """One piece per IP and minute out of the pieces of several loads.
+
+    Pieces of one minute may interleave, so a minute with several is reduced again from
+    its instants; ``counted`` are those of all loads, of which only shared minutes are needed.
+    """
+    shared = minutes.groupBy("ip", "minute").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    alone = minutes.join(shared, ["ip", "minute"], "left_anti")
+    again = counted.withColumn("minute", minute_of("at")).join(shared, ["ip", "minute"], "left_semi")
+    summed = again.groupBy("ip", "at").agg(F.sum("ssh_count").alias("ssh_count"), F.sum("http_count").alias("http_count"))
+    return alone.unionByName(minutes_of(summed))
+
+
 def _reduce(pieces: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Merge ordered pieces of time into one row per key."""
     before = (
@@ -71,14 +107,7 @@ def _reduce(pieces: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def closest_gaps(entries: DataFrame) -> DataFrame:
     """Per IP active on both sides: events per side and the smallest gap in microseconds."""
-    minute = F.col("at") - F.pmod(F.col("at"), F.lit(_MINUTE))
-    instants = _instants(entries).withColumn("minute", minute)
-    minutes = _reduce(instants, ["ip", "minute"], "at")
-    return (
-        _reduce(minutes, ["ip"], "minute")
-        .where(F.col("gap").isNotNull())
-        .select("ip", "ssh_count", "http_count", "gap")
-    )
+    return gaps_of(minutes_of(instants(entries)))
 
 
 def correlations(

@@ -94,3 +94,8 @@ def regroup(facts: DataFrame, *keys: str) -> DataFrame:
         F.min("first_time").alias("first_time"),
         F.max("last_time").alias("last_time"),
     )
+
+
+def merged_facts(rows: DataFrame) -> DataFrame:
+    """Facts of several parts of the entries as those of all of them."""
+    return regroup(rows, "facts", *_KEYS)

@@ -1,12 +1,14 @@
 """JSON inputs: browser console exports, HTTP archives, Windows events as JSON.
 
-A JSON text that spans lines cannot be split, so it is read whole by one task.
-Newline-delimited JSON is read by line.
+Newline-delimited JSON is read by line. A file that holds an array is read in pieces that
+end at a closing brace, by as many tasks as it has splits: each split says how many quotes
+and brackets it has, sums over the splits of a file give the state at the start
+of each, and so every piece knows whether it ends an element. Archives are read whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from logweir.functions.levels import (
@@ -15,6 +17,7 @@ from logweir.functions.levels import (
     with_windows_event,
 )
 from logweir.functions.text import (
+    BLANKS,
     header_value,
     safe_int,
     strip,
@@ -24,7 +27,7 @@ from logweir.functions.text import (
 )
 from logweir.functions.times import iso_time, parse_time
 from logweir.schema import ORDER_COLUMNS, to_entries
-from logweir.sources.lines import Paths, scan_documents, scan_lines
+from logweir.sources.lines import Paths, scan_documents, scan_lines, scan_pieces
 
 _BROWSER_SCHEMA = (
     "level string, message string, timestamp string, time string, url string, "
@@ -46,26 +49,118 @@ def _elements(documents: DataFrame, pieces: Column) -> DataFrame:
     ).select("value", "file", "block_start", F.col("at").cast("bigint").alias("mid"))
 
 
-def first_characters(spark: SparkSession, paths: Paths, files: Column | None) -> dict[str, str]:
-    """The first character of each file that is not blank, by path.
+def file_kinds(spark: SparkSession, paths: Paths, files: Column | None = None) -> DataFrame:
+    """(file, kind): the first character of each file that is not blank, one row per file."""
+    first = F.min_by(F.substring(strip(F.col("value")), 1, 1), F.struct("block_start", "mid"))
+    return scan_lines(spark, paths, files).groupBy("file").agg(first.alias("kind"))
 
-    The files are read for it once. One row per file comes to the driver, which
-    lists the files anyway.
+
+def of_kind(rows: DataFrame, kinds: DataFrame, *marks: str, others: bool = False) -> DataFrame:
+    """The rows of files that begin with one of the marks, or with ``others`` with none of them."""
+    wanted = F.col("kind").isin(list(marks))
+    return rows.join(kinds.where(~wanted if others else wanted), "file", "left_semi")
+
+
+_OPEN, _SHUT = "[{", "]}"
+
+
+def _depth_change(outside: Column) -> Column:
+    """Brackets that open less brackets that close, in text without strings."""
+    return F.length(F.translate(outside, _SHUT, "")) - F.length(F.translate(outside, _OPEN, ""))
+
+
+def _measured_pieces(pieces: DataFrame) -> DataFrame:
+    """Pieces with ``odd`` (quotes, modulo 2) and their change of depth.
+
+    ``down`` is the change if the split starts outside of a string, ``down_in`` if it starts in one; the
+    brace behind the piece counts unless it is in a string.
+    """
+    plain = F.regexp_replace("value", r"(?s)\\.", "")
+    rows = pieces.withColumn("plain", plain)
+    quotes = F.length("plain") - F.length(F.replace(F.col("plain"), F.lit('"')))
+    strings = r'"[^"]*(?:"|\z)'
+    starts_out = F.regexp_replace("plain", strings, "")
+    starts_in = F.regexp_replace(F.concat(F.lit('"'), F.col("plain")), strings, "")
+    rows = rows.withColumn("odd", quotes % 2)
+    rows = rows.withColumn("out", _depth_change(starts_out) - F.when(F.col("odd") == 0, 1).otherwise(0))
+    rows = rows.withColumn("in", _depth_change(starts_in) - F.when(F.col("odd") == 1, 1).otherwise(0)).drop("plain")
+    before = _within_split().rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2)
+    return (
+        rows.withColumn("down", F.when(F.col("inside") == 0, F.col("out")).otherwise(F.col("in")))
+        .withColumn("down_in", F.when(F.col("inside") == 0, F.col("in")).otherwise(F.col("out")))
+        .drop("out", "in")
+    )
+
+
+def _within_split() -> WindowSpec:
+    return Window.partitionBy("file", "block_start").orderBy("mid")
+
+
+def _earlier_splits() -> WindowSpec:
+    """The splits of a file before one; a file has few."""
+    return Window.partitionBy("file").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _placed_pieces(pieces: DataFrame) -> DataFrame:
+    """Pieces with ``end`` (whether an element ends with them) and ``element``, its number in the file."""
+    rows = _measured_pieces(pieces)
+    splits = rows.groupBy("file", "block_start").agg(
+        F.sum("odd").alias("odd"), F.sum("down").alias("down"), F.sum("down_in").alias("down_in"), F.max("mid").alias("last_mid")
+    )
+    sums = lambda c: F.coalesce(F.sum(c).over(_earlier_splits()), F.lit(0))
+    splits = splits.withColumn("starts_in", sums("odd") % 2)
+    splits = splits.withColumn("down", F.when(F.col("starts_in") == 0, F.col("down")).otherwise(F.col("down_in")))
+    splits = splits.withColumn("depth", sums("down"))
+    following = F.lead("block_start").over(Window.partitionBy("file").orderBy("block_start"))
+    # What is behind the last brace of a file is no element.
+    splits = splits.withColumn("last_mid", F.when(following.isNull(), F.col("last_mid")))
+    rows = rows.join(splits.select("file", "block_start", "starts_in", "depth", "last_mid"), ["file", "block_start"])
+    down = F.when(F.col("starts_in") == 0, F.col("down")).otherwise(F.col("down_in"))
+    rows = rows.withColumn("down", down)
+    after = F.col("depth") + F.sum("down").over(_within_split())
+    outside = (F.col("starts_in") + F.col("inside") + F.col("odd")) % 2 == 0
+    last = F.coalesce(F.col("mid") == F.col("last_mid"), F.lit(False))
+    rows = rows.withColumn("last", last).withColumn("end", (outside & (after <= 1) & ~last).cast("int"))
+    before = _within_split().rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("element", F.coalesce(F.sum("end").over(before), F.lit(0)))
+    rows = rows.select("file", "block_start", "mid", "value", "last", "end", "element")
+    ends = rows.groupBy("file", "block_start").agg(F.sum("end").alias("ends"))
+    ends = ends.select("file", "block_start", F.coalesce(F.sum("ends").over(_earlier_splits()), F.lit(0)).alias("base"))
+    joined = rows.join(ends, ["file", "block_start"])
+    return joined.withColumn("element", F.col("base") + F.col("element")).drop("base")
+
+
+def array_elements(pieces: DataFrame) -> DataFrame:
+    """The objects in JSON arrays, and the text between them, as rows.
+
+    ``pieces`` end at closing braces (``scan_pieces``). An element is put together from its pieces,
+    also across splits. What stands before an element and is no comma, bracket or blank
+    is a row of its own, and so is what is left at the end of a file, such as an object that was cut off.
     """
-    lines = scan_lines(spark, paths, files).where(F.col("block_start") == 0)
-    first = F.min_by(F.substring(strip(F.col("value")), 1, 1), "mid")
-    return {r["file"]: r["first"] for r in lines.groupBy("file").agg(first.alias("first")).collect()}
+    piece = F.struct("block_start", "mid", F.concat("value", F.when(F.col("last"), "").otherwise("}")).alias("text"))
+    gathered = _placed_pieces(pieces).groupBy("file", "element").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["text"]), "").alias("text"),
+        F.max("end").alias("closed"),
+        F.min("block_start").alias("block_start"),
+        F.min_by("mid", F.struct("block_start", "mid")).alias("mid"),
+    )
+    gathered = with_captures(
+        gathered,
+        "object",
+        F.when(F.col("closed") == 1, F.regexp_extract("text", r"(?s)\{.*", 0)).otherwise(""),
+    )
+    before = F.substring(F.col("text"), F.lit(1), F.length("text") - F.length("object"))
+    stray = F.btrim(before, F.lit(BLANKS + "[],"))
+    found = F.filter(F.array(stray, F.col("object")), lambda x: x != "")
+    return gathered.select(F.posexplode(found).alias("at", "value"), *ORDER_COLUMNS).select(
+        "value", "file", "block_start", (F.col("mid") * 2 + F.col("at")).alias("mid")
+    )
 
 
-def by_layout(
-    spark: SparkSession, paths: Paths, files: Column | None, *marks: str
-) -> list[Column]:
-    """Filters on files: those that begin with each mark, and all others."""
-    chosen = F.lit(True) if files is None else files
-    first = first_characters(spark, paths, files)
-    path = F.col("_metadata.file_path")
-    filters = [chosen & path.isin([f for f, c in first.items() if c == mark]) for mark in marks]
-    return [*filters, chosen & ~path.isin([f for f, c in first.items() if c in marks])]
+def read_arrays(spark: SparkSession, paths: Paths, files: Column | None, kinds: DataFrame) -> DataFrame:
+    """The elements of the files that begin with a bracket."""
+    return array_elements(of_kind(scan_pieces(spark, paths, "}", files), kinds, "["))
 
 
 def json_elements(documents: DataFrame) -> DataFrame:
@@ -111,7 +206,7 @@ def read_browser(
     """Console exports: ``lines`` (one object each), ``document`` (array or lines) or ``auto``.
 
     ``auto`` looks at the first character of each file: one that opens an array is
-    read whole by one task, whatever its size, any other by line.
+    read by elements, and so split, any other by line. This is part of the job.
     """
     if layout == "lines":
         return browser(scan_lines(spark, paths, files))
@@ -119,9 +214,9 @@ def read_browser(
         return browser(json_elements_or_lines(scan_documents(spark, paths, files)))
     if layout != "auto":
         raise ValueError(f"Unknown layout '{layout}'. Available: auto, document, lines")
-    arrays, others = by_layout(spark, paths, files, "[")
-    whole = json_elements_or_lines(scan_documents(spark, paths, arrays))
-    return browser(whole).unionByName(browser(scan_lines(spark, paths, others)))
+    kinds = file_kinds(spark, paths, files)
+    lines = of_kind(scan_lines(spark, paths, files), kinds, "[", others=True)
+    return browser(read_arrays(spark, paths, files, kinds).unionByName(lines))
 
 
 def har(documents: DataFrame) -> DataFrame:

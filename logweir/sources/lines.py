@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,11 @@ def path_list(paths: Paths) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
+def literal_path(path: str) -> str:
+    """The path of one file, with the characters that would make it a pattern escaped."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def _placed(text: DataFrame) -> DataFrame:
     """Text with its file and the start of its split."""
     return text.select(
@@ -45,7 +51,7 @@ def _scan(
     text = spark.read.text(path_list(paths), **options)
     if files is not None:
         text = text.where(files)
-    return not_blank(numbered(_placed(text)))
+    return numbered(_placed(text))
 
 
 def scan_lines(
@@ -55,12 +61,17 @@ def scan_lines(
 
     ``files`` filters on ``_metadata`` only, so files it excludes are never opened.
     """
-    return _scan(spark, paths, files, options)
+    return not_blank(_scan(spark, paths, files, options))
+
+
+def scan_pieces(spark: SparkSession, paths: Paths, end: str, files: Column | None = None) -> DataFrame:
+    """Text files cut at each ``end``, which is left out; blank pieces are kept."""
+    return _scan(spark, paths, files, {"lineSep": end})
 
 
 def scan_documents(spark: SparkSession, paths: Paths, files: Column | None = None) -> DataFrame:
     """Whole files, one row each: a file has to fit the task that reads it."""
-    return _scan(spark, paths, files, {"wholetext": True})
+    return not_blank(_scan(spark, paths, files, {"wholetext": True}))
 
 
 def stream_lines(spark: SparkSession, directory: str, **options: str) -> DataFrame:

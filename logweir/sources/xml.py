@@ -10,13 +10,14 @@ from logweir.functions.text import last_wins_map, present, safe_int, strip, with
 from logweir.functions.times import iso_time
 from logweir.schema import ORDER_COLUMNS, to_entries
 from logweir.sources.documents import (
-    by_layout,
+    file_kinds,
     json_elements,
-    json_elements_or_lines,
+    of_kind,
+    read_arrays,
     windows_json,
     windows_message,
 )
-from logweir.sources.lines import Paths, scan_documents, scan_lines
+from logweir.sources.lines import Paths, scan_documents, scan_lines, scan_pieces
 
 _EVENT_SCHEMA = (
     "System struct<EventID: string, Level: string, "
@@ -26,6 +27,8 @@ _EVENT_SCHEMA = (
 
 _START = r"(?s)<Event[\s>].*"
 _END = "</Event>"
+#: What may stand around events: the declaration, comments, the wrapper's tags.
+_AROUND = r"(?s)<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>|</?Events\b[^>]*>"
 
 # Event fields that may name the remote host, and an empty one.
 _HOST_FIELDS = ["IpAddress", "WorkstationName"]
@@ -35,7 +38,7 @@ _NO_HOST = "-"
 def windows_lines(lines: DataFrame) -> DataFrame:
     """One ``<Event>`` per line, with or without the namespace of its schema."""
     df = with_captures(lines, "event", F.from_xml("value", _EVENT_SCHEMA))
-    df = df.select("event.*", *ORDER_COLUMNS)
+    df = df.select("event.*", "value", *ORDER_COLUMNS)
     system = F.col("System")
     data = F.transform(
         F.coalesce(F.col("EventData.Data"), F.array()),
@@ -67,7 +70,8 @@ def windows_lines(lines: DataFrame) -> DataFrame:
     df = df.withColumn("pairs", F.concat(fixed, F.col("data")))
     fields = {
         "source": F.lit("windows_event"),
-        "raw": F.lit(""),
+        # An entry has no line; what is no event is kept as it stands.
+        "raw": F.when(system.isNotNull(), "").otherwise(F.col("value")),
         "timestamp": iso_time(when),
         "level": F.coalesce(F.col("known_level"), named_level(WINDOWS_LEVELS, level)),
         "ip": host,
@@ -78,15 +82,20 @@ def windows_lines(lines: DataFrame) -> DataFrame:
 
 
 def scan_events(spark: SparkSession, paths: Paths, files: Column | None = None) -> DataFrame:
-    """``<Event>`` elements, wherever they stand in XML files, as texts.
+    """``<Event>`` elements, wherever they stand in XML files, and other text, as rows.
 
-    Records end at ``</Event>``, so a large file is split like one of lines; what
-    stands between events (headers, the wrapper) is left out.
+    Records end at ``</Event>``, so a large file is split like one of lines. What
+    stands before an event, or in a file without any, is a row of its own
+    unless it is blank, a declaration, a comment or the wrapper of the events.
     """
-    records = scan_lines(spark, paths, files, lineSep=_END)
-    event = F.regexp_extract("value", _START, 0)
-    return with_captures(records, "event", event).where(F.col("event") != "").select(
-        F.concat("event", F.lit(_END)).alias("value"), *ORDER_COLUMNS
+    records = scan_pieces(spark, paths, _END, files)
+    found = with_captures(records, "event", F.regexp_extract("value", _START, 0))
+    before = F.substring(F.col("value"), F.lit(1), F.length("value") - F.length("event"))
+    stray = strip(F.regexp_replace(before, _AROUND, ""))
+    event = F.when(F.col("event") != "", F.concat("event", F.lit(_END))).otherwise("")
+    rows = F.filter(F.array(stray, event), lambda x: x != "")
+    return found.select(F.posexplode(rows).alias("at", "value"), *ORDER_COLUMNS).select(
+        "value", "file", "block_start", (F.col("mid") * 2 + F.col("at")).alias("mid")
     )
 
 
@@ -95,9 +104,9 @@ def read_windows(
 ) -> DataFrame:
     """Windows events: ``xml`` (files or lines of events), ``json`` (arrays) or ``any``.
 
-    ``any`` looks at the first character of each file: XML is read by event and so
-    split, a JSON array whole, anything else by line, as JSON objects or events;
-    lines that are neither are rejects. Name the layout where it is known.
+    ``any`` looks at the first character of each file, as part of the job: XML is read by event and JSON
+    arrays by element, and so both are split, anything else by line, as JSON objects (an addition
+    of ours: exports are arrays) or events. What is neither is a reject. Name the layout where it is known.
     """
     if layout == "xml":
         return windows_lines(scan_events(spark, paths, files))
@@ -105,12 +114,9 @@ def read_windows(
         return windows_json(json_elements(scan_documents(spark, paths, files)))
     if layout != "any":
         raise ValueError(f"Unknown layout '{layout}'. Available: any, json, xml")
-    events, arrays, objects, others = by_layout(spark, paths, files, "<", "[", "{")
-    found = windows_lines(scan_events(spark, paths, events))
-    for part in (
-        windows_json(json_elements_or_lines(scan_documents(spark, paths, arrays))),
-        windows_json(scan_lines(spark, paths, objects)),
-        windows_lines(scan_lines(spark, paths, others)),
-    ):
-        found = found.unionByName(part)
-    return found
+    kinds = file_kinds(spark, paths, files)
+    lines = scan_lines(spark, paths, files)
+    objects = read_arrays(spark, paths, files, kinds).unionByName(of_kind(lines, kinds, "{"))
+    events = of_kind(scan_events(spark, paths, files), kinds, "<")
+    others = of_kind(lines, kinds, "<", "[", "{", others=True)
+    return windows_lines(events.unionByName(others)).unionByName(windows_json(objects))

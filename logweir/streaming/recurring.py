@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweir.plans.history import append_run
-from logweir.plans.report import Report
-from logweir.plans.store import read_entries
+from logweir.plans.state import report as report_of
 from logweir.streaming.live import start_ingest
 
 
@@ -42,17 +41,24 @@ def recurring_run(
     history: str,
     config: Mapping | None = None,
     format_options: Mapping | None = None,
+    source_options: Mapping[str, str] | None = None,
+    state: str | None = None,
     **report_options,
 ) -> tuple[int | None, DataFrame]:
     """Ingest new files, report on the whole table, append the run.
 
-    Returns the run number and the alert rows (one or none). Without any entries
-    there is nothing to report: no run is recorded, and its number is None.
+    ``fmt`` is any format or ``auto``; ``source_options`` bound a batch of files. What the report needs is kept
+    for each load in ``state`` (beside the table unless it is given), so a run reads the entries that
+    are new and the aggregates of the others. Returns the run number and the alert
+    rows (one or none). Without any entries there is nothing to report: no run is
+    recorded, and its number is None.
     """
+    kept = state or f"{table.rstrip('/')}-state"
     start_ingest(
-        spark, directory, fmt, table, checkpoint, config, format_options, availableNow=True
+        spark, directory, fmt, table, checkpoint, kept, config=config, format_options=format_options,
+        source_options=source_options, availableNow=True,
     ).awaitTermination()
-    report = Report(read_entries(spark, table), **report_options)
+    report = report_of(spark, kept, **report_options)
     found = report.meta.first()["total"] > 0
     run = append_run(report, history, directory) if found else None
     return run, run_alert(run, report.meta, report.anomalies, report.brute_force)

@@ -1,6 +1,7 @@
 """Files: order, encodings, detection, whole documents, rejects."""
 
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -139,7 +140,61 @@ def test_windows_files_of_any_layout(spark, tmp_path):
     (tmp_path / "text.xml").write_text("no event\n<Event><System><EventID>1102</EventID></System></Event>\n")
     tagged = read_tagged(spark, str(tmp_path))
     assert entries_of(tagged).count() == 6
-    assert sorted(r.raw for r in tagged.where("not parsed").select("raw").collect()) == ["", "none"]
+    assert sorted(r.raw for r in tagged.where("not parsed").select("raw").collect()) == ["no event", "none"]
+
+
+def test_arrays_are_split(spark, tmp_path):
+    """Whatever braces, quotes and brackets stand in strings, and wherever a split begins."""
+    pick = random.Random(4)
+    odd = ['}', '{', '[', ']', '"', '\\', '}]', '\\"}', 'é\u2028', '},{"message":"x"}', '[{', "plain words", ""]
+    items = [{"message": f"{i}:" + "".join(pick.choices(odd, k=pick.randrange(6))), "stack": pick.choice([None, "a}\"b", {"d": [1, {"e": "}"}]}])}
+             for i in range(300)]
+    (tmp_path / "pretty.json").write_text(json.dumps(items, indent=2))
+    (tmp_path / "tight.json").write_text(json.dumps(items, separators=(",", ":"), ensure_ascii=False))
+    (tmp_path / "empty.json").write_text(" [ ]\n")
+    (tmp_path / "cut.json").write_text(json.dumps(items[:40])[:-9])
+    (tmp_path / "stray.json").write_text('[{"message": "a"}, 5, oops\n {"message": "b"} tail ]')
+    (tmp_path / "two.json").write_text('[{"message": "c"}]\n[{"message": "d"},\n{"message": "e"}]\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        tagged = documents.read_browser(spark, str(tmp_path)).cache()
+        assert documents.scan_pieces(spark, str(tmp_path), "}").rdd.getNumPartitions() > 30
+        got = {}
+        for r in tagged.where("parsed").orderBy("file", "block_start", "mid").collect():
+            got.setdefault(r.file.rsplit("/")[-1], []).append((r.message, r.extra["stack"]))
+        bad = {}
+        for r in tagged.where("not parsed").orderBy("file", "block_start", "mid").collect():
+            bad.setdefault(r.file.rsplit("/")[-1], []).append(r.raw)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    shown = [(x["message"], json.dumps(x["stack"], separators=(",", ":")) if isinstance(x["stack"], dict) else x["stack"]) for x in items]
+    assert got["pretty.json"] == [(m, k) if not (k or "").startswith("{") else (m, k) for m, k in shown]
+    assert got["tight.json"] == shown and got["cut.json"] == shown[:39]
+    assert got["stray.json"] == [("a", None), ("b", None)] and got["two.json"] == [("c", None), ("d", None), ("e", None)]
+    assert bad.keys() == {"cut.json", "stray.json"} and bad["stray.json"] == ["5, oops", "tail"]
+    assert len(bad["cut.json"]) == 1 and bad["cut.json"][0].startswith('{"message": "39:')
+
+
+def test_no_job_runs_while_a_plan_is_built(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"message": "a"}]')
+    (tmp_path / "b.xml").write_text(EVENTS)
+    spark.sparkContext.setJobGroup("plan", "plan")
+    tagged = read_tagged(spark, str(tmp_path))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan")
+    assert entries_of(tagged).count() == 3
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_text_around_events_is_rejected(spark, tmp_path):
+    event = "<Event><System><EventID>{}</EventID></System></Event>"
+    (tmp_path / "page.xml").write_text("<html>\n<body>no event here</body>\n</html>\n")
+    (tmp_path / "between.xml").write_text(
+        '<?xml version="1.0"?><!-- c --><Events a="b">' + event.format(4624) + " lost words " + event.format(4625) + "</Events>\n")
+    (tmp_path / "broken.xml").write_text("<Events>" + "<Event><System><EventID>1</System></Event>" + event.format(4740) + "</Events> end")
+    tagged = read_tagged(spark, str(tmp_path))
+    assert entries_of(tagged).count() == 3
+    bad = sorted(r.raw for r in logweir.rejects(spark, str(tmp_path)).collect())
+    assert bad == ["<Event><System><EventID>1</System></Event>", "<html>\n<body>no event here</body>\n</html>", "end", "lost words"]
 
 
 def test_har(spark, tmp_path):

@@ -7,7 +7,7 @@ import logweir
 from logweir.functions.predicates import is_error
 from logweir.sources.lines import lines_of
 from logweir.sources.registry import entries_of, line_format, read_tagged
-from logweir.streaming.live import alerts, display, live_tagged, start_alerts, start_ingest
+from logweir.streaming.live import alert_payload, alerts, display, live_tagged, start_alert_files, start_alerts, start_ingest
 from logweir.streaming.recurring import recurring_run
 from tests.helpers import rows
 
@@ -101,3 +101,104 @@ def test_recurring_run(spark, tmp_path):
     run, alert = recurring_run(spark, str(landing), "nginx", **where)
     assert run == 2 and rows(alert) == [], "nothing to alert about"
     assert [r["total"] for r in rows(logweir.latest_runs(spark, where["history"]))] == [100, 9]
+
+
+MIXED = {
+    "nginx.log": lines(1, 12) + "junk\n",
+    "auth.log": "Oct 10 13:01:05 web sshd[7]: Failed password for root from 10.0.0.1 port 22 ssh2\n",
+    "dump.json": json.dumps([{"level": "error", "message": "m", "timestamp": "2024-10-10T13:00:00"}], indent=1),
+    "page.har": json.dumps({"log": {"entries": [{"startedDateTime": "2024-10-10T13:00:00.1Z", "time": 5, "request": {
+        "method": "GET", "url": "http://x/a", "headers": []}, "response": {"status": 503, "bodySize": 1, "content": {}}}]}}, indent=1),
+    "Security.xml": "<Events>\n<Event><System><EventID>4625</EventID><Level>2</Level></System>\n</Event>\n</Events>",
+    "odd [1]{a}*.log": lines(3, 2, 500),
+}
+
+
+def test_a_mixed_folder_is_one_stream(spark, tmp_path):
+    """Files of every kind, one at a time or all at once, give the same table as a batch read."""
+    landing = tmp_path / "landing"
+    for name, text in MIXED.items():
+        land(landing, name, text)
+    options = {"ssh": {"year": 2024}}
+    batch = read_tagged(spark, str(landing), "auto", options=options)
+    plain = lambda df: sorted(str({**r, "extra": sorted(r["extra"].items())}) for r in rows(df.drop("day", "mid", "block_start")))
+    for bound in ("1", "100"):
+        table, state = str(tmp_path / f"t{bound}"), str(tmp_path / f"s{bound}")
+        query = start_ingest(spark, str(landing), "auto", table, state, format_options=options,
+                             source_options={"maxFilesPerTrigger": bound}, availableNow=True)
+        query.awaitTermination()
+        assert plain(logweir.read_entries(spark, table)) == plain(entries_of(batch))
+        assert [r.raw for r in logweir.read_rejects(spark, table).collect()] == ["junk"]
+        loads = spark.read.parquet(table).select("load").distinct().count()
+        assert loads == (len(MIXED) if bound == "1" else 1)
+    out = str(tmp_path / "alerts")
+    start_alert_files(spark, str(landing), "auto", out, str(tmp_path / "sa"), format_options=options).awaitTermination()
+    got = sorted(r.value for r in spark.read.text(out).select("value").collect())
+    assert got == sorted(r.value for r in alert_payload(alerts(entries_of(batch))).collect()) and len(got) == 4
+
+
+def test_a_second_run_reads_no_entry_of_the_first(spark, tmp_path):
+    """Minutes that two landings share are right too, and entries of the first are gone by then."""
+    landing, table, state = tmp_path / "landing", tmp_path / "t", tmp_path / "st"
+    where = dict(table=str(table), checkpoint=str(tmp_path / "c"), history=str(tmp_path / "h"), state=str(state),
+                 format_options={"ssh": {"year": 2024}}, source_options={"maxFilesPerTrigger": "1"})
+    ssh = "Oct 10 13:{m:02d}:{s:02d} web sshd[7]: Failed password for root from 10.0.0.{i} port 22 ssh2\n"
+    web = '10.0.0.{i} - - [10/Oct/2024:13:{m:02d}:{s:02d} +0000] "GET /x HTTP/1.1" 404 5\n'
+    at = [(1, 0, 5), (1, 2, 40), (2, 0, 0), (2, 0, 59), (3, 5, 1), (3, 9, 9)]
+    land(landing, "auth-1.log", "".join(ssh.format(i=i, m=m, s=s) for i, m, s in at) * 3)
+    land(landing, "nginx-1.log", "".join(web.format(i=i, m=m, s=s) for i, m, s in [(1, 2, 58), (3, 0, 0)]))
+    logweir_run = lambda: recurring_run(spark, str(landing), "auto", **where)
+    run, _ = logweir_run()
+    assert run == 1
+    first = logweir.read_entries(spark, str(table)).collect()
+    for file in table.rglob("*.parquet"):
+        file.unlink()
+    land(landing, "auth-2.log", ssh.format(i=2, m=0, s=30) + ssh.format(i=1, m=2, s=57))
+    land(landing, "nginx-2.log", "".join(web.format(i=i, m=m, s=s) for i, m, s in [(2, 0, 31), (3, 5, 3), (9, 1, 1)]) + lines(8, 5))
+    run, alert = logweir_run()
+    assert run == 2
+    second = logweir.read_entries(spark, str(table)).collect()
+    assert len(first) == 20 and len(second) == 10
+    whole = logweir.Report(spark.createDataFrame(first + second, logweir.read_entries(spark, str(table)).schema))
+    kept = {(r.section, r.position): r.item for r in logweir.findings(spark, where["history"], 2).collect()}
+    assert kept == {(r.section, r.position): r.item for r in whole.rows().collect()}
+    assert rows(logweir.run_result(spark, where["history"], 2).drop("id", "target", "log_start")) == rows(whole.document())
+    gaps = {json.loads(v)["ip"]: json.loads(v)["closest_gap_minutes"] for k, v in kept.items() if k[0] == "correlations"}
+    assert gaps == {"10.0.0.1": 0.0, "10.0.0.2": 0.0, "10.0.0.3": 0.0}
+    assert rows(alert)[0]["total"] == 30
+
+
+def test_many_loads_of_a_day_are_compacted(spark, tmp_path):
+    landing, table = tmp_path / "landing", tmp_path / "t"
+    for i in range(12):
+        land(landing, f"{i}.log", lines(i, 4) + ("junk\n" if i % 2 else "") + '1.1.1.1 - - [bad] "GET / HTTP/1.1" 404 5\n')
+    step = lambda: start_ingest(spark, str(landing), "nginx", str(table), str(tmp_path / "s"),
+                                source_options={"maxFilesPerTrigger": "1"}).awaitTermination()
+    step()
+    plain = lambda: sorted(map(str, rows(logweir.read_entries(spark, str(table)))))
+    before, reader = plain(), logweir.read_entries(spark, str(table))
+    rejects_before = sorted(r.raw for r in logweir.read_rejects(spark, str(table)).collect())
+    reader.count()
+    load = logweir.compact(spark, str(table))
+    assert plain() == before and reader.count() == len(before) == 60, "nobody sees both"
+    assert sorted(r.raw for r in logweir.read_rejects(spark, str(table)).collect()) == rejects_before == ["junk"] * 6
+    files = set(f for f in logweir.read_entries(spark, str(table)).inputFiles() if load in f)
+    assert len(files) <= 6 and logweir.compact(spark, str(table)) is None
+    land(landing, "13.log", lines(40, 3))
+    step()
+    assert len(plain()) == 63
+    assert logweir.compact(spark, str(table), ["2000-01-01"]) is None
+    assert logweir.compact(spark, str(table), ["2024-10-10"]) is not None and len(plain()) == 63
+    assert logweir.drop_replaced(spark, str(table)) > 12 and len(plain()) == 63
+    assert len(list(table.rglob("*.parquet"))) <= 14
+
+
+def test_an_unfinished_compaction_is_not_seen(spark, tmp_path):
+    table = str(tmp_path / "t")
+    one = read_tagged(spark, str(tmp_path / "x.log"), "nginx") if land(tmp_path, "x.log", lines(1, 3)) is None else None
+    for name in ("a", "b"):
+        logweir.write_tagged(one, table, load=name)
+    logweir.write_tagged(one, table, load="compacted-cut-off")
+    assert logweir.read_entries(spark, table).count() == 6
+    assert logweir.compact(spark, table) is not None
+    assert logweir.read_entries(spark, table).count() == 6
