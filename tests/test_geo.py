@@ -105,3 +105,29 @@ def test_join_is_by_equality(spark, capsys):
     geo.locate(spark.createDataFrame([("2.0.0.1",)], "ip string"), nets).explain()
     plan = capsys.readouterr().out
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_ranges_of_any_cut(spark):
+    """Ranges that begin and end anywhere, edge to edge, in both families; many in one prefix."""
+    pick = random.Random(11)
+    networks, asked = [], []
+    for bits, low, high in ((32, 0x05090000, 0x0509FFFF), (32, 0x02000000, 0x08FFFFFF), (128, 0x2A001450 << 96, (0x2A001451 << 96) - 1)):
+        cuts = sorted({low, high + 1, *(pick.randrange(low, high) for _ in range(60)), *(low + (k << (bits // 4)) for k in range(1, 9))})
+        cuts = [c for c in cuts if low <= c <= high + 1 and not (bits == 32 and low == 0x02000000 and 0x05000000 < c < 0x06000000)]
+        kind = ipaddress.IPv4Address if bits == 32 else ipaddress.IPv6Address
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if i % 5 and not (bits == 32 and a <= 0x05090000 <= b and low == 0x02000000):
+                networks.append((f"{a:0{bits // 4}x}", f"{b - 1:0{bits // 4}x}", f"n{len(networks)}"))
+            asked += [str(kind(x)) for x in (a, b - 1, pick.randrange(a, b))]
+    table = spark.createDataFrame([(lo, hi, "C", "c", city) for lo, hi, city in networks],
+                                  "lo string, hi string, country string, country_code string, city string")
+    got = sorted((r.ip, r.city) for r in geo.locate(spark.createDataFrame([(a,) for a in set(asked)], "ip string"), table).collect())
+    expected = []
+    for a in set(asked):
+        key = python_key(a)
+        expected += [(a, city) for lo, hi, city in networks if len(lo) == len(key) and lo <= key <= hi and python_public(a)]
+    assert got == sorted(expected) and len(got) > 200
+    blocks = geo._filed(table)
+    assert blocks.groupBy("prefix").count().where("count > 1").count() == 0
+    plan = geo.locate(spark.range(0).select(F.lit("1.1.1.1").alias("ip")), table)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and ">=" not in plan[plan.index("Join"):].split("\n")[0]
