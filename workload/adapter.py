@@ -317,6 +317,74 @@ def custom_lines(df: DataFrame) -> DataFrame:
     return _lines(df, F.when(seq % 7 == 0, other).when(seq % 5 == 0, note).otherwise(request))
 
 
+def odd_nginx_lines(df: DataFrame) -> DataFrame:
+    """Access lines: blank ones before every sixth, and no time in every tenth."""
+    request = _request()
+    timeless = F.regexp_replace(request, r"\A\[[^\]]*\]", "[no time]")
+    line = _text(F.col("ip"), " - - ", F.when(F.col("seq") % 10 == 0, timeless).otherwise(request))
+    shown = F.when(F.col("seq") % 6 == 0, F.array(F.lit("  \t"), F.lit(""), line)).otherwise(F.array(line))
+    lines = df.where(F.col("source") == "nginx").select(F.explode(shown).alias("value"), "seq")
+    return _lines(lines, F.col("value"))
+
+
+def all_ssh_lines(df: DataFrame) -> DataFrame:
+    """The SSH events, and all others as lines of other daemons in the same file."""
+    other = df.where(F.col("source") != "ssh")
+    line = _text(_syslog_head(), " host cron[1]: (root) CMD (", F.col("message"), ")")
+    return ssh_lines(df).unionByName(_lines(other, line))
+
+
+def strayed_xml_documents(df: DataFrame) -> DataFrame:
+    """Documents of events with words lost before every fourth event."""
+    lost = _text("lost words ", F.col("seq"), " ")
+    item = F.when(F.col("seq") % 4 == 0, _text(lost, _event_xml())).otherwise(_event_xml())
+    return _documents(df, item, lambda items: _text("<Events>", F.array_join(items, ""), "</Events>"))
+
+
+def browser_documents(df: DataFrame) -> DataFrame:
+    """Console messages as arrays, spread over lines; braces and quotes stand in their texts."""
+    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'.000Z'")
+    message = _text(F.col("message"), F.when(F.col("k") % 3 == 0, ' }, {"x": [').otherwise(""))
+    record = F.struct(
+        F.lower("level").alias("level"), message.alias("message"), stamp.alias("timestamp"),
+        F.col("path").alias("url"), F.col("seq").alias("line"),
+    )
+    return _documents(df, F.to_json(record), lambda items: _text("[ ", F.array_join(items, ",\n  "), "\n]"))
+
+
+def landed(spark: SparkSession, folder: str, lines: dict[str, DataFrame]) -> None:
+    """Lines written as text and moved into a folder as finished files, named after their format."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(conf)
+    files.mkdirs(path(folder))
+    for name, rows in lines.items():
+        written = f"{folder}-written-{name}"
+        rows.select("value").write.text(written)
+        for status in files.globStatus(path(f"{written}/part-*")):
+            start, end = name.rsplit(".", 1)
+            files.rename(status.getPath(), path(f"{folder}/{start}-{status.getPath().getName()}.{end}"))
+
+
+def dense_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many small networks in one /16 of IPv4 and one /32 of IPv6: two of three numbers have one."""
+    n = (F.col("event_id") % 50_000).alias("n")
+    numbers = table(spark, sf_dir, "events").select(n).distinct().where(F.col("n") % 3 != 0)
+    v4 = _text("9.9.", F.floor(F.col("n") / 256).cast("int"), ".", (F.col("n") % 256).cast("int"), "/32")
+    v6 = _text("2a00:1450:", F.lower(F.hex("n")), "::/48")
+    city = _text("City", F.col("n")).alias("city")
+    each = numbers.select(F.explode(F.array(v4, v6)).alias("network"), city)
+    return each.select("network", F.lit("Country").alias("country"), F.lit("CC").alias("country_code"), "city")
+
+
+def dense_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.col("event_id") % 50_000).cast("int").alias("n")
+    numbers = table(spark, sf_dir, "events").select(n).distinct()
+    v4 = _text("9.9.", F.floor(F.col("n") / 256).cast("int"), ".", F.col("n") % 256)
+    v6 = _text("2a00:1450:", F.lower(F.hex("n")), "::", F.lower(F.hex(F.col("n") % 7 + 1)))
+    return numbers.select(F.explode(F.array(v4, v6)).alias("ip"))
+
+
 def geo_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries whose IPs are partly public, for geolocation."""
     seq = F.col("event_id")

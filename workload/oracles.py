@@ -177,6 +177,37 @@ _SECTION_ROWS = {
     "correlations": _CORRELATION,
     "timeline": _TIMELINE,
 }
+_ONLY = ", chosen AS (SELECT * FROM entries WHERE source IN ({sources}))"
+_RUN = (
+    "SELECT CAST({id} AS BIGINT) AS id, '{target}' AS target, (SELECT min(ts) FROM entries) AS log_start, total, "
+    "errors, warnings, error_rate, (SELECT string_agg(source, ',' ORDER BY source) FROM "
+    f"(SELECT DISTINCT source FROM entries)) AS sources FROM ({_OVERVIEW})"
+)
+_PLACED = {
+    **{name: (_KEYS.get(name, "ip"), "count", f"count DESC, {_KEYS.get(name, 'ip')}") for name in _LISTED},
+    "brute_force": ("ip", "count", "count DESC, ip, type"),
+    "anomalies": (
+        "coalesce(ip, type)", "count",
+        "list_position(['high_volume_ip', 'high_error_rate', 'scanner_detected'], type), count DESC, ip",
+    ),
+    "spike_windows": ('"window"', "total", 'errors DESC, "window"'),
+    "correlations": ("ip", "ssh_event_count", "closest_gap_minutes, ip"),
+    "timeline": ("time", "total", "time"),
+}
+
+
+def _placed(*names: str) -> str:
+    """Rows of report lists with their positions."""
+    parts = []
+    for name in names:
+        key, count, order = _PLACED[name]
+        parts.append(
+            f"SELECT '{name}' AS section, row_number() OVER (ORDER BY {order}) - 1 AS position, "
+            f"CAST({key} AS VARCHAR) AS key, CAST({count} AS BIGINT) AS count FROM ({_SECTION_ROWS[name]})"
+        )
+    return " UNION ALL ".join(parts)
+
+
 _PATH = r"regexp_replace(split_part(url, '?', 1), '^[^/]*//[^/]*', '')"
 
 ORACLES: dict[str, str] = {
@@ -372,37 +403,67 @@ ORACLES: dict[str, str] = {
             for name, sql in _LISTED.items()
         )
     ),
-    "report_rows": _entries(
-        " UNION ALL ".join(
-            f"SELECT '{name}' AS section, count(*) AS count FROM ({sql}) HAVING count(*) > 0"
-            for name, sql in _SECTION_ROWS.items()
-        ),
-        _HOURLY,
-    ),
+    "report_rows": _entries(_placed(*_SECTION_ROWS), _HOURLY),
     "report_pages": _entries(
-        f"SELECT * FROM ({_SPIKES}) ORDER BY errors DESC, \"window\" LIMIT 5", _HOURLY
-    ),
-    "history_latest": _entries(
-        "SELECT CAST(1 AS BIGINT) AS id, 'events' AS target, (SELECT min(ts) FROM entries) AS log_start, total, "
-        "errors, warnings, error_rate, (SELECT string_agg(source, ',' ORDER BY source) FROM "
-        f"(SELECT DISTINCT source FROM entries)) AS sources FROM ({_OVERVIEW})"
-    ),
+        f"SELECT 'spike_windows' AS page, \"window\" AS key FROM (SELECT * FROM ({_SPIKES}) ORDER BY errors DESC, \"window\" LIMIT 5) "
+        f"UNION ALL SELECT 'top_paths', path FROM ({_LISTED['top_paths']})", _HOURLY
+    ),
+    "report_json": _entries(_LISTED["top_paths"]),
+    "history_latest": " UNION ALL ".join(
+        f"SELECT * FROM ({_entries(_RUN.format(id=i, target=target), _ONLY.format(sources=sources)).replace('FROM entries', 'FROM chosen')})"
+        for i, target, sources in (
+            (2, "ssh+nginx", "'ssh', 'nginx'"), (3, "ssh+nginx+apache+fail2ban", "'ssh', 'nginx', 'apache', 'fail2ban'"),
+        )
+    ).replace("SELECT * FROM chosen WHERE", "SELECT * FROM entries WHERE"),
     "run_lookup": _entries(
         f"SELECT CAST(1 AS BIGINT) AS id, 'events' AS target, * FROM ({_TIMELINE})", _HOURLY
     ),
-    "run_findings": _entries(_BRUTE_FORCE),
+    "run_findings": _entries(_placed("brute_force", "anomalies", "spike_windows", "correlations", "timeline"), _HOURLY),
+    "blank_lines": _entries(
+        "SELECT seq, ip, CASE WHEN seq % 10 <> 0 THEN ts END AS timestamp, status FROM entries WHERE source = 'nginx'"
+    ),
+    "timeless": _entries(
+        "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') AS time, count(*) AS total, "
+        "count(*) FILTER (level IN ('ERROR', 'CRITICAL')) AS errors, count(*) FILTER (level = 'WARNING') AS warnings "
+        "FROM entries WHERE source = 'nginx' AND seq % 10 <> 0 GROUP BY 1"
+    ),
+    "ssh_relevance": _entries(
+        "SELECT CAST(source = 'ssh' OR contains(message, 'sshd') AS INT) AS parsed, "
+        "CASE WHEN source = 'ssh' THEN level ELSE 'INFO' END AS level, count(*) AS total FROM entries GROUP BY 1, 2"
+    ),
+    "registered_format": _entries(
+        "SELECT seq, 'numbered' AS source, k AS status, message FROM entries WHERE seq % 9 <> 0"
+    ),
+    "ingest_browser_files": _entries(
+        "SELECT 'browser' AS source, ts AS timestamp, level, path, "
+        "concat(message, CASE WHEN k % 3 = 0 THEN ' }, {\"x\": [' ELSE '' END) AS message, CAST(seq AS VARCHAR) AS line FROM entries"
+    ),
+    "ingest_windows_any": _entries(
+        "SELECT 'windows_event' AS source, ts AS timestamp, coalesce(known_level, CASE WHEN k % 2 = 1 THEN 'INFO' ELSE "
+        "CASE k % 6 WHEN 2 THEN 'ERROR' ELSE 'INFO' END END) AS level, text AS message FROM w",
+        _WINDOWS,
+    ),
+    "rejects_documents": _entries("SELECT concat('lost words ', CAST(seq AS VARCHAR)) AS line FROM entries WHERE seq % 4 = 0"),
+    "geo_dense": (
+        "WITH n AS (SELECT DISTINCT event_id % 50000 AS n FROM events) "
+        "SELECT concat('9.9.', CAST(n // 256 AS VARCHAR), '.', CAST(n % 256 AS VARCHAR)) AS ip, "
+        "concat('City', CAST(n AS VARCHAR)) AS city FROM n WHERE n % 3 <> 0 "
+        "UNION ALL SELECT concat('2a00:1450:', lower(printf('%x', n)), '::', CAST(n % 7 + 1 AS VARCHAR)), "
+        "concat('City', CAST(n AS VARCHAR)) FROM n WHERE n % 3 <> 0"
+    ),
+    "compacted": _entries(
+        "SELECT source, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, level, count(*) AS total FROM entries GROUP BY 1, 2, 3"
+    ),
     "entries_table": _entries(
         "SELECT source, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, level, count(*) AS total FROM entries GROUP BY 1, 2, 3"
     ),
-    "live_ingest": _entries(f"SELECT {_ACCESS} FROM entries WHERE source = 'nginx'"),
+    "live_ingest": _entries(f"SELECT {_ACCESS} FROM entries"),
     "live_alerts": _entries(
-        f"SELECT level, source, message, ip, {_ISO} AS timestamp FROM entries "
-        f"WHERE source = 'nginx' AND {_IS_ERROR}"
+        f"SELECT level, source, message, ip, {_ISO} AS timestamp FROM entries WHERE {_IS_ERROR}"
     ),
     "recurring_run": _entries(
-        f"SELECT CAST(1 AS BIGINT) AS run, (SELECT count(*) FROM ({_ANOMALIES})) AS anomalies, "
+        f"SELECT CAST(2 AS BIGINT) AS run, (SELECT count(*) FROM ({_ANOMALIES})) AS anomalies, "
         f"(SELECT count(*) FROM ({_BRUTE_FORCE})) AS brute_force, errors, total FROM ({_OVERVIEW}) "
-        "WHERE anomalies > 0 OR brute_force > 0".replace("FROM entries", "FROM nginx"),
-        ", nginx AS (SELECT * FROM entries WHERE source = 'nginx')",
+        "WHERE anomalies > 0 OR brute_force > 0"
     ),
 }

@@ -21,13 +21,14 @@ from logweir.operators import (
 from logweir.plans.history import append_run, findings, latest_runs, run_result
 from logweir.plans.report import REPORT_DDL, Report
 from logweir.plans.shared import new_path
-from logweir.plans.store import read_entries, write_entries
-from logweir.schema import ENTRY_COLUMNS
+from logweir.plans.store import compact, read_entries, write_entries, write_tagged
+from logweir.schema import PARSED
 from logweir.sources import documents, web, xml
 from logweir.sources.custom import custom
-from logweir.sources.registry import detect_format, entries_of, line_format, rejects_of
-from logweir.streaming.live import alert_payload, alerts, display as display_rows
-from logweir.streaming.live import live_tagged, start_alerts, start_ingest
+from logweir.sources.lines import lines_of
+from logweir.sources.registry import detect_format, entries_of, formats, line_format, register_format, rejects_of
+from logweir.streaming.live import alerts, display as display_rows
+from logweir.streaming.live import start_alert_files, start_ingest
 from logweir.streaming.recurring import recurring_run, run_alert
 from workload import adapter
 
@@ -289,20 +290,40 @@ def _report_record(spark, sf_dir):
     return record.select(F.inline(F.flatten(F.array(*lists))))
 
 
-def _report_rows(spark, sf_dir):
-    """Number of rows in every list of the full report."""
-    return _report(spark, sf_dir).rows().groupBy("section").agg(
-        F.count(F.lit(1)).alias("count")
+def _row_text(name: str):
+    return F.get_json_object("item", f"$.{name}")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Rows of report lists by what names them and what they count."""
+    names = ("window", "time", "path", "status", "method", "ua", "ip", "type")
+    counts = ("count", "total", "ssh_event_count")
+    return rows.select(
+        "section", F.col("position").cast("bigint").alias("position"),
+        F.coalesce(*map(_row_text, names)).alias("key"),
+        F.coalesce(*map(_row_text, counts)).cast("bigint").alias("count"),
     )
 
 
+def _report_rows(spark, sf_dir):
+    """Every row of every list of the full report with its position."""
+    return _keyed(Report(adapter.entries(spark, sf_dir)).rows())
+
+
 def _report_pages(spark, sf_dir):
-    """The cut of a list that its report page shows."""
-    return _report(spark, sf_dir).page("spike_windows")
+    """The cuts of lists that report pages show, in full and in short."""
+    report = _report(spark, sf_dir)
+    spikes = report.page("spike_windows").select(F.lit("spike_windows").alias("page"), F.col("window").alias("key"))
+    paths = report.page("top_paths", short=True).select(F.lit("top_paths").alias("page"), F.col("path").alias("key"))
+    return spikes.unionByName(paths)
 
 
 def _history_latest(spark, sf_dir):
-    return latest_runs(spark, _recorded(spark, sf_dir)).select(
+    """Three runs over more and more sources, the newest two listed."""
+    entries, folder = adapter.entries(spark, sf_dir), new_path(spark, "history")
+    for sources in (["ssh"], ["ssh", "nginx"], ["ssh", "nginx", "apache", "fail2ban"]):
+        append_run(Report(entries.where(F.col("source").isin(sources))), folder, "+".join(sources))
+    return latest_runs(spark, folder, 2).select(
         "id", "target", "log_start", "total", "errors", "warnings", "error_rate",
         F.array_join("sources", ",").alias("sources"),
     )
@@ -320,9 +341,82 @@ def _run_lookup(spark, sf_dir):
 
 
 def _run_findings(spark, sf_dir):
-    rows = findings(spark, _recorded(spark, sf_dir), 1).where(F.col("section") == "brute_force")
-    item = F.from_json("item", "ip string, type string, count bigint, severity string")
-    return rows.select(item.alias("item")).select("item.*")
+    """The lists of a stored run that grow with the data, in their order."""
+    rows = findings(spark, _recorded(spark, sf_dir), 1)
+    grown = ["brute_force", "anomalies", "spike_windows", "correlations", "timeline"]
+    return _keyed(rows.where(F.col("section").isin(grown)))
+
+
+def _report_json(spark, sf_dir):
+    """The record as a JSON file, read back."""
+    path = new_path(spark, "report")
+    Report(adapter.entries(spark, sf_dir)).write_json(path)
+    back = spark.read.schema(REPORT_DDL).json(path)
+    return back.select(F.inline("top_paths"))
+
+
+def _blank_lines(spark, sf_dir):
+    """Access lines among blank ones, some without a time."""
+    tagged = web.nginx(lines_of(adapter.odd_nginx_lines(adapter.event_entries(spark, sf_dir)), order="mid"))
+    return _shown(entries_of(tagged), ["seq", "ip", "timestamp", "status"])
+
+
+def _timeless(spark, sf_dir):
+    """The hours of access lines of which some have no time."""
+    tagged = web.nginx(lines_of(adapter.odd_nginx_lines(adapter.event_entries(spark, sf_dir)), order="mid"))
+    return temporal.timeline(entries_of(tagged))
+
+
+def _ssh_relevance(spark, sf_dir):
+    """A log of many daemons: SSH lines become entries, all others rejects."""
+    tagged = line_format("ssh", year=YEAR)(adapter.all_ssh_lines(adapter.event_entries(spark, sf_dir)))
+    return tagged.groupBy(F.col("parsed").cast("int").alias("parsed"), "level").agg(F.count(F.lit(1)).alias("total"))
+
+
+def _registered_format(spark, sf_dir):
+    """A format of one's own from column expressions: the message of every entry with its number."""
+    if "numbered" not in formats():
+        number = r"^(\d+) (.*)$"
+        register_format(
+            "numbered",
+            lambda line: {"status": F.regexp_extract(line, number, 1).cast("int"), "message": F.regexp_extract(line, number, 2)},
+            lambda line: line.rlike(number),
+        )
+    df = adapter.event_entries(spark, sf_dir)
+    text = F.when(F.col("seq") % 9 == 0, F.col("message")).otherwise(F.concat(F.col("k").cast("string"), F.lit(" "), F.col("message")))
+    lines = lines_of(df.select(text.alias("value"), "seq"), order="seq")
+    return _shown(entries_of(line_format("numbered")(lines)), ["seq", "source", "status", "message"])
+
+
+def _browser_files(spark, sf_dir):
+    """Files of JSON arrays over many lines, read by element."""
+    path = new_path(spark, "browser")
+    adapter.browser_documents(adapter.event_entries(spark, sf_dir)).select("value").write.text(path)
+    tagged = documents.read_browser(spark, path)
+    return _shown(entries_of(tagged), ["source", "timestamp", "level", "path", "message"], ("line",))
+
+
+def _windows_any(spark, sf_dir):
+    """A folder of XML files and of JSON arrays, told apart by their content."""
+    df, path = adapter.event_entries(spark, sf_dir), new_path(spark, "windows-any")
+    adapter.landed(spark, path, {
+        "a.xml": adapter.windows_xml_documents(df.where(F.col("k") % 2 == 0)),
+        "b.xml": adapter.windows_json_documents(df.where(F.col("k") % 2 == 1)),
+    })
+    return _shown(entries_of(xml.read_windows(spark, path)), ["source", "timestamp", "level", "message"])
+
+
+def _rejects_documents(spark, sf_dir):
+    """Text between the events of XML files."""
+    path = new_path(spark, "strayed")
+    adapter.strayed_xml_documents(adapter.event_entries(spark, sf_dir)).select("value").write.text(path)
+    return rejects_of(xml.read_windows(spark, path)).select(F.col("raw").alias("line"))
+
+
+def _geo_dense(spark, sf_dir):
+    """Addresses among tens of thousands of networks of one /16 and one /32."""
+    networks = geo.networks_from_cidr(adapter.dense_networks(spark, sf_dir))
+    return geo.locate(adapter.dense_addresses(spark, sf_dir), networks).select("ip", "city")
 
 
 def _entries_table(spark, sf_dir):
@@ -334,26 +428,52 @@ def _entries_table(spark, sf_dir):
     return back.groupBy("source", day, "level").agg(F.count(F.lit(1)).alias("total"))
 
 
-def _landed_nginx(spark, sf_dir) -> str:
+def _compacted(spark, sf_dir):
+    """Entries stored in five loads, compacted by day and read back."""
+    path, entries = new_path(spark, "compacted"), adapter.entries(spark, sf_dir)
+    for k in range(5):
+        part = entries.where(F.col("mid") % 5 == k).withColumn(PARSED, F.lit(True))
+        write_tagged(part, path, load=f"load-{k}")
+    compact(spark, path)
+    back = read_entries(spark, path)
+    day = F.col("day").cast("string").alias("day")
+    return back.groupBy("source", day, "level").agg(F.count(F.lit(1)).alias("total"))
+
+
+_LINES = {
+    "nginx.log": adapter.nginx_lines, "apache.log": adapter.apache_lines,
+    "auth.log": adapter.ssh_lines, "fail2ban.log": adapter.fail2ban_lines,
+}
+_MIXED = {"ssh": {"year": YEAR}}
+
+
+def _land(spark, df: DataFrame, path: str) -> None:
+    adapter.landed(spark, path, {name: render(df) for name, render in _LINES.items()})
+
+
+def _landed(spark, sf_dir) -> str:
+    """All four sources as files of one folder."""
     path = new_path(spark, "landing")
-    lines = adapter.nginx_lines(adapter.event_entries(spark, sf_dir))
-    lines.select("value").write.text(path)
+    _land(spark, adapter.event_entries(spark, sf_dir), path)
     return path
 
 
 def _live_ingest(spark, sf_dir):
-    """Files landed in a folder, taken in by a stream into the stored table."""
+    """Files of four formats landed in a folder, taken in by one stream into the stored table."""
     table, state = new_path(spark, "live"), new_path(spark, "live-state")
-    landed = _landed_nginx(spark, sf_dir)
-    start_ingest(spark, landed, "nginx", table, state, availableNow=True).awaitTermination()
+    start_ingest(
+        spark, _landed(spark, sf_dir), "auto", table, state, format_options=_MIXED,
+        source_options={"maxFilesPerTrigger": "3"}, availableNow=True,
+    ).awaitTermination()
     return _shown(read_entries(spark, table), _ACCESS[1:])
 
 
 def _live_alerts(spark, sf_dir):
-    """Alert messages written by a stream."""
+    """Alert messages of four formats written by one stream."""
     out = new_path(spark, "alerts")
-    tagged = live_tagged(spark, _landed_nginx(spark, sf_dir), "nginx")
-    start_alerts(tagged, out, new_path(spark, "alerts-state"), availableNow=True).awaitTermination()
+    start_alert_files(
+        spark, _landed(spark, sf_dir), "auto", out, new_path(spark, "alerts-state"), format_options=_MIXED, availableNow=True
+    ).awaitTermination()
     alert = F.from_json(
         "value", "level string, source string, message string, ip string, timestamp string"
     )
@@ -361,12 +481,16 @@ def _live_alerts(spark, sf_dir):
 
 
 def _recurring(spark, sf_dir):
-    """One run over what has landed, and its alert."""
-    _, alert = recurring_run(
-        spark, _landed_nginx(spark, sf_dir), "nginx",
-        table=new_path(spark, "table"), checkpoint=new_path(spark, "state"),
-        history=new_path(spark, "history"),
+    """Two landings and a run after each; the alert of the second, made from kept aggregates."""
+    df, path = adapter.event_entries(spark, sf_dir), new_path(spark, "landing")
+    where = dict(
+        table=new_path(spark, "table"), checkpoint=new_path(spark, "state"), history=new_path(spark, "history"),
+        format_options=_MIXED,
     )
+    for k in range(2):
+        landing = f"{path}/{k}"
+        _land(spark, df.where(F.col("seq") % 2 == k), landing)
+        _, alert = recurring_run(spark, f"{path}/*", "auto", **where)
     return alert
 
 
@@ -472,6 +596,16 @@ QUERIES: dict[str, Query] = {
     "history_latest": _history_latest,
     "run_lookup": _run_lookup,
     "run_findings": _run_findings,
+    "report_json": _report_json,
+    "blank_lines": _blank_lines,
+    "timeless": _timeless,
+    "ssh_relevance": _ssh_relevance,
+    "registered_format": _registered_format,
+    "ingest_browser_files": _browser_files,
+    "ingest_windows_any": _windows_any,
+    "rejects_documents": _rejects_documents,
+    "geo_dense": _geo_dense,
+    "compacted": _compacted,
     "entries_table": _entries_table,
     "live_ingest": _live_ingest,
     "live_alerts": _live_alerts,
