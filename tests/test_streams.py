@@ -8,6 +8,7 @@ from logweir.functions.predicates import is_error
 from logweir.sources.lines import lines_of
 from logweir.sources.registry import entries_of, line_format, read_tagged
 from logweir.streaming.live import alert_payload, alerts, display, live_tagged, start_alert_files, start_alerts, start_ingest
+from logweir.streaming import hours
 from logweir.streaming.recurring import recurring_run
 from tests.helpers import rows
 
@@ -202,3 +203,28 @@ def test_an_unfinished_compaction_is_not_seen(spark, tmp_path):
     assert logweir.read_entries(spark, table).count() == 6
     assert logweir.compact(spark, table) is not None
     assert logweir.read_entries(spark, table).count() == 6
+
+
+def test_hours_close_and_late_entries_are_kept_apart(spark, tmp_path):
+    landing, out, state = tmp_path / "landing", str(tmp_path / "hours"), str(tmp_path / "s")
+    at = '10.0.0.{ip} - - [10/Oct/2024:{h:02d}:{m:02d}:00 +0000] "GET /{h} HTTP/1.1" {status} 5\n'
+
+    def step(name, *rows_of):
+        land(landing, name, "".join(at.format(ip=i, h=h, m=m, status=s) * n for i, h, m, s, n in rows_of))
+        hours.start_hours(spark, str(landing), "nginx", out, state, delay_minutes=30).awaitTermination()
+        return {r.time[11:13]: (r.total, r.errors) for r in hours.live_timeline(spark, out, unfinished=False).collect()}
+
+    assert hours.live_timeline(spark, out).count() == 0 == hours.late_entries(spark, out).count()
+    assert step("a.log", (1, 8, 5, 200, 3), (1, 9, 20, 500, 2)) == {}
+    assert step("b.log", (2, 9, 40, 401, 11), (2, 8, 59, 200, 1)) == {"08": (4, 0)}, "an hour is open for the delay"
+    assert step("c.log", (3, 10, 31, 200, 1), (3, 8, 1, 500, 4), (3, 9, 1, 200, 1)) == {"08": (4, 0), "09": (14, 2)}
+    assert step("d.log", (4, 9, 59, 200, 5)) == {"08": (4, 0), "09": (14, 2)}
+    assert sorted(r.path for r in hours.late_entries(spark, out).collect()) == ["/8"] * 4 + ["/9"] * 5
+    assert [tuple(r)[:4] for r in hours.live_brute_force(spark, out).collect()] == [("2024-10-10 09:00", "10.0.0.2", "http_brute_force", 11)]
+    every = {r.time[11:13]: r.total for r in hours.live_timeline(spark, out).collect()}
+    assert every == {"08": 4, "09": 14, "10": 1}
+    assert hours.live_spikes(spark, out, multiplier=1.0, min_errors=1).count() == 1
+    # A batch without its mark was cut off: nobody sees it, and it is written again.
+    import shutil
+    shutil.rmtree(f"{out}/marks/batch=3")
+    assert hours.late_entries(spark, out).count() == 4

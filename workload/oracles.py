@@ -451,6 +451,11 @@ ORACLES: dict[str, str] = {
         "UNION ALL SELECT concat('2a00:1450:', lower(printf('%x', n)), '::', CAST(n % 7 + 1 AS VARCHAR)), "
         "concat('City', CAST(n AS VARCHAR)) FROM n WHERE n % 3 <> 0"
     ),
+    "live_hours": _entries(
+        "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') AS time, count(*) AS total, "
+        "count(*) FILTER (level IN ('ERROR', 'CRITICAL')) AS errors, count(*) FILTER (level = 'WARNING') AS warnings, "
+        "CAST(seq % 40 = 0 AND day(ts) <= 9 AS INT) AS late FROM entries GROUP BY time, late"
+    ),
     "compacted": _entries(
         "SELECT source, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, level, count(*) AS total FROM entries GROUP BY 1, 2, 3"
     ),

@@ -27,6 +27,8 @@ from logweir.sources import documents, web, xml
 from logweir.sources.custom import custom
 from logweir.sources.lines import lines_of
 from logweir.sources.registry import detect_format, entries_of, formats, line_format, register_format, rejects_of
+from logweir.streaming import hours
+from logweir.streaming.hours import start_hours
 from logweir.streaming.live import alerts, display as display_rows
 from logweir.streaming.live import start_alert_files, start_ingest
 from logweir.streaming.recurring import recurring_run, run_alert
@@ -494,6 +496,21 @@ def _recurring(spark, sf_dir):
     return alert
 
 
+def _live_hours(spark, sf_dir):
+    """Three landings in order of time and a late one: hours as a stream keeps them, and what came too late."""
+    df = adapter.event_entries(spark, sf_dir)
+    path, out, state = new_path(spark, "landing"), new_path(spark, "hours"), new_path(spark, "state")
+    third = F.floor((F.dayofmonth("timestamp") - 1) / 10)
+    held = (F.col("seq") % 40 == 0) & (F.dayofmonth("timestamp") <= 9)
+    parts = [df.where((third == k) & ~held) for k in (0, 1)] + [df.where((third >= 2) & ~held), df.where(held)]
+    for k, part in enumerate(parts):
+        _land(spark, part, f"{path}/{k}")
+        start_hours(spark, f"{path}/*", "auto", out, state, format_options=_MIXED, availableNow=True).awaitTermination()
+    kept = hours.live_timeline(spark, out).withColumn("late", F.lit(0))
+    late = temporal.timeline(hours.late_entries(spark, out)).withColumn("late", F.lit(1))
+    return kept.unionByName(late)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw access lines to a ranking of IPs."""
     lines = adapter.nginx_lines(adapter.event_entries(spark, sf_dir))
@@ -606,6 +623,7 @@ QUERIES: dict[str, Query] = {
     "rejects_documents": _rejects_documents,
     "geo_dense": _geo_dense,
     "compacted": _compacted,
+    "live_hours": _live_hours,
     "entries_table": _entries_table,
     "live_ingest": _live_ingest,
     "live_alerts": _live_alerts,
