@@ -217,15 +217,18 @@ with recursive said as (
   select distinct conv_id, turn, lower(trim(regexp_replace(l, '\s+', ' ', 'g'))) as l
   from mails, unnest(string_split(body, chr(10))) t(l)
 ), quoted as (
-  select distinct conv_id, turn, lower(trim(regexp_replace(l, '\s+', ' ', 'g'))) as l
+  select distinct conv_id, turn, 1 as level, lower(trim(regexp_replace(l, '\s+', ' ', 'g'))) as l
   from mails, unnest(string_split(first, chr(10))) t(l) where first is not null
+  union all
+  select distinct conv_id, turn, 2, lower(trim(regexp_replace(l, '\s+', ' ', 'g')))
+  from mails, unnest(string_split(second, chr(10))) t(l) where second is not null
 ), votes as (
-  select q.conv_id, q.turn, q.l, max(o.turn) as found
+  select q.conv_id, q.turn, q.level, q.l, max(o.turn) as found
   from quoted q join own o on o.conv_id = q.conv_id and o.l = q.l and o.turn < q.turn
   where q.l <> '' group by all
 ), replies as (
-  select conv_id, turn, arg_max(found, (n, found)) as reply_to
-  from (select conv_id, turn, found, count(*) as n from votes group by all) group by all
+  select conv_id, turn, arg_max(found, (-level, n, found)) as reply_to
+  from (select conv_id, turn, level, found, count(*) as n from votes group by all) group by all
 ), nodes as (
   select s.conv_id, s.turn, r.reply_to from said s left join replies r using (conv_id, turn)
 ), threads as (

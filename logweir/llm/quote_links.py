@@ -38,17 +38,17 @@ def _normal(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
 
 
-def _lines(messages: DataFrame, which: Column, kind: int) -> DataFrame:
-    """(conv, turn, line hash, kind): the distinct lines of that level, blank ones left out."""
-    normal = F.transform(F.filter("lines", lambda x: which(x["level"])), lambda x: _normal(x["line"]))
-    some = F.array_distinct(F.filter(normal, lambda x: x != ""))
-    return messages.select("conv", "turn", F.explode(some).alias("l")).select(
-        "conv", "turn", F.md5("l").alias("hash"), F.lit(kind).alias("quotes")
+def _lines(messages: DataFrame) -> DataFrame:
+    """(conv, turn, line hash, quotes): the distinct lines of each level, blank ones left out."""
+    normal = F.transform("lines", lambda x: F.struct(x["level"].alias("level"), _normal(x["line"]).alias("l")))
+    some = F.array_distinct(F.filter(normal, lambda x: x["l"] != ""))
+    return messages.select("conv", "turn", F.explode(some).alias("x")).select(
+        "conv", "turn", F.md5("x.l").alias("hash"), F.col("x.level").alias("quotes")
     )
 
 
 def _followed(lines: DataFrame) -> DataFrame:
-    """For each quoted line (conv, turn, hash), the latest earlier turn that has it, if any."""
+    """For each quoted line (conv, turn, hash, quotes), the latest earlier turn that has it as its own, if any."""
     key = ["conv", "hash"]
     lines = lines.withColumn("block", F.floor(F.col("turn") / BLOCK)).distinct()
     own_turn = F.when(F.col("quotes") == 0, F.col("turn"))
@@ -60,15 +60,19 @@ def _followed(lines: DataFrame) -> DataFrame:
     blocks = lines.groupBy(*key, "block").agg(F.max(own_turn).alias("latest"))
     before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("far", F.max("latest").over(before)).select(*key, "block", "far")
-    quoted = near.where("quotes = 1").join(blocks.where("far is not null"), [*key, "block"], "left")
-    return quoted.select("conv", "turn", "hash", F.coalesce("near", "far").alias("found")).where("found is not null")
+    quoted = near.where("quotes > 0").join(blocks.where("far is not null"), [*key, "block"], "left")
+    return quoted.select("conv", "turn", "hash", "quotes", F.coalesce("near", "far").alias("found")).where("found is not null")
 
 
 def _replies(messages: DataFrame) -> DataFrame:
-    """(conv, turn, reply_to) of the messages that reply to one."""
-    lines = _lines(messages, lambda v: v == 0, 0).unionByName(_lines(messages, lambda v: v == 1, 1))
-    votes = _followed(lines).groupBy("conv", "turn", "found").agg(F.count("*").alias("n"))
-    best = votes.groupBy("conv", "turn").agg(F.max(F.struct("n", "found")).alias("best"))
+    """(conv, turn, reply_to) of the messages that reply to one.
+
+    Lines of the first level that leads anywhere decide: deeper ones count only where the
+    levels above them are of no message, such as one that is empty. Of
+    turns with equally many lines the latest is taken.
+    """
+    votes = _followed(_lines(messages)).groupBy("conv", "turn", "quotes", "found").agg(F.count("*").alias("n"))
+    best = votes.groupBy("conv", "turn").agg(F.max(F.struct((-F.col("quotes")).alias("level"), "n", "found")).alias("best"))
     return best.select("conv", "turn", F.col("best")["found"].alias("reply_to"))
 
 
@@ -101,8 +105,15 @@ def _places(nodes: DataFrame) -> DataFrame:
     # A deep thread has a part for each depth: they are added up block by block, too.
     sizes = sizes.withColumn("block", F.floor(F.col("depth") / BLOCK))
     blocks = sizes.groupBy("conv", "root", "block").agg(F.sum("n").alias("n"))
-    earlier = Window.partitionBy("conv").orderBy("root", "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("conv", "root", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("blocks"))
+    # Where few messages reply to any, a conversation has as many roots as messages: blocks of roots.
+    roots = F.floor(F.col("root") / BLOCK)
+    blocks = blocks.withColumn("roots", roots)
+    sums = blocks.groupBy("conv", "roots").agg(F.sum("n").alias("n"))
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("conv", "roots", upto(Window.partitionBy("conv").orderBy("roots")).alias("base"))
+    among = upto(Window.partitionBy("conv", "roots").orderBy("root", "block"))
+    blocks = blocks.withColumn("among", among).join(sums, ["conv", "roots"])
+    blocks = blocks.select("conv", "root", "block", (F.col("base") + F.col("among")).alias("blocks"))
     before = Window.partitionBy("conv", "root", "block").orderBy("depth", "part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("parts", F.coalesce(F.sum("n").over(before), F.lit(0))).join(blocks, ["conv", "root", "block"])
     sizes = sizes.select(*group, (F.col("blocks") + F.col("parts")).alias("before"))
@@ -149,8 +160,9 @@ def as_mails(messages: DataFrame, depth: int = 2) -> DataFrame:
     """Messages as mails that quote the one they answer, and what that one answered.
 
     A message answers the turn before it, every third one the turn before that. A
-    quoted line gets one mark a level.
+    quoted line gets one mark a level. Other columns are not looked at.
     """
+    messages = messages.select("conv_id", "turn", "role", "text")
     texts = messages.groupBy("conv_id", "turn").agg(F.min(F.coalesce("text", F.lit(""))).alias("said"))
     mails = messages.withColumn("mail", F.coalesce("text", F.lit(""))).withColumn("at", F.col("turn"))
     for level in range(1, depth + 1):

@@ -280,3 +280,31 @@ def test_a_long_thread_with_one_common_line(spark, monkeypatch):
     assert [got[t].position for t in range(60)] == list(range(60))
     assert all(got[t].reply_to == t - 1 for t in range(1, 60))
     assert got[30].body == "thanks\nnumber 30"
+
+
+def test_deeper_quotes_link_where_the_first_level_leads_nowhere(spark):
+    said = [
+        (1, 0, "u", "First words"),
+        (1, 1, "a", None),
+        (1, 2, "u", "Third\n> edited beyond knowing\n> > first  WORDS"),
+        (1, 3, "u", "Fourth\n> Third\n> > First words"),
+    ]
+    frame = spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string")
+    got = {r.turn: (r.reply_to, r.root, r.depth) for r in quote_links.conversations(frame).collect()}
+    assert got == {0: (None, 0, 0), 1: (None, 1, 0), 2: (0, 0, 1), 3: (2, 0, 2)}
+
+
+def test_a_conversation_of_roots_only(spark):
+    """No window holds a row for each root: positions still count through."""
+    rows = spark.range(20_000).selectExpr("1L as conv_id", "id as turn", "'u' as role", "concat('text ', id) as text")
+    found = quote_links.conversations(rows)
+    assert found.where("position <> turn or root <> turn or reply_to is not null").count() == 0
+    assert found.count() == 20_000
+
+
+def test_mails_of_a_table_with_clashing_columns(spark):
+    schema = "conv_id bigint, turn bigint, role string, text string, said string, c int, t int, mail string, at int, lines int"
+    frame = spark.createDataFrame([(1, k, "u", f"text {k}", "x", 1, 2, "m", 3, 4) for k in range(4)], schema)
+    mails = quote_links.as_mails(frame)
+    assert mails.columns == ["conv_id", "turn", "role", "text"]
+    assert {r.turn: r.text for r in mails.collect()}[2] == "text 2\n> text 1\n> > text 0"
