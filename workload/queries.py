@@ -20,7 +20,7 @@ from logweir.operators import (
 )
 from logweir.plans.history import append_run, findings, latest_runs, run_result
 from logweir.plans.report import REPORT_DDL, Report
-from logweir.plans.shared import new_path
+from logweir.plans.shared import new_path, settled
 from logweir.plans.store import compact, read_entries, write_entries, write_tagged
 from logweir.schema import PARSED
 from logweir.sources import documents, web, xml
@@ -484,7 +484,7 @@ def _live_alerts(spark, sf_dir):
 
 def _recurring(spark, sf_dir):
     """Two landings and a run after each; the alert of the second, made from kept aggregates."""
-    df, path = adapter.event_entries(spark, sf_dir), new_path(spark, "landing")
+    df, path = settled(adapter.event_entries(spark, sf_dir)), new_path(spark, "landing")
     where = dict(
         table=new_path(spark, "table"), checkpoint=new_path(spark, "state"), history=new_path(spark, "history"),
         format_options=_MIXED,
@@ -497,13 +497,12 @@ def _recurring(spark, sf_dir):
 
 
 def _live_hours(spark, sf_dir):
-    """Three landings in order of time and a late one: hours as a stream keeps them, and what came too late."""
-    df = adapter.event_entries(spark, sf_dir)
+    """Two landings in order of time and a late one: hours as a stream keeps them, and what came too late."""
+    df = settled(adapter.event_entries(spark, sf_dir))
     path, out, state = new_path(spark, "landing"), new_path(spark, "hours"), new_path(spark, "state")
-    third = F.floor((F.dayofmonth("timestamp") - 1) / 10)
-    held = (F.col("seq") % 40 == 0) & (F.dayofmonth("timestamp") <= 9)
-    parts = [df.where((third == k) & ~held) for k in (0, 1)] + [df.where((third >= 2) & ~held), df.where(held)]
-    for k, part in enumerate(parts):
+    day = F.dayofmonth("timestamp")
+    held = (F.col("seq") % 40 == 0) & (day <= 9)
+    for k, part in enumerate((df.where((day <= 10) & ~held), df.where((day > 10) & ~held), df.where(held))):
         _land(spark, part, f"{path}/{k}")
         start_hours(spark, f"{path}/*", "auto", out, state, format_options=_MIXED, availableNow=True).awaitTermination()
     kept = hours.live_timeline(spark, out).withColumn("late", F.lit(0))
