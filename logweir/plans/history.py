@@ -59,14 +59,12 @@ def _append_row(
     report: Report, folder: str, target: str, run_id: int, run_at: datetime | None, duration_ms: float
 ) -> None:
     now = F.lit((run_at or datetime.now()).isoformat()).cast("timestamp_ntz")
-    meta = report.meta.select(F.struct("*")).scalar()
-    # Built on the document's one row; the figures come as one more scalar.
-    row = report.document().select(F.to_json(F.struct("*")).alias("result_json"), meta.alias("meta"))
+    row = report.document().select(F.to_json(F.struct("*")).alias("result_json"), "meta")
     values = {
         "id": F.lit(run_id),
         "target": F.lit(target),
         "run_at": now,
-        "log_start": F.coalesce("meta.start_time", now),
+        "log_start": F.coalesce(F.col("meta.start_time").cast("timestamp_ntz"), now),
         "duration_ms": F.lit(duration_ms),
         "result_json": F.col("result_json"),
     }

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from logweir.functions import predicates as P
+from logweir.functions import predicates as P, times
 from logweir.functions.times import iso_text
 from logweir.operators import correlation, detections, geo, overview, temporal, topn
 from logweir.operators.facts import all_facts, facts_of, regroup
@@ -115,6 +115,52 @@ class Report:
         """One row: totals, time span, sources."""
         return overview.totals_of_hours(self._by("hour"))
 
+    @cached_property
+    def _figures(self) -> Column:
+        """The record's ``meta`` and ``temporal`` as one value, from one grouping of the hours.
+
+        Hours are summed by hour of the day and weekday first: at most 169 rows make the value.
+        """
+        hour = F.col("hour")
+        cells = self._by("hour").groupBy(times.hour(hour).alias("hour"), times.weekday(hour).alias("weekday")).agg(
+            *(F.sum(c).alias(c) for c in ("total", "level_errors", "warnings")),
+            F.min("first_time").alias("first_time"),
+            F.max("last_time").alias("last_time"),
+            F.collect_set("source").alias("sources"),
+        )
+        whole = cells.agg(
+            *(F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("total", "total"), ("level_errors", "errors"), ("warnings", "warnings"))),
+            iso_text(F.min("first_time")).alias("start_time"),
+            iso_text(F.max("last_time")).alias("end_time"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"),
+            F.collect_list(F.struct("hour", "weekday", "total")).alias("cells"),
+        )
+
+        def counted(keys: Column, field: str, name: str) -> Column:
+            def summed(key: Column) -> Column:
+                own = F.filter("cells", lambda x: x[field] == key)
+                return F.aggregate(own, F.lit(0).cast("bigint"), lambda a, x: a + x["total"])
+
+            pairs = F.transform(keys, lambda key: F.struct(key.alias("key"), summed(key).alias("count")))
+            return F.filter(pairs, lambda p: p["count"] > 0).alias(name)
+
+        names = F.array(*map(F.lit, sorted(times.WEEKDAYS)))
+        rows = overview.overview_of(whole).select(
+            F.struct("total", "errors", "warnings", "error_rate", "start_time", "end_time", "sources").alias("meta"),
+            counted(F.sequence(F.lit(0), F.lit(23)), "hour", "hours"),
+            counted(names, "weekday", "days"),
+        )
+        # Ties go to the first hour, and to the first name.
+        hours = F.transform("hours", lambda p: F.struct(p["count"].alias("n"), (-p["key"]).alias("key")))
+        days = F.transform("days", lambda p: F.struct((-p["count"]).alias("n"), p["key"].alias("key")))
+        temporal_ = F.struct(
+            F.map_from_entries("hours").alias("by_hour"),
+            F.map_from_entries("days").alias("by_weekday"),
+            (-F.array_max(hours)["key"]).alias("peak_hour"),
+            F.array_min(days)["key"].alias("peak_weekday"),
+        )
+        return rows.select(F.struct("meta", temporal_.alias("temporal"))).scalar()
+
     @cached_property
     def by_hour(self) -> DataFrame:
         return temporal.hours_of_day(self._hours)
@@ -253,26 +299,6 @@ class Report:
 
         Its lists are taken from ``rows``, those of this report or the same as they were stored.
         """
-        meta = self.meta.select(
-            F.struct(
-                "total", "errors", "warnings", "error_rate",
-                iso_text(F.col("start_time")).alias("start_time"),
-                iso_text(F.col("end_time")).alias("end_time"),
-                "sources",
-            )
-        ).scalar()
-
-        def counts(df: DataFrame, key: str) -> Column:
-            pairs = F.array_sort(F.collect_list(F.struct(F.col(key), F.col("count"))))
-            return df.agg(F.map_from_entries(pairs)).scalar()
-
-        peak = self.peaks.select(F.struct("peak_hour", "peak_weekday")).scalar()
-        times = F.struct(
-            counts(self.by_hour, "hour").alias("by_hour"),
-            counts(self.by_weekday, "weekday").alias("by_weekday"),
-            peak["peak_hour"].alias("peak_hour"),
-            peak["peak_weekday"].alias("peak_weekday"),
-        )
         fields = StructType.fromDDL(REPORT_DDL)
         listed = [f for f in fields if isinstance(f.dataType, ArrayType)]
         # Only lists that do not grow with the data: a few rows each.
@@ -284,11 +310,11 @@ class Report:
         columns = []
         for field in fields:
             if field.name in ("meta", "temporal"):
-                value = meta if field.name == "meta" else times
+                value = F.col("figures")[field.name]
             else:
                 value = F.transform(field.name, _parsed(field.dataType.elementType.simpleString()))
             columns.append(value.cast(field.dataType).alias(field.name))
-        return gathered.select(*columns)
+        return gathered.withColumn("figures", self._figures).select(*columns)
 
     def write_json(self, path: str) -> None:
         """The one-record report as a JSON file in ``path``."""
