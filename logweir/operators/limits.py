@@ -41,15 +41,16 @@ def tail(entries: DataFrame, n: int, per: str = "file") -> DataFrame:
 def cap(entries: DataFrame, n: int, files: Iterable[str] | None = None) -> DataFrame:
     """The first n entries over all files, to be analysed instead of all.
 
-    Files count in the order given, or by name. Entries are counted per split
+    Files count in the order given, those not given last, or all by name. Entries are counted per split
     first: splits before the one that holds the n-th entry are kept as they are, and
     only within that one are entries ranked.
     """
-    if files is None:
-        place: Column = F.col("file")
-    else:
-        place = F.array_position(F.array(*map(F.lit, files)), F.col("file"))
-    split = F.struct(place.alias("place"), F.col("block_start").alias("start"))
+    listed = list(files or [])
+    place: Column = F.lit(0)
+    if listed:
+        given = F.array_position(F.array(*map(F.lit, listed)), F.col("file"))
+        place = F.when(given > 0, given).otherwise(len(listed) + 1)
+    split = F.struct(place.cast("bigint").alias("place"), F.col("file").alias("file"), F.col("block_start").alias("start"))
     counts = entries.groupBy(split.alias("split")).agg(F.count(F.lit(1)).alias("count"))
     # One row per split of the input, however many entries it has.
     so_far = F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("split"))

@@ -200,4 +200,6 @@ def test_tail_and_cap(spark):
     assert sorted(r["message"] for r in rows(limits.cap(df, 3))) == ["a0-0", "a0-1", "a0-2"]
     first = sorted(r["message"] for r in rows(limits.cap(df, 32, ["b", "a"])))
     assert first == sorted(["a0-0", "a0-1", *(f"b{b}-{m}" for b in (0, 500, 1000) for m in range(10))])
+    listed = sorted(r["message"] for r in rows(limits.cap(df, 31, ["b"])))
+    assert listed == sorted(["a0-0", *(f"b{b}-{m}" for b in (0, 500, 1000) for m in range(10))]), "files not given come last"
     assert len(rows(limits.cap(df, 100))) == 60 and rows(limits.tail(df, 0)) == []
