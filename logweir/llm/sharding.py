@@ -7,8 +7,8 @@ decides how the work is spread, never where a row goes. A range that turned out
 overfull is drawn from again and subdivided before any row is moved.
 
 Each row weighs its bytes plus the mean, so that ranges are bounded in bytes and
-in rows. The key's second part tells copies of a text apart, so that a text of
-a third of all rows covers as many ranges as it needs.
+in rows. The key's second part tells copies of a text apart, and a third one, a number, rows
+that are equal, so that rows of any share of all cover as many ranges as they need.
 
 Only one narrow row per record is shuffled, once, by range. The driver holds one
 row per range and the samples, both bounded by ``max_ranges``.
@@ -30,48 +30,53 @@ def _numbers(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def _range_of(splitters: list[tuple[int, int]]) -> Column:
-    """Number of splitters that are not above (key, tie): a binary search."""
+#: The parts of a row's place in the whole order.
+_ORDER = ["key", "tie", "row"]
+Splitter = tuple[int, int, int]
+
+
+def _range_of(splitters: list[Splitter]) -> Column:
+    """Number of splitters that are not above (key, tie, row): a binary search."""
     if not splitters:
         return F.lit(0)
-    keys, ties = _numbers([k for k, _ in splitters]), _numbers([t for _, t in splitters])
+    keys, ties, numbers = (_numbers([s[k] for s in splitters]) for k in range(3))
     steps = [1 << b for b in range(len(splitters).bit_length() - 1, -1, -1)]
 
     def advance(low: Column, step: Column) -> Column:
         at = (low + step).cast("int")
-        key, tie = F.try_element_at(keys, at), F.try_element_at(ties, at)
-        below = (key < F.col("key")) | ((key == F.col("key")) & (tie <= F.col("tie")))
+        key, tie, number = (F.try_element_at(x, at) for x in (keys, ties, numbers))
+        below = (tie < F.col("tie")) | ((tie == F.col("tie")) & (number <= F.col("row")))
+        below = (key < F.col("key")) | ((key == F.col("key")) & below)
         return F.when((at <= len(splitters)) & below, at).otherwise(low)
 
     return F.aggregate(_numbers(steps), F.lit(0), advance)
 
 
-def _draw(rows: DataFrame, share: Column, seed: int) -> list[tuple[int, int, int]]:
-    """(key, tie, weight that it stands for), in order: a sample by weight."""
-    u = F.shiftrightunsigned(F.xxhash64("key", "tie", F.lit(seed)), 11) / F.lit(float(_DRAW))
+def _draw(rows: DataFrame, share: Column, seed: int) -> list[tuple[Splitter, int]]:
+    """(place, weight that it stands for), in order: a sample by weight."""
+    u = F.shiftrightunsigned(F.xxhash64(*_ORDER, F.lit(seed)), 11) / F.lit(float(_DRAW))
     drawn = rows.withColumn("_share", share).where(u < F.col("_share"))
     stands = (F.col("weight") / F.least(F.col("_share"), F.lit(1.0))).cast("bigint")
-    # Copies of one row, equal in key and tie, cannot be divided and count together.
-    picked = drawn.groupBy("key", "tie").agg(F.sum(stands).alias("stands"))
-    return sorted((r["key"], r["tie"], r["stands"]) for r in picked.collect())
+    picked = drawn.select(*_ORDER, stands.alias("stands"))
+    return sorted((tuple(r[:3]), r["stands"]) for r in picked.collect())
 
 
-def _quantiles(sample: list[tuple[int, int, int]], parts: int) -> list[tuple[int, int]]:
+def _quantiles(sample: list[tuple[Splitter, int]], parts: int) -> list[Splitter]:
     """The parts - 1 places where the running weight passes a multiple of its share."""
-    whole, running, passed, found = sum(s for _, _, s in sample), 0, 0, []
-    for key, tie, stands in sample:
+    whole, running, passed, found = sum(s for _, s in sample), 0, 0, []
+    for place, stands in sample:
         if running * parts // whole > passed:
             passed = running * parts // whole
-            found.append((key, tie))
+            found.append(place)
         running += stands
     return found
 
 
-def splitters_of(rows: DataFrame, ranges: int, per_range: int, weight: int, rounds: int = 4) -> tuple[list[tuple[int, int]], list]:
+def splitters_of(rows: DataFrame, ranges: int, per_range: int, weight: int, rounds: int = 4) -> tuple[list[Splitter], list]:
     """Splitters, and (bytes, rows) of each range between them.
 
-    ``rows`` has key, tie, size, weight. Overfull is a range of more than twice
-    its share; one that a further draw does not divide holds a single key.
+    ``rows`` has key, tie, row, size, weight; no two rows are equal in the first three. Overfull is a range of
+    more than twice its share; one that a further draw does not divide holds a single row.
     """
     target = max(weight // ranges, 1)
     share = F.col("weight") * F.lit(per_range * ranges / weight)
@@ -91,7 +96,7 @@ def splitters_of(rows: DataFrame, ranges: int, per_range: int, weight: int, roun
         for r, heavy in overfull.items():
             low = found[r - 1] if r else None
             high = found[r] if r < len(found) else None
-            own = [s for s in sample if (low is None or s[:2] >= low) and (high is None or s[:2] < high)]
+            own = [s for s in sample if (low is None or s[0] >= low) and (high is None or s[0] < high)]
             if own:
                 more.update(_quantiles(own, -(-heavy // target)))
         if len(more) == len(found):
@@ -125,6 +130,7 @@ def shards(
             (F.octet_length(body) + 1).cast("bigint").alias("size"),
             F.crc32(body.cast("binary")).alias("text_crc32"),
             key.alias("key"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "sized",
     )
@@ -142,7 +148,7 @@ def shards(
         bytes_before.append(b)
         rows_before.append(c)
         b, c = b + (row["bytes"] if row else 0), c + (row["n"] if row else 0)
-    inside = Window.partitionBy("r").orderBy("key", "tie")
+    inside = Window.partitionBy("r").orderBy(*_ORDER)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = (F.col("r") + 1).cast("int")
     placed = (

@@ -146,9 +146,10 @@ def test_shards_are_even_though_a_text_is_a_third(spark):
 
 
 def test_overfull_ranges_are_subdivided(spark):
-    key = [(k, 0, 10 if k != 50 else 2000, 10 if k != 50 else 2000) for k in range(100)]
-    key += [(60, t, 10, 10) for t in range(500)]
-    frame = spark.createDataFrame(key, "key bigint, tie bigint, size bigint, weight bigint")
+    key = [(k, 0, 0, 10 if k != 50 else 2000, 10 if k != 50 else 2000) for k in range(100)]
+    # Many rows of one key, half of them equal in the tie as well.
+    key += [(60, t if t % 2 else 7, t + 1, 10, 10) for t in range(500)]
+    frame = spark.createDataFrame(key, "key bigint, tie bigint, row bigint, size bigint, weight bigint")
     total = sum(w for *_, w in key)
     found, sizes = sharding.splitters_of(frame, 8, 1, total)
     assert found == sorted(found) and sum(s["n"] for s in sizes if s) == len(key)
@@ -156,6 +157,15 @@ def test_overfull_ranges_are_subdivided(spark):
     assert sorted(s["weight"] for s in sizes if s)[-2] <= 2 * total / 8 + 10
 
 
+def test_equal_rows_without_an_id_are_divided(spark):
+    docs = spark.range(4000).selectExpr("cast(null as bigint) as doc_id", "'the same text' as text")
+    sizes = shard_rows(sharding.shards(docs, 16).collect(), 16)
+    assert set(sizes.values()) == {250 * 14}
+    rows = docs.selectExpr("5L as key", "0L as tie", "monotonically_increasing_id() as row", "14L as size", "28L as weight")
+    _, found = sharding.splitters_of(rows, 8, 16, 4000 * 28)
+    assert max(s["n"] for s in found if s) <= 1100
+
+
 def test_shards_of_awkward_rows(spark):
     found = sharding.shards(documents(spark), 4).collect()
     shard_rows(found, 4)
