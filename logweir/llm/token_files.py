@@ -36,8 +36,8 @@ from logweir.llm.tokens import byte_vocabulary, encoder, vocabulary_path
 END_ID = 2
 #: Ids of a frame, at most: the memory a reader needs for one.
 FRAME_IDS = 1 << 20
-#: Compressed bytes after which a volume is closed, and that a file should have.
-VOLUME_BYTES, FILE_BYTES = 16 << 20, 64 << 20
+#: Compressed bytes after which a volume is closed, and that a file should have: a task that reads holds one file.
+VOLUME_BYTES, FILE_BYTES = 8 << 20, 32 << 20
 #: Decompressed bytes of a batch that a reader hands on.
 BATCH_BYTES = 8 << 20
 LEVEL = 3
