@@ -251,9 +251,10 @@ def _sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
             )
 
     # A text is wanted once, from its first document; only its row goes on. Rows of one
-    # doc_id, or without any, are told apart by the key.
+    # doc_id, or without any, are told apart by the key. No key is null, and a condition that
+    # allows for it has no filter of its own, which would compute the key a second time.
     own = texts.select(F.col("doc_id").alias("id"), "text", _key_column(F.col("text")).alias("own"))
-    wanted = own.join(keys, own["id"].eqNullSafe(keys["doc_id"]) & (own["own"] == keys["key"]))
+    wanted = own.join(keys, own["id"].eqNullSafe(keys["doc_id"]) & own["own"].eqNullSafe(keys["key"]))
     return wanted.select("key", "text").dropDuplicates(["key"]).mapInArrow(found, "key binary, hashes binary, counts binary")
 
 
@@ -512,5 +513,5 @@ def kept(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # Most documents stay: their texts are shuffled once, by document and key.
     of = free_name(docs, "_of")
     named = docs.withColumn(of, _key_column(F.col("text").cast("string")))
-    same = named.join(stay, named["doc_id"].cast("bigint").eqNullSafe(stay[own]) & (named[of] == stay[key]))
+    same = named.join(stay, named["doc_id"].cast("bigint").eqNullSafe(stay[own]) & named[of].eqNullSafe(stay[key]))
     return same.dropDuplicates([own, key]).select(*[F.col(c) for c in docs.columns])

@@ -208,3 +208,12 @@ def test_queues_in_files_give_the_same(monkeypatch):
     one = suffix_dedup.induced(groups, left[order], right[order])
     monkeypatch.setattr(suffix_dedup, "QUEUE_ROWS", 1)
     assert (suffix_dedup.induced(groups, left[order], right[order]) == one).all()
+
+
+def test_a_text_is_hashed_by_one_python_node(spark):
+    # A second one, in the same tasks, took another worker's memory for each of an executor's cores.
+    docs = documents(spark)
+    keys = spark.createDataFrame([(1, b"1")], "doc_id bigint, key binary")
+    for found in (near_dups._sets(docs.select("doc_id", "text"), keys), near_dups.kept(docs)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
