@@ -36,6 +36,10 @@ BUCKETS, SLICES = 1 << 20, 64
 STRENGTH = 0.25
 #: Rounds in which what is left of a bucket meets some of it first, at most; texts drawn to be met in each.
 ROUNDS, HUBS = 5, 2
+#: A round that finds fewer links than this share of the texts is the last: a pass over all members for so few costs more than it saves.
+FEW = 0.01
+#: Links that a task joins in its memory before the rounds of ``components``.
+JOINED = 100_000
 #: Members of a bucket whose pairs are rows; members of a block of a larger one.
 PAIRED, BLOCK = 8, 256
 
@@ -280,7 +284,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, idf, least: float) -> DataFrame
 
     of = lambda side: sets.select(F.col("key").alias(side), F.col("hashes").alias(f"h{side}"), F.col("counts").alias(f"c{side}"))
     joined = pairs.join(of("x"), "x").join(of("y"), "y").select("a", "b", "hx", "cx", "hy", "cy")
-    return joined.mapInArrow(compared, "a binary, b binary").distinct()
+    return joined.mapInArrow(compared, "a binary, b binary")
 
 
 def _ordered_pair(x, y, of_x, of_y) -> list:
@@ -295,21 +299,55 @@ def _middle(degree: str, key: str):
     return F.max(F.struct(F.col(degree).alias("degree"), F.col(key).alias("key")))
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _members(distinct: DataFrame) -> DataFrame:
+    """(key, doc_id, degree, bands) of the texts that share a bucket, with the bands that they share.
+
+    ``degree`` is how many texts a text meets in all: the middle of a group of variants meets the most.
+    """
+    placed = distinct.select("key", "doc_id", F.explode("bands").alias("band"))
+    shared = placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = placed.join(shared, "band").groupBy("key", "doc_id")
+    return met.agg(F.sum("n").alias("degree"), F.collect_list("band").alias("bands"))
+
+
+def _placed(texts: DataFrame) -> DataFrame:
+    """(band, key, degree, class): a row for each bucket of each text."""
+    return texts.select(F.explode("bands").alias("band"), "key", "degree", "class")
+
+
+def _met(texts: DataFrame, round_: int) -> DataFrame:
+    """Pairs (x, y, a, b) of a round: one text of each class of a bucket and the bucket's hubs."""
+    placed = _placed(texts)
+    if round_:
+        drawn_by = F.struct(F.xxhash64("key", "band", F.lit(round_)).alias("o"), F.col("key"))
+        one = placed.groupBy("band", "class").agg(F.min(drawn_by).alias("m"))
+        order = lambda k: F.struct(F.xxhash64("m.key", "band", F.lit(-k)).alias("o"), F.col("m.key"), F.col("class"))
+        drawn = [F.min(order(k)) for k in range(HUBS)]
+    else:
+        # Each text is a class of its own.
+        one = placed.select("band", "class", F.struct("degree", "key").alias("m"))
+        drawn = [F.max(F.struct("m.degree", "m.key", "class"))]
+    hubs = one.groupBy("band").agg(F.array(*drawn).alias("hubs"), F.count("*").alias("n")).where("n > 1")
+    met = one.join(hubs, "band").select(F.col("m.key").alias("key"), "class", F.explode("hubs").alias("hub"))
+    met = met.where(F.col("class") != F.col("hub.class"))
+    return met.select(*_ordered_pair(F.col("key"), F.col("hub.key"), F.col("class"), F.col("hub.class"))).distinct()
+
+
+def _open(texts: DataFrame) -> DataFrame:
     """(band, key, class, n, most, n_most) of members of buckets with several classes.
 
     ``n`` is the bucket's size, ``most`` its largest class and ``n_most`` that one's size.
     A bucket's first hub has met all others and is left out.
     """
+    members = _placed(texts)
     firsts = members.groupBy("band").agg(_middle("degree", "key").alias("first"))
-    others = members.join(firsts, "band").where(F.col("key") != F.col("first.key"))
-    labelled = others.select("band", "key").join(labels, "key")
-    sizes = labelled.groupBy("band", "class").agg(F.count("*").alias("n"))
+    others = members.join(firsts, "band").where(F.col("key") != F.col("first.key")).select("band", "key", "class")
+    sizes = others.groupBy("band", "class").agg(F.count("*").alias("n"))
     several = sizes.groupBy("band").agg(
         F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("m"), F.count("*").alias("parts")
     )
     several = several.where("parts > 1").select("band", "n", F.col("m.class").alias("most"), F.col("m.n").alias("n_most"))
-    return labelled.join(several, "band")
+    return others.join(several, "band")
 
 
 def _paired(small: DataFrame) -> DataFrame:
@@ -409,12 +447,41 @@ def _group_linked(groups: DataFrame, sets: DataFrame, idf, least: float) -> Data
     return full.select(*columns).mapInArrow(linked, "a binary, b binary")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(key, class) of each end of the links (a, b); the class is the least key.
+def _stars(links: DataFrame) -> DataFrame:
+    """Links (a, b) of the same classes as those given; of some in one task, each end but the least of its class leads to that."""
+
+    def joined(least: dict[bytes, bytes], root) -> pa.RecordBatch:
+        found = [(k, root(k)) for k in list(least) if least[k] != k]
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in range(2)], names=["a", "b"])
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[bytes, bytes] = {}
+
+        def root(key: bytes) -> bytes:
+            while least.setdefault(key, key) != key:
+                least[key] = key = least[least[key]]
+            return key
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                low, high = sorted((root(a), root(b)))
+                least[high] = low
+            if len(least) > JOINED:
+                yield joined(least, root)
+                least.clear()
+        yield joined(least, root)
+
+    return links.select("a", "b").mapInArrow(stars, "a binary, b binary")
 
-    Each round takes the least label among neighbours and then that label's own.
+
+def components(links: DataFrame, n: int) -> DataFrame:
+    """(key, class) of each end of the n links (a, b); the class is the least key.
+
+    Links that lie in one task are joined there. Each round then takes the least label
+    among neighbours and that label's own.
     """
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    links = stored(_stars(links.coalesce(1 + n // JOINED)), "stars")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("class"))
     labels = stored(labels.select("key", F.least("key", "class").alias("class")), "labels")
     while True:
@@ -430,19 +497,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels (key, class) after the links of classes; only the classes that are joined change."""
-    joined = components(links).select(F.col("key").alias("class"), F.col("class").alias("new"))
-    return stored(labels.join(joined, "class", "left").select("key", F.coalesce("new", "class").alias("class")), "labels")
+def _relabelled(texts: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    """The texts with their classes after the n links of classes; only those that are joined change."""
+    joined = components(links, n).select(F.col("key").alias("class"), F.col("class").alias("new"))
+    now = F.coalesce("new", "class").alias("class")
+    return stored(texts.join(joined, "class", "left").select(*[now if c == "class" else c for c in texts.columns]), "texts")
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, key (of its words), class_key, class_id, first.
+def _classed(docs: DataFrame, least: float) -> DataFrame:
+    """(doc_id, key, class_key) of each document.
 
-    ``class_id`` is the smallest doc_id of the class, and ``first`` marks the row
-    that stays; where a class has several rows of that doc_id, each is marked, and
-    ``kept`` takes one. Texts without words are copies of each other. A null doc_id
-    comes after all others. No documents give no rows.
+    The plans are small and few on purpose: the driver keeps something of every stage and
+    task, and plans each stage anew.
     """
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -450,54 +516,54 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     idf = spark.sparkContext.broadcast(weights_of(counts, n))
     rows = stored(_banded(texts, idf), "banded")
     # One row for each text, with its first document.
-    distinct = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    members = distinct.select("key", "doc_id", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = members.join(shared, "band")
-    # How many texts a text meets in all: the middle of a group of variants meets the most.
-    degrees = members.groupBy("key").agg(F.sum("n").alias("degree"))
-    members = stored(members.drop("n").join(degrees, "key"), "members")
-    wanted = members.select("doc_id", "key").distinct()
-    sets = stored(_sets(texts, wanted), "sets")
-
-    labels = stored(wanted.select("key", F.col("key").alias("class")).dropDuplicates(["key"]), "labels")
+    distinct = stored(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "distinct")
+    members, [n_texts] = stored_counted(_members(distinct), "members")
+    sets = stored(_sets(texts, members.select("doc_id", "key")), "sets")
+
+    of_class, few = members.select("key", "degree", "bands", F.col("key").alias("class")), None
     for round_ in range(ROUNDS):
-        labelled = members.join(labels, "key")
-        if round_:
-            drawn_by = F.struct(F.xxhash64("key", "band", F.lit(round_)).alias("o"), F.col("key"))
-            one = labelled.groupBy("band", "class").agg(F.min(drawn_by).alias("m"))
-            order = lambda k: F.struct(F.xxhash64("m.key", "band", F.lit(-k)).alias("o"), F.col("m.key"), F.col("class"))
-            drawn = [F.min(order(k)) for k in range(HUBS)]
-        else:
-            one = labelled.groupBy("band", "class").agg(_middle("degree", "key").alias("m"))
-            drawn = [F.max(F.struct("m.degree", "m.key", "class"))]
-        hubs = one.groupBy("band").agg(F.array(*drawn).alias("hubs"), F.count("*").alias("n")).where("n > 1")
-        met = one.join(hubs, "band").select(F.col("m.key").alias("key"), "class", F.explode("hubs").alias("hub"))
-        met = met.where(F.col("class") != F.col("hub.class"))
-        pairs = met.select(*_ordered_pair(F.col("key"), F.col("hub.key"), F.col("class"), F.col("hub.class"))).distinct()
-        links, [n] = stored_counted(_verified(pairs, sets, idf, least), "links")
-        if not n:
-            # This only ends what saves comparisons; no pair is excluded by it.
+        links, [n] = stored_counted(_verified(_met(of_class, round_), sets, idf, least), "links")
+        if n < max(1, FEW * n_texts):
+            # This only ends what saves comparisons; no pair is excluded by it, and its links are kept.
+            few = links
             break
-        labels = _relabelled(labels, links)
+        of_class = _relabelled(of_class, links, n)
     # Whatever the rounds have met, all pairs of a bucket are in one class or compared from here on.
-    open_, [n_large] = stored_counted(_open(members, labels), "open", F.col("n") > PAIRED)
+    open_, [n_large] = stored_counted(_open(of_class), "open", F.col("n") > PAIRED)
     links = _verified(_paired(open_.where(F.col("n") <= PAIRED)), sets, idf, least)
-    large = open_.where(F.col("n") > PAIRED)
     if n_large:
-        bands = distinct.select("key", "bands").join(large.select("key").distinct(), "key")
-        links = links.unionByName(_group_linked(_blocked(large, BLOCK), sets.join(bands, "key"), idf, least))
-    links, [n] = stored_counted(links.distinct(), "links")
+        large = open_.where(F.col("n") > PAIRED)
+        banded = sets.join(distinct.select("key", "bands"), "key")
+        links = links.unionByName(_group_linked(_blocked(large, BLOCK), banded, idf, least))
+    if few is not None:
+        links = links.unionByName(few)
+    links, [n] = stored_counted(links, "links")
+    labels = of_class.select("key", "class")
     if n:
-        labels = _relabelled(labels, links)
+        labels = _relabelled(labels, links, n)
     idf.unpersist()
 
-    joined = rows.select("doc_id", "key").join(labels.select("key", F.col("class").alias("_class")), "key", "left")
-    joined = joined.select("doc_id", "key", F.coalesce("_class", "key").alias("class_key"))
-    heads = joined.groupBy("class_key").agg(
-        F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("doc_id"), F.col("key"))).alias("head")
-    )
-    return joined.join(heads, "class_key").select(
+    labels = labels.where(F.col("class") != F.col("key")).withColumnRenamed("class", "_class")
+    joined = rows.select("doc_id", "key").join(labels, "key", "left")
+    return joined.select("doc_id", "key", F.coalesce("_class", "key").alias("class_key"))
+
+
+def _heads(classed: DataFrame) -> DataFrame:
+    """(class_key, head) with the doc_id and key that a class is known by; a null doc_id comes after all others."""
+    first = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("doc_id"), F.col("key"))
+    return classed.groupBy("class_key").agg(F.min(first).alias("head"))
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """One row per document: doc_id, key (of its words), class_key, class_id, first.
+
+    ``class_id`` is the smallest doc_id of the class, and ``first`` marks the row
+    that stays; where a class has several rows of that doc_id, each is marked, and
+    ``kept`` takes one. Texts without words are copies of each other. A null doc_id
+    comes after all others. No documents give no rows.
+    """
+    joined = _classed(docs, least)
+    return joined.join(_heads(joined), "class_key").select(
         "doc_id",
         "key",
         "class_key",
@@ -509,7 +575,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 def kept(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One document of each class, with the columns they came with."""
     key, own = free_name(docs, "_key"), free_name(docs, "_id")
-    stay = classes(docs, least).where("first").select(F.col("doc_id").alias(own), F.col("key").alias(key)).distinct()
+    stay = _heads(_classed(docs, least)).select(F.col("head.doc_id").alias(own), F.col("head.key").alias(key))
     # Most documents stay: their texts are shuffled once, by document and key.
     of = free_name(docs, "_of")
     named = docs.withColumn(of, _key_column(F.col("text").cast("string")))

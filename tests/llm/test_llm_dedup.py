@@ -217,3 +217,37 @@ def test_a_text_is_hashed_by_one_python_node(spark):
     for found in (near_dups._sets(docs.select("doc_id", "text"), keys), near_dups.kept(docs)):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("ArrowEvalPython") == 1
+
+
+def test_classes_take_few_jobs(spark):
+    # The driver keeps something of every job, stage and task, and plans each stage anew: it took 79 jobs before.
+    docs = spark.createDataFrame(list(enumerate(variants())), "doc_id bigint, text string").repartition(5)
+    context = spark.sparkContext
+    context.setJobGroup("jobs of classes", "")
+    try:
+        near_dups.kept(docs).collect()
+        jobs = len(context.statusTracker().getJobIdsForGroup("jobs of classes"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs <= 65
+
+
+def test_long_chains_of_links_are_one_class(spark, monkeypatch):
+    # 120 links in a row and some apart, joined in parts of a few links by several tasks.
+    chain = [b"%03d" % k for k in range(121)]
+    random.Random(9).shuffle(chain)
+    links = [*zip(chain, chain[1:]), (b"x", b"z"), (b"z", b"y"), (b"x", b"z"), (b"q", b"p")]
+    random.Random(8).shuffle(links)
+    monkeypatch.setattr(near_dups, "JOINED", 20)
+    got = near_dups.components(spark.createDataFrame(links, "a binary, b binary").repartition(12), len(links)).collect()
+    want = dict.fromkeys(chain, b"000") | {b"x": b"x", b"y": b"x", b"z": b"x", b"p": b"p", b"q": b"p"}
+    assert {bytes(r.key): bytes(r["class"]) for r in got} == want and len(got) == len(want)
+
+
+def test_links_of_the_last_round_are_kept(spark, monkeypatch):
+    texts = variants()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    # No round finds enough to go on; what it has found counts, although a bucket's first hub is not met again.
+    monkeypatch.setattr(near_dups, "FEW", 1e9)
+    got = {r.doc_id: r.class_id for r in near_dups.classes(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == smallest_ids(texts)
